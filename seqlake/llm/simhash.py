@@ -10,8 +10,8 @@ d(x, v) <= m and outside otherwise. By the triangle inequality two fingerprints
 each other have distances to v that differ by at most r, so those outside with d(x, v) <= m + r
 are copied inside too; then every close pair meets in at least one leaf, and no other branch needs
 a visit. The tree is made from a bounded sample of fingerprints (``sample``); all fingerprints are
-dealt to its leaves, and each leaf is compared exactly. A leaf that holds far more rows than
-planned is cut into chunks that meet pair by pair in tasks of their own.
+dealt to its leaves, and each leaf is compared exactly. A leaf that the sample says is large (no
+radius divides it well) is cut into chunks that meet pair by pair in tasks of their own.
 """
 
 from __future__ import annotations
@@ -65,25 +65,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts(docs).mapInArrow(scan, "doc_id long, fp long")
 
 
-def build_tree(sample: np.ndarray, rows: int, max_bits: int, leaf_rows: int = LEAF_ROWS) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage point, radius, inside, outside), children < 0 being leaf ``-child - 1``.
+def build_tree(sample: np.ndarray, rows: int, max_bits: int, leaf_rows: int = LEAF_ROWS) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """Nodes (vantage point, radius, inside, outside), children < 0 being leaf ``-child - 1``; rows expected in each leaf.
 
     Each radius is the one that leaves the fewest pairs to compare. A node becomes a leaf when its
     share of ``rows`` fits, or when no radius saves a twentieth of its pairs.
     """
     nodes: list = []
-    leaves = 0
+    leaves: list[float] = []
     scale = rows / max(1, len(sample))
     rng = np.random.default_rng(SEED)
 
-    def leaf() -> int:
-        nonlocal leaves
-        leaves += 1
-        return -leaves
+    def leaf(part: np.ndarray) -> int:
+        leaves.append(len(part) * scale)
+        return -len(leaves)
 
     def grow(part: np.ndarray, depth: int) -> int:
         if len(part) * scale <= leaf_rows or len(part) < 32 or depth > 40:
-            return leaf()
+            return leaf(part)
         best = None
         for v in rng.choice(part, 4):
             inside = np.cumsum(np.bincount(np.bitwise_count(part ^ v), minlength=65)) / len(part)
@@ -94,15 +93,15 @@ def build_tree(sample: np.ndarray, rows: int, max_bits: int, leaf_rows: int = LE
                 best = (cost[m], v, m)
         cost, v, m = best
         if cost > 0.95:
-            return leaf()
+            return leaf(part)
         at = len(nodes)
         nodes.append(None)
         d = np.bitwise_count(part ^ v)
         nodes[at] = (int(v), m, grow(part[d <= m + max_bits], depth + 1), grow(part[d > m], depth + 1))
         return at
 
-    root = grow(np.unique(sample), 0)
-    return nodes if root >= 0 else []
+    grow(np.unique(sample), 0)
+    return nodes, leaves
 
 
 def deal(tree: list, x: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,27 +147,23 @@ def forest(x: np.ndarray, side: np.ndarray, max_bits: int) -> tuple[np.ndarray,
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(u, v): links between different values of ``fp`` with the same components as all close pairs."""
-    spark = fps.sparkSession
     rows = fps.count()
     picked = fps.orderBy(F.xxhash64("fp", F.lit(SEED)), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
-    tree = build_tree(picked.view(np.uint64), rows, max_bits, leaf_rows)
+    tree, expected = build_tree(picked.view(np.uint64), rows, max_bits, leaf_rows)
+    chunks = np.maximum(1, np.ceil(np.array(expected) / chunk_rows)).astype(np.int64)
 
     def scan(frames):
         for frame in frames:
             x = frame["fp"].to_numpy(np.int64)
             leaf, at = deal(tree, x.view(np.uint64), max_bits)
-            yield pd.DataFrame({"leaf": leaf.astype(np.int64), "fp": x[at]})
-
-    dealt = fps.mapInPandas(scan, "leaf long, fp long")
-    large = dealt.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
-    large = spark.createDataFrame(large.where("chunks > 1").toPandas(), "leaf long, chunks int")
-    cells = (
-        dealt.join(large, "leaf", "left")
-        .select("leaf", "fp", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    )
+            n = chunks[leaf]
+            own = (x[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+            cells = np.repeat(np.arange(len(at)), n)
+            other = np.arange(len(cells)) - np.repeat(np.cumsum(n) - n, n)
+            leaf, own, fp = leaf[cells], own[cells], x[at][cells]
+            yield pd.DataFrame({"leaf": leaf, "a": np.minimum(own, other), "b": np.maximum(own, other), "side": (own > other).astype(np.int64), "fp": fp})
+
+    cells = fps.mapInPandas(scan, "leaf long, a long, b long, side long, fp long")
 
     def compare(shard: pd.DataFrame) -> pd.DataFrame:
         x = shard["fp"].to_numpy(np.int64)
