@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, merkle, simhash, topk
+from . import html, merkle, simhash, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,35 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a replica in which every 64th page has its first character overwritten."""
+    damaged = F.when(F.expr("page_id % 64 = 5 and html <> ''"), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    return warc.fixity(table(spark, sf_dir, "pages"), damaged)
+
+
+OP10_SQL = """
+with p as (
+  select page_id, url, coalesce(html, '') html, md5(page_id || ' ' || coalesce(url, '')) m from pages
+), r as (
+  select page_id, url, cast(floor(page_id / 1000) as bigint) as file, html,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' ||
+    substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) ||
+    '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') ||
+    chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html as record
+  from p
+), d as (select *, cast(strlen(record) as bigint) as length, sha256(record) as digest from r)
+select page_id, url, file,
+  row_number() over w - 1 as position,
+  cast(coalesce(sum(length + 4) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
+  length, digest,
+  not (page_id % 64 = 5 and html <> '' and html[1] <> '#') as intact
+from d window w as (partition by file order by page_id, url, digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_fixity": OP10_SQL}
