@@ -39,8 +39,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def crc32_of_id(doc_id: Column | str = "doc_id") -> Column:
-    """crc32 of the decimal text of an id (null: of the empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary"))
+    """crc32 of the decimal text of an id (null: null)."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
 
 
 def words(text: bytes) -> list[bytes]:
