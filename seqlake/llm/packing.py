@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 
 VOCABULARY, END, SIZE = "byte_bpe_50k.json", 2, 1024
-SMALL, GROUPS, BUCKET_ROWS, COLUMNS = 128, 256, 4096, 800
+SMALL, GROUPS, BUCKET_ROWS, COLUMNS = 400, 512, 4096, 800
 #: How byte-level BPE splits a text before merging; a fixed value of the format.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
