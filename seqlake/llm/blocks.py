@@ -1,27 +1,35 @@
 """Documents as places in word lists, block by block.
 
 A block is about ``BLOCK_BYTES`` of consecutive documents of a partition. ``block_words`` gives
-each distinct word of a block once, with its place in the block's list; ``block_docs`` gives the
-block's documents as arrays of those places. What is known of a word is then joined to the short
-list, and documents pick it up by position within their block, whose size is bounded. Both are
-computed from the same scan in the same order, so they agree as long as the input is a file scan
-or a written table; give them nothing else.
+each distinct word of a block once, with its place in the block's list, dealt to shards by a hash
+of the word, so that all that concerns one word is in one shard; ``block_docs`` gives the block's
+documents as arrays of those places. What is known of a word is found once in its shard and sent
+back to the blocks that use it, and documents pick it up by position. A block's size is bounded,
+and a shard is streamed: a task holds its distinct words only. Words must hold no line feed.
+
+Both are computed from the same scan in the same order, so they agree as long as the input is a
+file scan or a written table; give them nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES, ROW_WORDS = 24_000_000, 400_000
+BLOCK_BYTES, ROW_WORDS, SHARD_DOCS, LEAST_SHARDS, MOST_SHARDS = 24_000_000, 400_000, 2000, 64, 4096
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Compressed bytes of an array of places, plane by plane."""
-    return zstandard.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+def shard_count(docs: DataFrame) -> int:
+    return int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))))
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed bytes of an array of numbers below 2 ** 32, plane by plane."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -29,7 +37,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-class _Places(dict):
+def pack_words(words: list[str]) -> bytes:
+    return zstandard.compress("\n".join(words).encode(), 3)
+
+
+def unpack_words(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode().split("\n")
+
+
+class Places(dict):
     """A word's place in order of first use."""
 
     def __missing__(self, word):
@@ -38,10 +54,10 @@ class _Places(dict):
 
 
 def _scan(frames, split: Callable):
-    """(block number, documents' frames) ... ; yields (block, places of words, rows of (ids, extras, arrays))."""
+    """(block, places of its words, frame, the frame's documents as places, whether the block is done)."""
     from pyspark import TaskContext
 
-    block, known, size = TaskContext.get().partitionId() << 32, _Places(), 0
+    block, known, size, begun = TaskContext.get().partitionId() << 32, Places(), 0, False
     place = known.__getitem__
     for frame in frames:
         for at in range(0, frame.num_rows, 64):
@@ -50,19 +66,20 @@ def _scan(frames, split: Callable):
             for text in part.column("text").to_pylist():
                 found.append(np.fromiter(map(place, split(text)), np.uint32))
                 size += len(text)
+            begun = True
             yield block, known, part, found, False
             if size >= BLOCK_BYTES:
                 yield block, known, None, None, True
-                block, size = block + 1, 0
+                block, size, begun = block + 1, 0, False
                 known.clear()
-    if known or size:
+    if begun:
         yield block, known, None, None, True
 
 
-def block_words(docs: DataFrame, split: Callable, counted: str | None = None) -> DataFrame:
-    """(block, place, word, n): the distinct words of each block.
+def block_words(docs: DataFrame, split: Callable, shards: int, counted: str | None = None) -> DataFrame:
+    """(shard, block, places, words, counts), packed: the distinct words of each block.
 
-    n: how often the word stands in documents whose boolean column ``counted`` is true.
+    counts: how often a word stands in documents whose boolean column ``counted`` is true.
     """
 
     def scan(frames):
@@ -71,23 +88,29 @@ def block_words(docs: DataFrame, split: Callable, counted: str | None = None) ->
         counts = np.zeros(0, np.int64)
         for block, known, part, found, done in _scan(frames, split):
             if not done:
-                if counted:
-                    used = [x for x, y in zip(found, part.column(counted).to_pylist(), strict=True) if y]
-                    now = np.bincount(np.concatenate(used), minlength=len(known)) if used else np.zeros(len(known), np.int64)
+                used = [x for x, y in zip(found, part.column(counted).to_pylist(), strict=True) if y] if counted else []
+                if used:
+                    now = np.bincount(np.concatenate(used), minlength=len(known))
                     now[: len(counts)] += counts
                     counts = now
                 continue
             words, n = list(known), np.zeros(len(known), np.int64)
             n[: len(counts)] = counts
             counts = np.zeros(0, np.int64)
-            for start in range(0, len(words), 50_000):
-                some = words[start : start + 50_000]
+            shard = np.fromiter((crc32(w.encode()) % shards for w in words), np.int64, len(words))
+            order = np.argsort(shard, kind="stable")
+            rows = [[], [], [], []]
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(own):
+                    for column, value in zip(rows, (int(shard[own[0]]), pack(own), pack_words([words[k] for k in own.tolist()]), pack(n[own])), strict=True):
+                        column.append(value)
+            if rows[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block)), pa.array(np.arange(start, start + len(some), dtype=np.int32)), pa.array(some, pa.string()), pa.array(n[start : start + len(some)])],
-                    ["block", "place", "word", "n"],
+                    [pa.array(rows[0], pa.int32()), pa.array([block] * len(rows[0]), pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])],
+                    ["shard", "block", "places", "words", "counts"],
                 )
 
-    return docs.mapInArrow(scan, "block long, place int, word string, n long")
+    return docs.mapInArrow(scan, "shard int, block long, places binary, words binary, counts binary")
 
 
 def block_docs(docs: DataFrame, split: Callable, extra: str | None = None) -> DataFrame:
@@ -122,11 +145,11 @@ def block_docs(docs: DataFrame, split: Callable, extra: str | None = None) -> Da
     return docs.mapInArrow(scan, "block long, doc_ids array<long>, extras array<boolean>, lengths array<int>, places binary")
 
 
-def documents(frame):
+def documents(table):
     """(doc_id, extra, places) of each document in an Arrow table of ``block_docs``."""
-    for k in range(frame.num_rows):
-        ids, extras, lengths = (frame.column(n)[k].as_py() for n in ("doc_ids", "extras", "lengths"))
-        places = unpack(frame.column("places")[k].as_py())
+    for k in range(table.num_rows):
+        ids, extras, lengths = (table.column(n)[k].as_py() for n in ("doc_ids", "extras", "lengths"))
+        places = unpack(table.column("places")[k].as_py())
         ends = np.cumsum(lengths)
         for i, doc_id in enumerate(ids):
             yield doc_id, extras[i] if extras else None, places[ends[i] - lengths[i] : ends[i]]

@@ -17,7 +17,7 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .blocks import block_docs, block_words, documents
+from .blocks import block_docs, block_words, documents, pack, shard_count, unpack, unpack_words
 from .common import materialize, texts
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,7 +59,9 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     chars = [chr(k) for k in range(LATIN)]
     kinds = {k: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k) for k in "LN"}
     blank = "\\t-\\r \\x85\\xa0"
-    plain = re.compile(pattern.replace(r"[\p{L}]", f"[{kinds['L']}]").replace(r"[\p{N}]", f"[{kinds['N']}]").replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{kinds['L']}{kinds['N']}]")).findall
+    letters = r"[\p{L}]+"
+    ahead = f"{letters}|" + "".join(x + "|" for x in pattern.split("|") if x != letters)  # nothing else begins with a letter
+    plain = re.compile(ahead.rstrip("|").replace(r"[\p{L}]", f"[{kinds['L']}]").replace(r"[\p{N}]", f"[{kinds['N']}]").replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{kinds['L']}{kinds['N']}]")).findall
     exotic = re.compile(f"[^\\x00-{chr(LATIN - 1)}]").search
 
     def words(text: str) -> list[str]:
@@ -72,18 +74,32 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     return words
 
 
-def word_ids(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): the ids of each word, as bytes of unsigned 32-bit numbers."""
+def word_ids(listed: DataFrame, path: str) -> DataFrame:
+    """(block, places, ids, counts): for each block, its words' ids end to end, and how many each has.
+
+    All rows of a word are in one shard, and a task keeps what it has encoded of a shard, so each
+    distinct word is encoded once.
+    """
 
     def encode(frames):
-        import pandas as pd
+        import pyarrow as pa
 
-        tok = _tokenizer(path)
+        tok, known, current = _tokenizer(path), {}, None
         for frame in frames:
-            found = tok.encode_batch(frame["word"].tolist(), add_special_tokens=False)
-            yield pd.DataFrame({"word": frame["word"], "ids": [np.array(x.ids, "<u4").tobytes() for x in found]})
-
-    return words.mapInPandas(encode, "word string, ids binary")
+            for k in range(frame.num_rows):
+                shard = frame.column("shard")[k].as_py()
+                if shard != current:
+                    known, current = {}, shard
+                words = unpack_words(frame.column("words")[k].as_py())
+                new = [w for w in words if w not in known]
+                for w, x in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
+                    known[w] = x.ids
+                own = [known[w] for w in words]
+                ids, counts = np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.uint32)
+                yield pa.RecordBatch.from_arrays([frame.column("block").slice(k, 1), frame.column("places").slice(k, 1), pa.array([pack(ids)]), pa.array([pack(counts)])], ["block", "places", "ids", "counts"])
+
+    dealt = listed.select("shard", "block", "places", "words").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(encode, "block long, places binary, ids binary, counts binary")
 
 
 def pieces(path: str) -> list[str]:
@@ -109,26 +125,31 @@ def encode(docs: DataFrame, path: str | None = None, written: bool = False) -> D
     def split(text):
         return splitter(path)(text)
 
-    listed = block_words(docs, split).select("block", "place", "word")
-    table = materialize(word_ids(listed.select("word").distinct(), path))
-    known = listed.join(table, "word").select("block", "place", "ids")
+    known = word_ids(block_words(docs, split, shard_count(docs)), path)
 
     def resolve(left, right):
         import pyarrow as pa
 
-        names = pieces(path)
-        ids, decoded = [""] * right.num_rows, [""] * right.num_rows
-        counts = np.zeros(right.num_rows, np.int64)
-        for place, data in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            own = np.frombuffer(data, "<u4").tolist()
-            ids[place], decoded[place], counts[place] = " ".join(map(str, own)), " ".join([names[k] for k in own]), len(own)
+        names, places, own, counts = [x.encode() for x in pieces(path)], [], [], []
+        for k in range(right.num_rows):
+            n = unpack(right.column("counts")[k].as_py())
+            places.append(unpack(right.column("places")[k].as_py()))
+            counts.append(n)
+            own += [x.tolist() for x in np.split(unpack(right.column("ids")[k].as_py()), np.cumsum(n)[:-1])]
+        places = np.concatenate(places) if places else np.zeros(0, np.int64)
+        size = np.zeros(len(places), np.int64)
+        size[places] = np.concatenate(counts) if counts else 0
+        ids, decoded = [b""] * len(places), [b""] * len(places)
+        for place, x in zip(places.tolist(), own, strict=True):
+            ids[place], decoded[place] = b" ".join([b"%d" % i for i in x]), b" ".join([names[i] for i in x])
+        counts = size
         gone = not counts.all()
         rows = []
         for doc_id, _, places in documents(left):
             if gone:
                 places = places[counts[places] > 0]
             at = places.tolist()
-            rows.append((doc_id, int(counts[places].sum()), sha256(" ".join([ids[k] for k in at]).encode()).hexdigest(), sha256(" ".join([decoded[k] for k in at]).encode()).hexdigest()))
+            rows.append((doc_id, int(counts[places].sum()), sha256(b" ".join(map(ids.__getitem__, at))).hexdigest(), sha256(b" ".join(map(decoded.__getitem__, at))).hexdigest()))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
