@@ -62,3 +62,29 @@ def batches(column, size: int = 2_000_000):
             part, total, start = [], 0, k + 1
     if part:
         yield start, part
+
+
+FILTER_BITS = 25
+
+
+def key_filter(wanted: DataFrame, key: str = "key"):
+    """A filter of fixed size (2 ** FILTER_BITS bits, 4 MB) for 64-bit hashes, by their first bits.
+
+    It lets all wanted keys through and, while they are few, little else. At most
+    2 ** FILTER_BITS / 32768 + 1 rows of 4 KB come to the driver, however many keys there are.
+    """
+    import numpy as np
+
+    bit = F.shiftrightunsigned(key, 64 - FILTER_BITS) + 1  # bucket k holds the numbers from 32768 * (k - 1) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in bits.collect():
+        part = np.frombuffer(row["bits"], np.uint8)
+        table[(row["part"] - 1) * 4096 : (row["part"] - 1) * 4096 + len(part)] = part
+    return table
+
+
+def passes(table, key: int) -> bool:
+    """Whether an unsigned 64-bit key may be wanted."""
+    at = key >> (64 - FILTER_BITS)
+    return bool(table[at >> 3] >> (at & 7) & 1)

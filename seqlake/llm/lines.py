@@ -20,13 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import key_filter, materialize, passes
 from .graph import components
 
 EDITS, MIN_CHARS, CHUNK = 2, 24, 512
 BATCH_CHARS, FLUSH, SHARD_DOCS, LEAST_SHARDS, MOST_SHARDS = 1_000_000, 1_000_000, 2000, 64, 65536
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-FILTER_BITS = 25  # of the fixed-size filter that the fetch of candidate texts begins with
 
 
 def _common(a: str, b: str, back: bool) -> int:
@@ -234,13 +233,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A filter of fixed size goes to the scan, so that little more than the wanted lines is shuffled;
     the join after it is exact.
     """
-    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1  # bucket k holds the numbers from 32768 * (k - 1) + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    table = np.zeros((1 << FILTER_BITS) // 8 + 4096, np.uint8)
-    for row in bits.collect():  # at most 2 ** FILTER_BITS / 32768 + 1 rows of 4 KB
-        part = np.frombuffer(row["bits"], np.uint8)
-        table[(row["part"] - 1) * 4096 : (row["part"] - 1) * 4096 + len(part)] = part
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     def scan(frames):
         import pyarrow as pa
@@ -255,8 +248,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for _, _, some in _rows(frames):
             for line in some:
                 key = _name(line)
-                at = key >> (64 - FILTER_BITS)
-                if sent.value[at >> 3] >> (at & 7) & 1:
+                if passes(sent.value, key):
                     held[key] = line
             if len(held) >= 5000:
                 yield out()

@@ -4,6 +4,7 @@
 ``links``          links between different fingerprints at most ``max_bits`` apart: a spanning
                    forest of each shard, so a group of m texts gives at most m - 1 links a shard
 ``near_duplicates``  doc_id, fingerprint, component_id
+``deduplicate``    one document of each group of near copies: five-word shingles, similarity 0.8
 
 The tree's inner nodes hold a vantage point v and a radius m. A fingerprint x goes inside if
 d(x, v) <= m and outside otherwise. By the triangle inequality two fingerprints within r bits of
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, texts, words
+from .blocks import Places
+from .common import batches, key_filter, materialize, passes, texts, words
 from .graph import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -187,3 +189,165 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     firsts = each.groupBy("component").agg(F.min("first").alias("component_id"))
     each = each.join(firsts, "component").select("fp", "component_id")
     return found.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+COPY_SHINGLE, COPY_SIMILARITY, BANDS, BAND_ROWS, COPY_CHUNK = 5, 0.8, 20, 5, 512
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_factors = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def shingle_sets(some: list[bytes], k: int = COPY_SHINGLE) -> list[np.ndarray]:
+    """The sorted set of k-word shingles of each text as 64-bit hashes; a shorter text is one shingle."""
+    known = Places()
+    place = known.__getitem__
+    rows = [np.fromiter(map(place, words(text)), np.int64) for text in some]
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    out = []
+    for row in rows:
+        w = each[row]
+        m = max(1, len(w) - k + 1) if len(w) else 0
+        h = np.full(m, len(w) if len(w) < k else k, np.uint64)
+        for j in range(min(k, len(w))):
+            h = _mix(h * _ODD + w[j : j + m])
+        out.append(np.unique(h))
+    return out
+
+
+def set_key(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS) hashes of minima: sets with similarity s agree in a band with probability s ** BAND_ROWS."""
+    joined, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])[:-1]
+    least = np.stack([np.minimum.reduceat(joined * f, starts) for f in _factors]).reshape(BANDS, BAND_ROWS, len(sets))
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(sets), 1)
+    for j in range(BAND_ROWS):
+        out = _mix(out * _ODD + least[:, j])
+    return out.T
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(rid, doc_id, key, fp, bands) of every row; texts with the same shingles have the same key."""
+
+    def scan(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            for start, part in batches(frame.column("text")):
+                sets = shingle_sets(part, shingle)
+                full = [k for k, x in enumerate(sets) if len(x)]
+                bands: list = [[]] * len(sets)
+                if full:
+                    for k, own in zip(full, band_keys([sets[k] for k in full]).view(np.int64).tolist(), strict=True):
+                        bands[k] = own
+                ids = [frame.column(c).slice(start, len(part)) for c in ("rid", "doc_id")]
+                keys, fps = (pa.array(np.fromiter(map(f, sets), np.uint64, len(sets)).view(np.int64)) for f in (set_key, fingerprint))
+                yield pa.RecordBatch.from_arrays([*ids, keys, fps, pa.array(bands, pa.list_(pa.int64()))], ["rid", "doc_id", "key", "fp", "bands"])
+
+    return docs.mapInArrow(scan, "rid long, doc_id long, key long, fp long, bands array<long>")
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles) of the wanted keys, each once."""
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
+
+    def scan(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            for _, part in batches(frame.column("text")):
+                held = {k: x for x in shingle_sets(part, shingle) if passes(sent.value, k := set_key(x))}
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64)), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["key", "shingles"])
+
+    return docs.select("text").mapInArrow(scan, "key long, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def similar_links(docs: DataFrame, found: DataFrame, shingle: int, least: float, max_bits: int, chunk: int) -> DataFrame:
+    """(u, v): links between keys of different shingle sets that are at least ``least`` alike.
+
+    Candidates share a band of minima or have fingerprints within ``max_bits`` (by the tree). The
+    links of candidates make coarse groups; in a group all pairs are tried against the shingle sets
+    themselves until they are connected, in chunks that meet pair by pair where it is large.
+    """
+    reps = materialize(found.dropDuplicates(["key"]).select("key", "fp", "bands"))
+    band = reps.select("key", F.explode("bands").alias("band"))
+    shared = band.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    loose = band.join(shared, "band").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    firsts = reps.groupBy("fp").agg(F.min("key").alias("v"))
+    same = reps.join(firsts, "fp").select(F.col("key").alias("u"), "v")
+    near = links(materialize(firsts.select("fp")), max_bits).withColumnsRenamed({"u": "a", "v": "b"})
+    near = near.join(firsts.withColumnsRenamed({"fp": "a", "v": "u"}), "a").join(firsts.withColumnRenamed("fp", "b"), "b").select("u", "v")
+    coarse = materialize(components(loose.unionByName(same).unionByName(near)))
+    size = coarse.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    cells = (
+        coarse.join(size, "component")
+        .withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("node").alias("key"))
+    )
+    sets = _fetch(docs, coarse.select(F.col("node").alias("key")), shingle)
+    ready = cells.join(sets, "key").repartition("cell").sortWithinPartitions("cell", "key")
+
+    def compare(frames):
+        cell, keys, held, out = None, [], [], []
+
+        def close():
+            root, sizes = np.arange(len(held)), np.array([len(x) for x in held])
+            for i in range(1, len(held)):
+                small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+                met: list[int] = []
+                for j in np.flatnonzero(small >= least * large).tolist():
+                    if root[j] not in met and similarity(held[i], held[j]) >= least:
+                        met.append(int(root[j]))
+                if met:
+                    root[i] = min(met)
+                    root[:i][np.isin(root[:i], met)] = root[i]
+            out.extend((keys[i], keys[r]) for i, r in enumerate(root.tolist()) if r != i)
+            keys.clear()
+            held.clear()
+
+        for frame in frames:
+            for c, key, data in zip(frame["cell"], frame["key"], frame["shingles"], strict=True):
+                if c != cell:
+                    close()
+                    cell = c
+                keys.append(key)
+                held.append(np.frombuffer(data, np.uint64))
+        close()
+        yield pd.DataFrame(out, columns=["u", "v"])
+
+    return ready.mapInPandas(compare, "u long, v long")
+
+
+def deduplicate(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, max_bits: int = MAX_BITS, chunk: int = COPY_CHUNK, written: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less near copies: of each group the first stays.
+
+    Texts are linked if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of
+    ``least`` or more; a group is what links reach; its first is the least doc_id (null first), of
+    equal ids the first in the input. Null and blank texts have no shingles and are one group.
+    ``written``: docs is a scan of files, which is the same whenever it is read.
+    """
+    if not written:
+        docs = materialize(docs)
+    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
+    own = numbered.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = materialize(_sets(own, shingle))
+    groups = components(similar_links(own, found.where(F.size("bands") > 0), shingle, least, max_bits, chunk)).select(F.col("node").alias("key"), "component")
+    named = found.select("rid", "doc_id", "key").join(groups, "key", "left").select("rid", "doc_id", F.coalesce("component", "key").alias("class"))
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    kept = first.select(F.col("first.rid").alias("_rid"))
+    return numbered.join(kept, "_rid", "left_semi").drop("_rid")
