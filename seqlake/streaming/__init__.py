@@ -1 +1,18 @@
+"""Streams of requests against a static index."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import extract, requests
+
+
+def resolve_bed(lines: DataFrame, index: DataFrame, stranded: bool = False) -> DataFrame:
+    """Resolved intervals of a stream of BED lines (column ``value``), row by row, without state.
+
+    Each micro-batch is joined with the first record of each id; a bad row keeps its error.
+    """
+    rows = requests.parse_bed(lines, stranded=stranded)
+    known = extract.first_of_each(index).withColumnRenamed("id", "name")
+    found = extract.resolve(rows.withColumnRenamed("error", "bad").join(known, "name", "left"))
+    return found.selectExpr("value", "name", "from_base", "to_base", "display_end", "reverse", "coalesce(bad, error) as error")
