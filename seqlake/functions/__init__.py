@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Complement pairs of the IUPAC nucleotide letters; U becomes A; all else stays. Fixed values.
 COMPLEMENT_FROM, COMPLEMENT_TO = "ACGTURYKMBVDHacgturykmbvdh", "TGCAAYRMKVBHDtgcaayrmkvbhd"
+#: Letters of the alphabets; fixed values.
 IUPAC = "ACGTURYSWKMBDHVNacgturyswkmbdhvn"
 PROTEIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz*-"
 ALPHABETS = {"dna": "ACGTNacgtn", "rna": "ACGUNacgun", "nucleotide": IUPAC + "-", "protein": PROTEIN}

@@ -21,6 +21,7 @@ RULES = {
     "format.blank_sequence_line": "warning", "format.inconsistent_wrapping": "warning", "format.leading_bom": "warning",
     "format.missing_terminal_newline": "warning", "format.mixed_line_endings": "warning",
 }
+#: Prefixes of accession numbers; fixed values.
 REFSEQ = ("NC_", "NM_", "NR_", "NP_", "NW_", "NG_", "NT_", "NZ_", "XM_", "XR_", "XP_")
 _CONTROL = r"[\x00-\x08\x0a-\x1f]"
 SAMPLE_SYMBOLS, LONGEST_ID, LONG_HEADER = 100_000, 65535, 1024
