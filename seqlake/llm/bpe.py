@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .blocks import block_docs, block_words, documents, pack, shard_count, unpack, unpack_words
-from .common import materialize, texts
+from .common import materialize, pin_splits, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of characters below this (whose lower case is below it too, but for one mark) are split by Python's re; their classes don't differ between Unicode versions.
@@ -119,6 +119,7 @@ def encode(docs: DataFrame, path: str | None = None, written: bool = False) -> D
     A null text counts as empty; an empty text has no tokens and the hashes of the empty string.
     Repeated rows each give a row.
     """
+    pin_splits(docs.sparkSession)
     path = path or vocabulary_path()
     docs = texts(docs) if written else materialize(texts(docs))
 

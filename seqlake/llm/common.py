@@ -33,6 +33,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix how file scans are cut, unless the session does.
+
+    Spark takes the cores that it has at the moment as a guide, so that a scan planned again after
+    executors came or went could be cut otherwise; operators that read a scan twice and go by its
+    order call this first.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table; a null text counts as empty. Other columns are left out."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))

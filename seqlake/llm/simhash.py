@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Places
-from .common import batches, key_filter, materialize, passes, texts, words
+from .common import batches, key_filter, materialize, passes, pin_splits, texts, words
 from .graph import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -341,6 +341,7 @@ def deduplicate(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COP
     equal ids the first in the input. Null and blank texts have no shingles and are one group.
     ``written``: docs is a scan of files, which is the same whenever it is read.
     """
+    pin_splits(docs.sparkSession)
     if not written:
         docs = materialize(docs)
     numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
