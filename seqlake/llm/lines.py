@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, passes
+from .common import key_filter, materialize, passes, pin_splits
 from .graph import components
 
 EDITS, MIN_CHARS, CHUNK = 2, 24, 512
@@ -342,6 +342,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, written:
     pass through; one named as a result is replaced.
     ``written``: docs is a scan of files, which is the same whenever it is read.
     """
+    pin_splits(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*columns)
     if not written:
