@@ -5,7 +5,7 @@ with its text, the number of tags on it and the containers that it stands in. A
 characters to tags is smoothed with a Gaussian over its neighbours; lines at or above the threshold
 (``SPREAD`` standard deviations of the smoothed ratios) are content and pick the region: the
 outermost article or main elements that hold any of them, or else the smallest container that
-holds ``SHARE`` of their weight, less its lines that are mostly links. Every other line of the
+holds all of them, less its containers of links alone. A region without an h1 gets those outside it. Every other line of the
 region belongs to the result, short ones too, but for what is marked as boilerplate: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, hidden parts and reader comments.
 """
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, RADIUS, SPREAD, SHARE = 1.0, 2, 0.5, 0.8
+SIGMA, RADIUS, SPREAD = 1.0, 2, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,6 +34,10 @@ MARKS = frozenset(
     "notice notices notification overlay pager pagination popup promo promoted promotion recommendations recommended related reply replies respond share sharebar sharing sidebar signup sitefooter social "
     "sponsor sponsored subscribe subscription toolbar trending widget widgets".split()
 )
+COMMENTS = frozenset("comment comments commentlist".split())
+#: Words that begin with "comment" and don't name reader comments, and words after it that tell whether a page takes any.
+COMMENTARY = frozenset("commentaries commentary commentator commentators commented".split())
+STATES = frozenset("allowed closed disabled enabled off on open".split())
 #: Words before a mark that make it a statement about the page ("has-sidebar", "no-ads").
 ABOUT = frozenset("has hide is no not with without".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -41,15 +45,21 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 def _marked(tag: str, attrs: list) -> str | None:
-    """'drop' or 'header' if the attributes mark a part as boilerplate."""
+    """'drop' or 'header' if the attributes mark a part as boilerplate.
+
+    Class and id words don't count on what may hold a whole page, but for an article that is a reader comment by name.
+    """
+    whole = tag in ("html", "body", "main", "article")
     for name, value in attrs:
         if name in ("class", "id") and value:
             for part in value.split():
-                found = [w.lower() for w in _word.findall(part)]
-                for before, w in zip(["", *found], found):
-                    if w.startswith("comment") and before not in ABOUT:
+                if tag == "article" and part.lower() in COMMENTS:
+                    return "drop"
+                found = [] if whole else [w.lower() for w in _word.findall(part)]
+                for before, w, after in zip(["", *found], found, [*found[1:], ""]):
+                    if w.startswith("comment") and w not in COMMENTARY and before not in ABOUT and after not in STATES:
                         return "drop"
-                    if tag not in ("html", "body", "main", "article") and before not in ABOUT:
+                    if before not in ABOUT:
                         if w in MARKS:
                             return "drop"
                         if w == "header":
@@ -62,21 +72,21 @@ def _marked(tag: str, attrs: list) -> str | None:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, containers) for each block of a page."""
+    """Collects (text, tags, linked characters, in an h1, containers) for each block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple]] = []
         self.open: list[tuple[str, str | None]] = []
         self.within: tuple = ()  # numbers of the open containers
         self.kinds: list[str] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.linked = self.dropped = self.headers = self.headings = 0
+        self.tags = self.links = self.linked = self.dropped = self.headers = self.headings = self.titles = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.within))
+            self.lines.append((text, self.tags, self.linked, self.titles > 0, self.within))
         if text or self.parts:
             self.tags = 0
         self.parts, self.linked = [], 0
@@ -89,6 +99,7 @@ class Lines(HTMLParser):
             self.within = self.within[:-1]
         self.links -= tag == "a"
         self.headings -= tag in HEADINGS
+        self.titles -= tag == "h1"
         self.dropped -= mark == "drop"
         self.headers -= mark == "header"
 
@@ -130,6 +141,7 @@ class Lines(HTMLParser):
             self.kinds.append(tag)
         self.links += tag == "a"
         self.headings += tag in HEADINGS
+        self.titles += tag == "h1"
         self.dropped += mark == "drop"
         self.headers += mark == "header"
 
@@ -168,18 +180,24 @@ def select(lines: list, kinds: list[str]) -> list[str]:
     smoothed = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     threshold = SPREAD * smoothed.std()
     content = smoothed >= threshold
-    outermost = [next((k for k in within if kinds[k] in ("article", "main")), None) for *_, within in lines]
+    withins = [within for *_, within in lines]
+    outermost = [next((k for k in within if kinds[k] in ("article", "main")), None) for within in withins]
     marked = {k for k in outermost if k is not None}
     if marked:
         chosen = {k for k, c in zip(outermost, content) if c and k is not None} or marked
-        return [line[0] for line, k in zip(lines, outermost) if k in chosen]
-    weight: dict[int, float] = {}
-    for (*_, within), c, s in zip(lines, content, smoothed):
-        for k in within if c else ():
-            weight[k] = weight.get(k, 0) + s
-    total = math.fsum(smoothed[content])
-    region = max((k for k, w in weight.items() if w >= SHARE * total), default=None)  # containers are numbered as they open
-    return [text for text, _, linked, within in lines if (region is None or region in within) and linked * 2 <= len(text)]
+        kept = [k in chosen for k in outermost]
+    else:
+        links = [linked * 2 > len(text) for text, _, linked, *_ in lines]
+        texty = {k for within, link in zip(withins, links) if not link for k in within}
+        held = [set(within) for within, c, link in zip(withins, content, links) if c and not link]
+        region = max(set.intersection(*held), default=None) if held else None  # containers are numbered as they open
+        kept = [
+            (region is None or region in within) and (not link or title or not held or not within or within[-1] in texty)
+            for (*_, title, within), link in zip(lines, links)
+        ]
+    if not any(k and title for k, (*_, title, _) in zip(kept, lines)):
+        kept = [k or title for k, (*_, title, _) in zip(kept, lines)]
+    return [line[0] for line, k in zip(lines, kept) if k]
 
 
 def main_text(html: str | None) -> str:

@@ -103,6 +103,20 @@ def test_html(spark):
     assert np.allclose(html.smooth(np.array([5.0, 5, 5, 5])), 5)
 
 
+def test_html_keeps_article_text():
+    long = [f"{k} " + "word " * 60 + "end" for k in range(9)]
+    body, whole = "".join(f"<p>{x}</p>" for x in long), "\n\n".join(long)
+    for last in ("a last paragraph", long[0]):
+        assert html.main_text(f"<body><div id=content><div>{body}</div><div><p>{last}</p></div></div>") == f"{whole}\n\n{last}"
+    assert html.main_text(f"<body><div><h1>Title</h1></div><div><span>1</span> <a href=x>May</a></div><div class=share>x</div><div>{body}</div>").startswith("Title\n\n")
+    linked = '<p>See <a href=1>a long name of a source</a></p>'
+    assert html.main_text(f"<body><div>{body}{linked}<p>{long[0]}</p></div>") == f"{whole}\n\nSee a long name of a source\n\n{long[0]}"
+    assert html.main_text(f"<body><div>{body}<ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>") == whole
+    for head in ("<body class='comments-open'><article>", "<body><article class='commentary'>", "<body><article class='post comments-open'>", "<body id=comments><div>", "<body><main class=comments><div>", "<body><div class=commentary>", "<body><div class='post comments-closed'>"):
+        assert html.main_text(head + body) == whole
+    assert html.main_text(f"<body><article>{body}</article><article class=comment><p>nice</p></article><div class=comment-list>{body}</div>") == whole
+
+
 # 2
 
 
