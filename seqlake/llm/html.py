@@ -3,11 +3,13 @@
 The standard library's streaming parser turns a page into lines, one for each block element, each
 with its text, the number of tags on it and the containers that it stands in. A line's ratio of
 characters to tags is smoothed with a Gaussian over its neighbours; lines at or above the threshold
-(``SPREAD`` standard deviations of the smoothed ratios) are content and pick the region: the
-outermost article or main elements that hold any of them, or else the smallest container that
-holds all of them, less its containers of links alone. A region without an h1 gets those outside it. Every other line of the
-region belongs to the result, short ones too, but for what is marked as boilerplate: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, hidden parts and reader comments.
+(``SPREAD`` standard deviations of the smoothed ratios) are content and pick the region: all
+outermost article or main elements if any of them holds content, or else these and the smallest container that
+holds all content. A region without an h1 gets those outside it. In the region, lists and
+divisions of links alone (two at least) go if the ratio of each of their lines is below the threshold. Every other line
+belongs to the result, short ones too, but for what is marked as boilerplate: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, hidden parts and reader comments. Short text alone is not rejected: articles have
+paragraphs of a word or two, which the ratio can't tell from unmarked adverts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ SIGMA, RADIUS, SPREAD = 1.0, 2, 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body center dd div dl fieldset main ol section table tbody td ul".split())
+LISTS = CONTAINERS - frozenset("body dd main td".split())
 BLOCKS = CONTAINERS | HEADINGS | frozenset("address aside blockquote caption details dt figcaption figure footer form header hgroup html legend li nav noscript p pre summary tfoot thead title tr".split())
 DROPPED = frozenset("aside audio button canvas dialog footer form iframe menu nav noscript object script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -72,24 +75,24 @@ def _marked(tag: str, attrs: list) -> str | None:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, in an h1, containers) for each block of a page."""
+    """Collects (text, tags, linked characters, links, in an h1, containers) for each block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple]] = []
+        self.lines: list[tuple[str, int, int, int, bool, tuple]] = []
         self.open: list[tuple[str, str | None]] = []
         self.within: tuple = ()  # numbers of the open containers
         self.kinds: list[str] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.linked = self.dropped = self.headers = self.headings = self.titles = 0
+        self.tags = self.links = self.linked = self.anchors = self.dropped = self.headers = self.headings = self.titles = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.titles > 0, self.within))
+            self.lines.append((text, self.tags, self.linked, self.anchors, self.titles > 0, self.within))
         if text or self.parts:
             self.tags = 0
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.anchors = [], 0, 0
 
     def pop(self) -> None:
         tag, mark = self.open.pop()
@@ -140,6 +143,7 @@ class Lines(HTMLParser):
             self.within = (*self.within, len(self.kinds))
             self.kinds.append(tag)
         self.links += tag == "a"
+        self.anchors += tag == "a"
         self.headings += tag in HEADINGS
         self.titles += tag == "h1"
         self.dropped += mark == "drop"
@@ -177,24 +181,26 @@ def select(lines: list, kinds: list[str]) -> list[str]:
     """The lines of the content region."""
     if not lines:
         return []
-    smoothed = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    smoothed = smooth(ratios)
     threshold = SPREAD * smoothed.std()
-    content = smoothed >= threshold
     withins = [within for *_, within in lines]
-    outermost = [next((k for k in within if kinds[k] in ("article", "main")), None) for within in withins]
-    marked = {k for k in outermost if k is not None}
-    if marked:
-        chosen = {k for k, c in zip(outermost, content) if c and k is not None} or marked
-        kept = [k in chosen for k in outermost]
-    else:
-        links = [linked * 2 > len(text) for text, _, linked, *_ in lines]
-        texty = {k for within, link in zip(withins, links) if not link for k in within}
-        held = [set(within) for within, c, link in zip(withins, content, links) if c and not link]
-        region = max(set.intersection(*held), default=None) if held else None  # containers are numbered as they open
-        kept = [
-            (region is None or region in within) and (not link or title or not held or not within or within[-1] in texty)
-            for (*_, title, within), link in zip(lines, links)
-        ]
+    links = [linked * 2 > len(text) for text, _, linked, *_ in lines]
+    content = [within for within, s, link in zip(withins, smoothed, links) if s >= threshold and not link]
+    marked = {k for k, kind in enumerate(kinds) if kind in ("article", "main")}
+    inside = [not marked.isdisjoint(within) for within in withins]
+    if not any(inside) or content and all(marked.isdisjoint(within) for within in content):
+        region = max(set(content[0]).intersection(*content[1:]), default=None) if content else None  # containers are numbered as they open
+        inside = [i or region is None or region in within for i, within in zip(inside, withins)]
+    listed: dict[int, int] = {}  # links of each container of links alone
+    for (*_, anchors, _, within), link, ratio in zip(lines, links, ratios):
+        for k in within:
+            if kinds[k] in LISTS:
+                listed[k] = listed.get(k, 0) + anchors if link and ratio < threshold else -math.inf
+    listed = {k for k, n in listed.items() if n > 1}
+    kept = [i and listed.isdisjoint(within) for i, within in zip(inside, withins)]
+    if not any(kept):
+        kept = inside
     if not any(k and title for k, (*_, title, _) in zip(kept, lines)):
         kept = [k or title for k, (*_, title, _) in zip(kept, lines)]
     return [line[0] for line, k in zip(lines, kept) if k]

@@ -117,6 +117,20 @@ def test_html_keeps_article_text():
     assert html.main_text(f"<body><article>{body}</article><article class=comment><p>nice</p></article><div class=comment-list>{body}</div>") == whole
 
 
+def test_html_clusters_select_in_articles():
+    long = [f"{k} " + "word " * 60 + "end" for k in range(4)]
+    body, whole = "".join(f"<p>{x}</p>" for x in long), "\n\n".join(long)
+    links = "<li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a>"
+    assert html.main_text(f"<body><article>{body}<ul>{links}</ul>{body}<div><a href=1>more</a> <a href=2>news</a></div></article>") == f"{whole}\n\n{whole}"
+    assert html.main_text(f"<body><article><h1><a href=1>Title</a></h1>{body}<p>Yes.</p><p>No.</p><p>So.</p><p>it</p><p>went.</p></article>") == f"Title\n\n{whole}\n\nYes.\n\nNo.\n\nSo.\n\nit\n\nwent."
+    table = "<table><tr><td><a href=1>Ann</a> <a href=2>B</a></td><td>some text about the two of them</td></tr></table>"
+    assert html.main_text(f"<body><article>{body}{table}</article>") == f"{whole}\n\nAnn B\n\nsome text about the two of them"
+    short = "".join(f"<article><p>{x}</p><p>b.</p><p>c.</p><p>d.</p></article>" for x in "xyz")
+    assert html.main_text(f"<body><article>{body}</article>{short}") == whole + "".join(f"\n\n{x}\n\nb.\n\nc.\n\nd." for x in "xyz")
+    assert html.main_text(f"<body><article><p>a.</p><p>b.</p><p>c.</p><p>d.</p></article><div><p>x</p><p>y</p><p>z</p>{body}</div>") == f"a.\n\nb.\n\nc.\n\nd.\n\nx\n\ny\n\nz\n\n{whole}"
+    assert html.main_text(f"<body><article><ul>{links}</ul></article>") == "one\n\ntwo\n\nthree"
+
+
 # 2
 
 
