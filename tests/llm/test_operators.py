@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -511,6 +512,34 @@ def test_warc(spark, tmp_path):
     assert warc.fixity(pages.limit(0), F.col("html")).count() == 0
 
 
+def test_warc_audits_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>page {k} é</p>" * 5) for k in range(50)] + [(None, None, f"x{k}") for k in range(25)], "page_id long, url string, html string")
+    recs = warc.records(pages, 50)
+    warc.write(recs, str(tmp_path / "a"), 10)
+    name = lambda p: int(re.search(r"\.c(\d+)\.", p.name)[1])
+    assert sorted((name(p), len(warc.ranges(p.read_bytes()))) for p in (tmp_path / "a" / "file=0").glob("part-*")) == [(k, 10) for k in range(5)]
+    leaf = common.materialize(warc.scan(spark, str(tmp_path / "a")))
+    key = lambda df: sorted((-1 if r.file is None else r.file, r.position, r.start, r.length, r.digest, r.name) for r in df.collect())
+    assert key(leaf) == key(warc.leaves(recs))
+
+    def damage(n, change):
+        shutil.copytree(tmp_path / "a", tmp_path / n)
+        (tmp_path / n / "file=0").mkdir(exist_ok=True)
+        file = next(p for p in (tmp_path / n / "file=0").glob("part-*") if name(p) == 1)
+        data = file.read_bytes()
+        file.write_bytes(change(data, [r[0] for r in warc.ranges(data)]))
+        for crc in (tmp_path / n / "file=0").glob(".*.crc"):
+            crc.unlink()
+        other = common.materialize(warc.scan(spark, str(tmp_path / n)))
+        return sorted((r.file, r.position, r.found) for r in warc.audit(warc.tree(leaf, 50), warc.tree(other, 50)).collect())
+
+    assert damage("missing", lambda d, at: d[: at[3]] + d[at[4] :]) == [(0, 13, "missing")]
+    assert damage("byte", lambda d, at: d[: at[5] - 9] + b"#" + d[at[5] - 8 :]) == [(0, 14, "changed")]
+    assert damage("header", lambda d, at: d[: at[3]] + b"XXXX" + d[at[3] + 4 :]) == [(0, 13, "missing"), (0, 13, "unreadable")]
+    assert damage("length", lambda d, at: d[: at[3]] + d[at[3] : at[4]].replace(b"Content-Length: ", b"Content-Length: 9") + d[at[4] :]) == [(0, 13, "missing"), (0, 13, "unreadable")]
+    assert damage("cut", lambda d, at: d[: at[9] + 30]) == [(0, 19, "missing"), (0, 19, "unreadable")]
+
+
 # pipeline
 
 
