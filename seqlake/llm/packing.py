@@ -39,9 +39,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 @cache
-def encoder(path: str):
+def encoder(path: str, ordinary: bool = False):
     """A function from a text to its ids: those of the tokenizers library for the file, made several
-    times faster by tiktoken with the same vocabulary (ids are in order of merging)."""
+    times faster by tiktoken with the same vocabulary (ids are in order of merging).
+
+    ``ordinary``: special tokens in a text are text like any other.
+    """
     import json
 
     import tiktoken
@@ -54,6 +57,9 @@ def encoder(path: str):
     ranks = {bytes(char[c] for c in piece): k for piece, k in spec["model"]["vocab"].items() if piece not in special}
     found = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    if ordinary:
+        return found.encode_ordinary
+
     def ids(text: str) -> list[int]:
         if any(x in text for x in special):
             return found.encode(text, allowed_special="all")

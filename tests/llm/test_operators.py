@@ -189,33 +189,69 @@ def test_deduplicate(docs, rows):
 # 3
 
 
+def lm_model(rng, size=lm.vocabulary_size(packing.vocabulary_path())):
+    """A model of random tables and weights, each a distribution where it must be."""
+    kinds, late = rng.integers(0, lm.CLASSES, size), np.append(rng.integers(0, lm.BEFORE, size), lm.BEFORE)
+    follow = rng.dirichlet(np.ones(lm.CLASSES), lm.BEFORE + 1)
+    within = rng.random((lm.BEFORE + 1, size)).astype(np.float32)
+    for row in within:
+        row /= np.bincount(kinds, row, lm.CLASSES)[kinds]
+    weights = {k: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) for k, x in lm.new_weights().items()}
+    embedding = rng.normal(0, 0.5, (size + 1, lm.FEATURES + 1)).astype(np.float32)
+    return lm.Model(packing.vocabulary_path(), embedding, kinds, late, np.log(follow).astype(np.float32), np.log(within), weights)
+
+
+def plain_class_logs(m, context):
+    """log P of each class after the ids ``context`` of a window, one place at a time in float64."""
+    w = {k: x.astype(float) for k, x in m.weights.items()}
+    h = m.embedding[context].astype(float) @ w["in"] + w["place"][: len(context)]
+    q, k, v, own = h[-1, : lm.KEY], h[:, lm.KEY : 2 * lm.KEY], h[:, 2 * lm.KEY : 2 * lm.KEY + lm.DIM], h[-1, 2 * lm.KEY + lm.DIM :]
+    a = np.exp(k @ q)
+    z = np.maximum(a / a.sum() @ v + own, 0) @ w["out"] + w["bias"] + m.follow[m.late[context[-1]]]
+    return z - np.log(np.exp(z).sum())
+
+
+def plain_scores(m, ids):
+    """log P of the ids of a whole text, each in the first of the overlapping windows that holds it."""
+    x, out = [len(m.kinds), *ids], []
+    for t, y in enumerate(ids):
+        start = 0 if t < lm.WINDOW else lm.STRIDE * -(-(t - lm.WINDOW + 1) // lm.STRIDE)
+        out.append(plain_class_logs(m, np.array(x[start : t + 1]))[m.kinds[y]] + m.within[m.late[x[t]], y])
+    return np.array(out)
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(0)
-    m = {k: x.astype(np.float64) for k, x in lm.new_weights(rng.integers(1, 99, lm.CLASSES), 5).items()}
-    x, y, take, text = lm.windows([rng.integers(0, 60, n) for n in (50, 5, 0, 200)])
-    assert np.bincount(text, take.sum(1)).tolist() == [51, 6, 1, 201]
-    _, grad = lm.gradient(m, x, y, take)
-    for k in m:
-        at = tuple(rng.integers(0, n) for n in m[k].shape)
-        kept, loss = m[k][at], []
-        for step in (1e-5, -1e-5):
-            m[k][at] = kept + step
-            loss.append(lm.gradient(m, x, y, take)[0])
-        m[k][at] = kept
-        assert abs((loss[0] - loss[1]) / 2e-5 - grad[k][at]) < 1e-4
-
-
-def test_lm_is_causal_and_normalised():
+    m = lm_model(rng)
+    w, embedding, follow = ({k: x.astype(float) for k, x in m.weights.items()}, m.embedding.astype(float), m.follow.astype(float))
+    lengths = np.array([50, 5, 1, 200])
+    ids = rng.integers(0, 3000, lengths.sum())
+    at, take = lm.windows(lengths)
+    assert np.bincount(at[take], minlength=len(ids)).tolist() == [1] * len(ids)
+    last = lm.before(ids, lengths, len(m.kinds))
+    parts = last[at], m.late[last][at], m.kinds[ids][at], take
+    _, grad = lm.gradient(w, embedding, follow, *parts)
+    for k in w:
+        for _ in range(5):
+            at = tuple(rng.integers(0, n) for n in w[k].shape)
+            kept, loss = w[k][at], []
+            for step in (1e-6, -1e-6):
+                w[k][at] = kept + step
+                loss.append(lm.gradient(w, embedding, follow, *parts)[0])
+            w[k][at] = kept
+            assert abs((loss[0] - loss[1]) / 2e-6 - grad[k][at]) < 1e-5
+    assert all(np.allclose(x, grad[k]) for k, x in lm.gradient(w, embedding, follow, *parts, deep=False)[1].items())
+
+
+def test_lm_against_a_plain_forward_pass():
     rng = np.random.default_rng(1)
-    m = lm.new_weights(rng.integers(1, 99, lm.CLASSES), 5)
-    x = rng.integers(0, lm.END, (1, lm.WINDOW))
-    take = np.zeros_like(x, bool)
-    take[0, 9] = True
-    p = [lm.class_scores(m, x, np.full_like(x, k), take)[0] for k in range(lm.CLASSES)]
-    assert abs(np.exp(p).sum() - 1) < 1e-4
-    later = x.copy()
-    later[0, 10:] = 0
-    assert np.allclose(lm.class_scores(m, later, np.full_like(x, 3), take)[0], p[3], atol=1e-6)
+    m = lm_model(rng)
+    assert math.isclose(np.exp(plain_class_logs(m, rng.integers(0, 3000, 9))).sum(), 1)
+    assert np.allclose(np.bincount(m.kinds, np.exp(m.within[3]), lm.CLASSES), 1, atol=1e-3)
+    lengths = np.array([1, 31, 32, 33, 57, 140])
+    ids = rng.integers(0, len(m.kinds), lengths.sum())
+    want = [plain_scores(m, x.tolist()) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert np.allclose(lm.id_scores(m, ids, lengths), np.concatenate(want), atol=1e-3)
 
 
 def test_lm_scores(docs, rows, empty):
@@ -233,20 +269,40 @@ def test_lm_scores(docs, rows, empty):
         assert (repr(r.doc_id), r.n_tokens, r.held_out, r.n_known, r.train_tokens) == (w[0], w[1], w[3], w[4], n)
         assert math.isclose(r.base_score, w[2], rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0
     assert lm.scores(empty).count() == 0
+    # the same texts by a plain pass over all ids of each, word by word
+    m, encode = lm_model(np.random.default_rng(3)), packing.encoder(packing.vocabulary_path(), ordinary=True)
+    want = []
+    for d, t in rows:
+        some = [encode(" " + w) for w in words(t)] + [[packing.END]]
+        logs = iter(plain_scores(m, [i for x in some for i in x]))
+        spelled = [sum(next(logs) for _ in x) for x in some]
+        known = [c[w] for w in words(t)] + [ends]
+        want.append((repr(d), len(some), sum(math.log10(lm.SPELLED * math.exp(s) + (1 - lm.SPELLED) * k / n + 1e-320) if s > -700 or k else s / math.log(10) + math.log10(lm.SPELLED) for s, k in zip(spelled, known))))
+    got = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in lm.scores(docs, model=m).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-4)
+
+
+def test_lm_learns(spark):
+    """Two kinds of texts: the model tells them apart from context, which counts of words can't."""
+    rnd = random.Random(9)
+    some = [[f"{a}{b}" for a in x for b in "xyzuvw"] for x in (("ka", "lo", "mi"), ("re", "so", "tu"))]
+    table = spark.createDataFrame([(k, " ".join(rnd.choices(some[k % 2], k=60))) for k in range(300)], "doc_id long, text string")
+    got = [r for r in lm.scores(table).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+
+
+def test_lm_ids(spark):
+    path = packing.vocabulary_path()
+    known, encode = lm.Words(path), packing.encoder(path, ordinary=True)
+    some = [t or "" for t in TEXTS] + ["a\xa0 b \xa0c \u2003 <|endoftext|> \x1c x", "\xa0"]
+    for t in some:
+        places = known.places(t)
+        known.encode()
+        assert known.of(places).tolist() == [i for w in words(t) for i in encode(" " + w)] + [packing.END]
+        assert lm.word_starts(path)[known.of(places)].sum() == len(places)
 
 
-def test_spelling_is_a_distribution():
-    rng = np.random.default_rng(2)
-    size = 5
-    classes = lm.Classes(np.zeros((size, lm.KINDS), np.float32), np.zeros((lm.KINDS, size), np.int64), np.zeros(size, np.int64))
-    n = np.zeros((lm.KINDS, size), np.int64)
-    n[0] = [3, 2, 1, 0, 0]
-    follow = rng.integers(0, 4, (lm.KINDS * lm.BEFORE, size + 1)).astype(np.float32)
-    s = lm.Spelling(n, (n > 0).astype(np.int64), follow, classes)
-    all_words = [w for k in (1, 2, 3, 4, 5, 6) for w in np.ndindex(*[size] * k)]
-    c = np.array([n[0, w[0]] if len(w) == 1 else 0 for w in all_words])
-    _, p = s.score(c, np.array([i for w in all_words for i in w]), np.array([len(w) for w in all_words]))
-    assert 0.5 < (10**p).sum() <= 1 + 1e-6
 
 
 # 4
