@@ -17,7 +17,7 @@ running sum, so no length is numbered in one task) and looks every number up in
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, partial
 from zlib import crc32
 
 import numpy as np
@@ -43,7 +43,7 @@ def encoder(path: str, ordinary: bool = False):
     """A function from a text to its ids: those of the tokenizers library for the file, made several
     times faster by tiktoken with the same vocabulary (ids are in order of merging).
 
-    ``ordinary``: special tokens in a text are text like any other.
+    ``ordinary``: special tokens in a text are text like any other, and the ids come as an array.
     """
     import json
 
@@ -58,7 +58,7 @@ def encoder(path: str, ordinary: bool = False):
     found = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     if ordinary:
-        return found.encode_ordinary
+        return partial(found.encode_to_numpy, disallowed_special=())
 
     def ids(text: str) -> list[int]:
         if any(x in text for x in special):

@@ -292,17 +292,17 @@ def test_lm_learns(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
 
 
-def test_lm_ids(spark):
+def test_lm_ids():
     path = packing.vocabulary_path()
-    known, encode = lm.Words(path), packing.encoder(path, ordinary=True)
+    encode, named = packing.encoder(path, ordinary=True), {}
     some = [t or "" for t in TEXTS] + ["a\xa0 b \xa0c \u2003 <|endoftext|> \x1c x", "\xa0"]
     for t in some:
-        places = known.places(t)
-        known.encode()
-        assert known.of(places).tolist() == [i for w in words(t) for i in encode(" " + w)] + [packing.END]
-        assert lm.word_starts(path)[known.of(places)].sum() == len(places)
-
-
+        ids = lm.text_ids(t, path)
+        assert ids.tolist() == [i for w in words(t) for i in encode(" " + w).tolist()] + [packing.END]
+        keys = lm.word_keys(ids, path).tolist()
+        for w, k in zip([*words(t), ""], keys, strict=True):
+            assert named.setdefault(w, k) == k
+    assert len(set(named.values())) == len(named)
 
 
 # 4
