@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors can read: ``spark.checkpoint.dir`` of the session.
 
-    A private one is made only where the setting is missing (tests in local mode).
+    A private one is made only where the setting is missing and the master is local; on a cluster
+    that would be a different folder on every machine, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -30,7 +35,69 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` has written for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name`` behind as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+HUBS = 100_000
+
+
+def hub_join(rows: DataFrame, each: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``each``, a written table of one row a key, whose column ``n`` counts the key's rows.
+
+    A key of more than a HUBS-th of the ``total`` rows would be a task of its own in a shuffle. There
+    are fewer than HUBS such keys, so they are broadcast, and their rows stay where they are.
+    """
+    most = max(1000, total // HUBS)
+    hubs, others = each.where(F.col("n") > most), each.where(F.col("n") <= most)
+    cold = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key)
+    return rows.join(F.broadcast(hubs), key).unionByName(cold)
+
+
+def tidy(scan: Callable) -> Callable:
+    """A function over a task's batches that gives unused memory back at its end.
+
+    Python workers are reused from stage to stage; without this each keeps the most it ever held.
+    """
+
+    @wraps(scan)
+    def run(frames):
+        try:
+            yield from scan(frames)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def pin_splits(spark: SparkSession) -> None:
@@ -61,17 +128,17 @@ def words(text: bytes) -> list[bytes]:
 
 
 def batches(column, size: int = 2_000_000):
-    """Cut an Arrow string column into lists of UTF-8 bytes of about ``size`` bytes in all."""
+    """Cut an Arrow string column into lists of UTF-8 bytes of about ``size`` bytes in all, some rows at a time."""
     import pyarrow as pa
 
-    values = column.cast(pa.large_binary()).to_pylist()
     part, total, start = [], 0, 0
-    for k, v in enumerate(values):
-        part.append(v or b"")
-        total += len(part[-1])
-        if total >= size:
-            yield start, part
-            part, total, start = [], 0, k + 1
+    for at in range(0, len(column), 64):
+        for k, v in enumerate(column.slice(at, 64).cast(pa.large_binary()).to_pylist(), at):
+            part.append(v or b"")
+            total += len(part[-1])
+            if total >= size:
+                yield start, part
+                part, total, start = [], 0, k + 1
     if part:
         yield start, part
 
