@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import materialize, texts, tidy
 
 VOCABULARY, END, SIZE = "byte_bpe_50k.json", 2, 1024
-SMALL, GROUPS, BUCKET_ROWS, COLUMNS = 400, 512, 4096, 800
+SMALL, GROUPS, BUCKET_ROWS, GAIN = 400, 512, 4096, 1e-4
 #: How byte-level BPE splits a text before merging; a fixed value of the format.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -81,15 +81,15 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     def scan(frames):
         encode = encoder(path)
         for frame in frames:
-            ids, values = frame.column("doc_id").to_pylist(), frame.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
+            ids, values = frame.column("doc_id"), frame.column("text")
+            for at in range(0, len(ids), 64):
                 rows = []
-                for doc_id, text in zip(ids[at : at + 256], values[at : at + 256], strict=True):
+                for doc_id, text in zip(ids.slice(at, 64).to_pylist(), values.slice(at, 64).to_pylist(), strict=True):
                     own = np.array(encode(text) + [END], "<u4")
                     rows += [(doc_id, k, start, n, crc32(own[start : start + n])) for k, (start, n) in enumerate(cut(len(own), size))]
                 yield _batch(rows)
 
-    return texts(docs).mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(tidy(scan), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _batch(rows: list):
@@ -131,11 +131,12 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     return pattern
 
 
-def configurations(sizes: list[int], demand: list[int], size: int = SIZE, columns: int = COLUMNS) -> list[tuple[tuple[int, ...], int]]:
+def configurations(sizes: list[int], demand: list[int], size: int = SIZE, gain: float = GAIN) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, times): how often each combination of sizes is used; covers the demand.
 
     Column generation: the basis starts with one size a pattern, each step prices a pattern by a
-    knapsack over the dual values, until none is worth more than a sequence or ``columns`` are made.
+    knapsack over the dual values, until the best is worth less than 1 + ``gain`` sequences: by the
+    duals then no solution has fewer than 1 / (1 + ``gain``) of these sequences.
     """
     if not sizes:
         return []
@@ -143,10 +144,10 @@ def configurations(sizes: list[int], demand: list[int], size: int = SIZE, column
     basis = np.diag(size // s).astype(float)
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ b
-    for _ in range(columns):
+    while True:
         dual = inverse.sum(0)
         pattern = _knapsack(s, np.maximum(dual, 0), size)
-        if pattern @ dual <= 1 + 1e-7:
+        if pattern @ dual <= 1 + gain:
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
@@ -162,8 +163,8 @@ def configurations(sizes: list[int], demand: list[int], size: int = SIZE, column
     left = np.array(demand)
     for k in np.argsort(-x):
         pattern = np.round(basis[:, k]).astype(int)
-        times = int(x[k] + 1e-6)
-        if times and (left >= pattern * times).all():
+        times = int(min(x[k] + 1e-6, (left[pattern > 0] // pattern[pattern > 0]).min(initial=0) if not pattern.any() else (left[pattern > 0] // pattern[pattern > 0]).min()))
+        if times:
             used[tuple(pattern.tolist())] = used.get(tuple(pattern.tolist()), 0) + times
             left = left - pattern * times
     room: list[int] = []  # best fit of what rounding has left
@@ -272,7 +273,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, small: int
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     large = numbered(cutting.where(F.col("length") > small), "length", key, rows, "number").select(*columns, "number")
-    large = materialize(large.mapInPandas(place_large, schema))
+    large = materialize(large.mapInPandas(tidy(place_large), schema))
     room = large.groupBy("sequence_id").agg((F.lit(size) - F.sum("length")).alias("room")).where("room > 0")
     rooms = {r["room"]: r["count"] for r in room.groupBy("room").count().collect()}
     tiny, _ = plan_small({n: c for n, c in histogram.items() if n <= small}, rooms, size)
@@ -287,7 +288,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, small: int
             yield frame.drop(columns="number").assign(room=spot[:, 0], spot=spot[:, 1])
 
     few = numbered(cutting.where(F.col("length") <= small), "length", key, rows, "number").select(*columns, "number")
-    few = few.mapInPandas(place_small, schema.replace("sequence_id long", "room long, spot long"))
+    few = few.mapInPandas(tidy(place_small), schema.replace("sequence_id long", "room long, spot long"))
     spots = numbered(room, "room", ["sequence_id"], used, "spot")
     fresh = few.where(F.col("room") == size + 1).select(*columns, (F.col("spot") + used).alias("sequence_id"))
     fitted = few.join(spots, ["room", "spot"]).select(*columns, "sequence_id")
