@@ -20,6 +20,8 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 BLOCK_BYTES, ROW_WORDS, SHARD_DOCS, LEAST_SHARDS, MOST_SHARDS = 24_000_000, 400_000, 2000, 64, 4096
 
 
@@ -110,7 +112,7 @@ def block_words(docs: DataFrame, split: Callable, shards: int, counted: str | No
                     ["shard", "block", "places", "words", "counts"],
                 )
 
-    return docs.mapInArrow(scan, "shard int, block long, places binary, words binary, counts binary")
+    return docs.mapInArrow(tidy(scan), "shard int, block long, places binary, words binary, counts binary")
 
 
 def block_docs(docs: DataFrame, split: Callable, extra: str | None = None) -> DataFrame:
@@ -142,7 +144,7 @@ def block_docs(docs: DataFrame, split: Callable, extra: str | None = None) -> Da
                 yield out(block)
                 held = 0
 
-    return docs.mapInArrow(scan, "block long, doc_ids array<long>, extras array<boolean>, lengths array<int>, places binary")
+    return docs.mapInArrow(tidy(scan), "block long, doc_ids array<long>, extras array<boolean>, lengths array<int>, places binary")
 
 
 def documents(table):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .blocks import block_docs, block_words, documents, pack, shard_count, unpack, unpack_words
-from .common import materialize, pin_splits, texts
+from .common import materialize, pin_splits, texts, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of characters below this (whose lower case is below it too, but for one mark) are split by Python's re; their classes don't differ between Unicode versions.
@@ -99,7 +99,7 @@ def word_ids(listed: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([frame.column("block").slice(k, 1), frame.column("places").slice(k, 1), pa.array([pack(ids)]), pa.array([pack(counts)])], ["block", "places", "ids", "counts"])
 
     dealt = listed.select("shard", "block", "places", "words").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(encode, "block long, places binary, ids binary, counts binary")
+    return dealt.mapInArrow(tidy(encode), "block long, places binary, ids binary, counts binary")
 
 
 def pieces(path: str) -> list[str]:

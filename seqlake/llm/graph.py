@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, hub_join, materialize
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -18,7 +18,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Alternates large-star and small-star steps until every node points at its root, so the rounds
     grow with the logarithm of a component's diameter. Each round writes its links to the shared
-    folder. Minima are aggregated map-side, and a hub's links are an ordinary skewed join.
+    folder and deletes those of the round before. Minima are aggregated map-side; the links of hubs
+    meet their minima by a broadcast (``hub_join``), so no node's links come into one task.
     Links of a node to itself and repeated links are ignored; no links give no rows.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
@@ -26,11 +27,13 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     seen = _checksum(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n"))
+        large = materialize(hub_join(both.where("v > u"), least, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        below = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = hub_join(large, below, "u", seen[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, edges = edges, materialize(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+        for done in (last, least, large, below):
+            discard(done)
         now = _checksum(edges)
         if now == seen:
             break

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SIGMA, RADIUS, SPREAD = 1.0, 2, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,4 +233,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(scan, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(tidy(scan), "page_id long, url string, text string, n_chars long")

@@ -5,9 +5,9 @@ edit distance is at most ``EDITS``. A line of n characters is cut into EDITS + 1
 within the distance holds at least one of them unchanged, near its old place, so every line probes
 the segments of all lengths from n - EDITS to n at the few places that can matter. Segments and
 probes are 64-bit hashes over code points from one running sum a batch. They are packed by shard;
-in a shard, a segment that different lines share gives a group of candidates (never their pairs),
+in a shard, a segment that different lines share gives a bucket of candidates (never their pairs),
 and the texts of candidates alone are fetched and compared by a banded bit-parallel edit distance
-until a group's links are known. Classes are the components of all links. A class keeps its first
+until a bucket's links are known (``buckets``). Classes are the components of all links. A class keeps its first
 line (by doc_id, then place) and loses the others. Lines are named by a 64-bit hash of their text.
 """
 
@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, passes, pin_splits
+from .buckets import CHUNK, bucket_links
+from .common import fresh, hub_join, key_filter, materialize, passes, pin_splits, tidy
 from .graph import components
 
-EDITS, MIN_CHARS, CHUNK = 2, 24, 512
-BATCH_CHARS, FLUSH, SHARD_DOCS, LEAST_SHARDS, MOST_SHARDS = 1_000_000, 1_000_000, 2000, 64, 65536
+EDITS, MIN_CHARS = 2, 24
+BATCH_CHARS, FLUSH, SHARD_DOCS, LEAST_SHARDS = 500_000, 1_000_000, 2000, 64
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -39,11 +40,12 @@ def _common(a: str, b: str, back: bool) -> int:
 
 
 def edit_distance(a: str, b: str, most: int = EDITS) -> int:
-    """The edit distance of two strings, or most + 1 if it is greater; ``most`` up to 31.
+    """The edit distance of two strings, or most + 1 if it is greater.
 
-    Without their common ends, the strings go through a bit vector of the 64 diagonals that end
-    ``most`` below the main one: some integer operations a character, and it stops as soon as the
-    distance can't come back to ``most``.
+    What is left between their common ends goes through the automaton of Wu and Manber (1992), on
+    the band of diagonals that ``most`` edits can reach (Ukkonen 1985): for each number of edits a
+    bit vector of 2 * most + 1 diagonals, bit d being set if the text so far, of j characters, can be
+    made of the first j + d - most characters of the other string.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -55,34 +57,21 @@ def edit_distance(a: str, b: str, most: int = EDITS) -> int:
     a, b = a[: len(a) - k], b[: len(b) - k]
     if not b:
         return len(a)
-    if len(a) <= 2 * most:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return min(row[-1], most + 1)
-    where: dict[str, int] = {}
+    places: dict[str, int] = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    word = (1 << 64) - 1
-    plus, minus, distance, low = word << (63 - most) & word, 0, most, most - 63
-    limit, straight, across = most + len(b) - (len(a) - most), len(a) - most, 62
+        places[x] = places.get(x, 0) | 1 << i + most
+    band = (1 << 2 * most + 1) - 1
+    rows = [((2 << e) - 1) << most & band for e in range(most + 1)]
     for j, y in enumerate(b):
-        match = where.get(y, 0)
-        match = (match >> low if low >= 0 else match << -low) & word
-        low += 1
-        zero = ((match & plus) + plus ^ plus | match | minus) & word
-        over, under = (minus | ~(zero | plus)) & word, zero & plus
-        if j < straight:
-            distance += not zero >> 63
-        else:
-            distance += (over >> across & 1) - (under >> across & 1)
-            across -= 1
-        if distance > limit:
+        same, less = places.get(y, 0) >> j & band, 0
+        for e, old in enumerate(rows):
+            # equal; replaced or added (from one edit less); left out (after one edit less)
+            rows[e] = old & same | (before | before >> 1 | less << 1) & band if e else old & same
+            before, less = old, rows[e]
+        if not less:
             return most + 1
-        plus, minus = (under | ~(zero >> 1 | over)) & word, zero >> 1 & over
-    return min(distance, most + 1)
+    goal = 1 << len(a) - len(b) + most
+    return next((e for e, row in enumerate(rows) if row & goal), most + 1)
 
 
 _powers_made: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -93,7 +82,7 @@ def _powers(n: int) -> list:
     if len(_powers_made[0]) <= n:
         base = 0x2545F4914F6CDD1D
         for k, x in enumerate((base, pow(base, -1, 1 << 64))):
-            factors = np.full(max(n, 1 << 21) + 1, x, np.uint64)
+            factors = np.full(max(n, 1 << 20) + 1, x, np.uint64)
             factors[0] = 1
             _powers_made[k] = np.cumprod(factors)
     return _powers_made
@@ -189,7 +178,7 @@ def signature_rows(docs: DataFrame, shards: int, edits: int, least: int) -> Data
         if parts:
             yield from out()
 
-    return docs.mapInArrow(scan, "shard int, segments binary, owners binary, probes binary, askers binary")
+    return docs.mapInArrow(tidy(scan), "shard int, segments binary, owners binary, probes binary, askers binary")
 
 
 def groups(segment: np.ndarray, owner: np.ndarray, probe: np.ndarray, asker: np.ndarray) -> list[np.ndarray]:
@@ -208,23 +197,23 @@ def groups(segment: np.ndarray, owner: np.ndarray, probe: np.ndarray, asker: np.
     return [np.frombuffer(x, np.uint64) for x in found]
 
 
-def candidates(signed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(members): lines to compare with each other; larger groups as all pairs of their chunks."""
+def candidates(signed: DataFrame, slice_rows: int = 4096) -> DataFrame:
+    """(bucket, key): the lines that share a segment; a bucket for each different set of them."""
 
     def meet(shard):
         import pyarrow as pa
 
         arrays = [np.frombuffer(b"".join(shard.column(c).to_pylist()), "<u8") for c in ("segments", "owners", "probes", "askers")]
-        out = []
+        names, out = [], []
         for own in groups(*arrays):
-            parts = np.array_split(own, -(-len(own) // chunk))
-            if len(parts) == 1:
-                out.append(own)
-            else:
-                out += [np.concatenate([a, b]) for k, a in enumerate(parts) for b in parts[k + 1 :]]
-        return pa.table({"members": pa.array([x.view(np.int64) for x in out], pa.list_(pa.int64()))})
+            name = xxhash.xxh3_64_intdigest(own.tobytes())
+            for at in range(0, len(own), slice_rows):
+                names.append(name)
+                out.append(own[at : at + slice_rows].view(np.int64))
+        return pa.table({"bucket": pa.array(np.array(names, np.uint64).view(np.int64)), "members": pa.array(out, pa.list_(pa.int64()))})
 
-    return signed.groupBy("shard").applyInArrow(meet, "members array<long>").distinct()
+    found = signed.groupBy("shard").applyInArrow(meet, "bucket long, members array<long>").distinct()
+    return found.select("bucket", F.explode("members").alias("key"))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -255,7 +244,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    found = docs.mapInArrow(scan, "key long, line string")
+    found = docs.mapInArrow(tidy(scan), "key long, line string")
     return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -266,47 +255,18 @@ def odd_letters(line: str) -> int:
 
 
 def links(docs: DataFrame, shards: int, edits: int = EDITS, least: int = MIN_CHARS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): links between different lines within ``edits``; a spanning forest of each group."""
-    members = materialize(candidates(signature_rows(docs, shards, edits, least), chunk))
-    each = members.select(F.xxhash64("members").alias("group"), F.explode("members").alias("key")).distinct()
-    texts = line_texts(docs, each.select("key").distinct())
-    ready = each.join(texts, "key").repartition("group").sortWithinPartitions("group", "key")
-
-    def compare(frames):
-        import pandas as pd
-
-        current, held, found = None, [], []
-
-        def close():
-            root = np.arange(len(held))
-            marks = np.array([odd_letters(line) for _, line in held], np.uint64)
-            size = np.array([len(line) for _, line in held], np.int64)
-            for i in range(1, len(held)):
-                # an edit changes the parity of at most two letters
-                near = (np.bitwise_count(marks[:i] ^ marks[i]) <= 2 * edits) & (np.abs(size[:i] - size[i]) <= edits)
-                met: list[int] = []
-                for j in np.flatnonzero(near).tolist():
-                    if root[j] not in met and edit_distance(held[i][1], held[j][1], edits) <= edits:
-                        met.append(int(root[j]))
-                if met:
-                    root[i] = min(met)
-                    root[:i][np.isin(root[:i], met)] = root[i]
-            found.extend((held[i][0], held[r][0]) for i, r in enumerate(root.tolist()) if r != i)
-            held.clear()
+    """(u, v): links between different lines, with the components of all pairs within ``edits``."""
+    members = materialize(candidates(signature_rows(docs, shards, edits, least)))
+    texts = materialize(line_texts(docs, members.select("key").distinct()).withColumnRenamed("line", "value"))
+
+    def prepare(line: str) -> tuple:
+        return line, odd_letters(line)
 
-        for frame in frames:
-            for group, key, line in zip(frame["group"], frame["key"], frame["line"], strict=True):
-                if group != current:
-                    close()
-                    current = group
-                held.append((key, line))
-            if len(found) > 10_000:
-                yield pd.DataFrame(found, columns=["u", "v"])
-                found = []
-        close()
-        yield pd.DataFrame(found, columns=["u", "v"])
+    def alike(a: tuple, b: tuple) -> bool:
+        # an edit changes the parity of at most two letters
+        return (a[1] ^ b[1]).bit_count() <= 2 * edits and edit_distance(a[0], b[0], edits) <= edits
 
-    return ready.mapInPandas(compare, "u long, v long")
+    return bucket_links(members, texts, prepare, alike, chunk)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -330,7 +290,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    return docs.mapInArrow(scan, "rid long, doc_id long, place int, key long")
+    return docs.mapInArrow(tidy(scan), "rid long, doc_id long, place int, key long")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, written: bool = False) -> DataFrame:
@@ -347,21 +307,25 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, written:
     docs = docs.select(*columns)
     if not written:
         docs = materialize(docs)
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    own = numbered.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))))
+    rid, gone = (fresh(docs, n) for n in ("rid", "gone"))
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    own = numbered.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shards = max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))
     alike = components(links(own, shards, edits, least)).select(F.col("node").alias("key"), "component")
     lines = materialize(line_table(own))
-    named = lines.join(alike, "key", "left").select("rid", "doc_id", "place", F.coalesce("component", "key").alias("class"))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "rid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    gone = (
-        named.join(first, "class")
+    keys = materialize(lines.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "place")).alias("own"), F.count("*").alias("n")))
+    classes = keys.join(alike, "key", "left").select("key", "own", "n", F.coalesce("component", "key").alias("class"))
+    first = classes.groupBy("class").agg(F.min("own").alias("first"), F.sum("n").alias("lines")).where("lines > 1")
+    repeated = materialize(classes.join(first, "class").select("key", "n", "first"))
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    dropped = (
+        hub_join(lines, repeated, "key", total)
         .where("not (rid = first.rid and place = first.place)")
         .groupBy("rid")
-        .agg(F.collect_list("place").alias("gone"))
-        .withColumnRenamed("rid", "_rid")
+        .agg(F.collect_list("place").alias(gone))
+        .withColumnRenamed("rid", rid)
     )
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(split, lambda x, k: ~F.array_contains("gone", k)), "\n"))
-    out = numbered.join(gone, "_rid", "left").withColumns({"n_lines": F.size(split), "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "text": kept})
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(split, lambda x, k: ~F.array_contains(gone, k)), "\n"))
+    out = numbered.join(dropped, rid, "left").withColumns({"n_lines": F.size(split), "n_dropped": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)), "text": kept})
     return out.select(*columns, "n_lines", "n_dropped")

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Places
-from .common import batches, key_filter, materialize, passes, pin_splits, texts, words
+from .buckets import CHUNK, bucket_links
+from .common import batches, fresh, hub_join, key_filter, materialize, passes, pin_splits, texts, tidy, words
 from .graph import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     found[start + k] = fingerprint(shingle_hashes(words(text), shingle))
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(scan, "doc_id long, fp long")
+    return texts(docs).mapInArrow(tidy(scan), "doc_id long, fp long")
 
 
 def build_tree(sample: np.ndarray, rows: int, max_bits: int, leaf_rows: int = LEAF_ROWS) -> tuple[list[tuple[int, int, int, int]], list[float]]:
@@ -165,7 +166,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS,
             leaf, own, fp = leaf[cells], own[cells], x[at][cells]
             yield pd.DataFrame({"leaf": leaf, "a": np.minimum(own, other), "b": np.maximum(own, other), "side": (own > other).astype(np.int64), "fp": fp})
 
-    cells = fps.mapInPandas(scan, "leaf long, a long, b long, side long, fp long")
+    cells = fps.mapInPandas(tidy(scan), "leaf long, a long, b long, side long, fp long")
 
     def compare(shard: pd.DataFrame) -> pd.DataFrame:
         x = shard["fp"].to_numpy(np.int64)
@@ -183,15 +184,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     other. An empty table gives no rows.
     """
     found = materialize(fingerprints(docs, shingle))
-    each = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    each = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     groups = components(links(each.select("fp"), max_bits))
-    each = each.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    firsts = each.groupBy("component").agg(F.min("first").alias("component_id"))
-    each = each.join(firsts, "component").select("fp", "component_id")
-    return found.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(each.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component")))
+    firsts = materialize(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    each = materialize(hub_join(named.drop("n"), firsts, "component", total).select("fp", "component_id").join(each.select("fp", "n"), "fp"))
+    return hub_join(found, each, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-COPY_SHINGLE, COPY_SIMILARITY, BANDS, BAND_ROWS, COPY_CHUNK = 5, 0.8, 20, 5, 512
+COPY_SHINGLE, COPY_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _factors = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -251,7 +253,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 keys, fps = (pa.array(np.fromiter(map(f, sets), np.uint64, len(sets)).view(np.int64)) for f in (set_key, fingerprint))
                 yield pa.RecordBatch.from_arrays([*ids, keys, fps, pa.array(bands, pa.list_(pa.int64()))], ["rid", "doc_id", "key", "fp", "bands"])
 
-    return docs.mapInArrow(scan, "rid long, doc_id long, key long, fp long, bands array<long>")
+    return docs.mapInArrow(tidy(scan), "rid long, doc_id long, key long, fp long, bands array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -266,7 +268,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 held = {k: x for x in shingle_sets(part, shingle) if passes(sent.value, k := set_key(x))}
                 yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64)), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["key", "shingles"])
 
-    return docs.select("text").mapInArrow(scan, "key long, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(tidy(scan), "key long, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -277,63 +279,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def similar_links(docs: DataFrame, found: DataFrame, shingle: int, least: float, max_bits: int, chunk: int) -> DataFrame:
-    """(u, v): links between keys of different shingle sets that are at least ``least`` alike.
+    """(u, v): links between keys of different shingle sets, with the components of all candidates at least ``least`` alike.
 
-    Candidates share a band of minima or have fingerprints within ``max_bits`` (by the tree). The
-    links of candidates make coarse groups; in a group all pairs are tried against the shingle sets
-    themselves until they are connected, in chunks that meet pair by pair where it is large.
+    Candidates share a band of minima or have fingerprints within ``max_bits`` (by the tree). They
+    are compared by the shingle sets themselves.
     """
     reps = materialize(found.dropDuplicates(["key"]).select("key", "fp", "bands"))
-    band = reps.select("key", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    loose = band.join(shared, "band").select(F.col("key").alias("u"), F.col("least").alias("v"))
-    firsts = reps.groupBy("fp").agg(F.min("key").alias("v"))
-    same = reps.join(firsts, "fp").select(F.col("key").alias("u"), "v")
-    near = links(materialize(firsts.select("fp")), max_bits).withColumnsRenamed({"u": "a", "v": "b"})
-    near = near.join(firsts.withColumnsRenamed({"fp": "a", "v": "u"}), "a").join(firsts.withColumnRenamed("fp", "b"), "b").select("u", "v")
-    coarse = materialize(components(loose.unionByName(same).unionByName(near)))
-    size = coarse.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    cells = (
-        coarse.join(size, "component")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("node").alias("key"))
-    )
-    sets = _fetch(docs, coarse.select(F.col("node").alias("key")), shingle)
-    ready = cells.join(sets, "key").repartition("cell").sortWithinPartitions("cell", "key")
-
-    def compare(frames):
-        cell, keys, held, out = None, [], [], []
-
-        def close():
-            root, sizes = np.arange(len(held)), np.array([len(x) for x in held])
-            for i in range(1, len(held)):
-                small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
-                met: list[int] = []
-                for j in np.flatnonzero(small >= least * large).tolist():
-                    if root[j] not in met and similarity(held[i], held[j]) >= least:
-                        met.append(int(root[j]))
-                if met:
-                    root[i] = min(met)
-                    root[:i][np.isin(root[:i], met)] = root[i]
-            out.extend((keys[i], keys[r]) for i, r in enumerate(root.tolist()) if r != i)
-            keys.clear()
-            held.clear()
+    band = reps.select(F.explode("bands").alias("bucket"), "key").distinct()
+    near = links(materialize(reps.select("fp").distinct()), max_bits)
+    tree = components(near).withColumnRenamed("node", "fp")
+    fps = reps.join(tree, "fp", "left").select(F.xxhash64(F.coalesce("component", "fp"), F.lit(SEED)).alias("bucket"), "key")
+    members = materialize(band.unionByName(fps).distinct())
+    shared = members.join(materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")).select("bucket"), "bucket", "left_semi")
+    sets = materialize(_fetch(docs, shared.select("key").distinct(), shingle).withColumnRenamed("shingles", "value"))
 
-        for frame in frames:
-            for c, key, data in zip(frame["cell"], frame["key"], frame["shingles"], strict=True):
-                if c != cell:
-                    close()
-                    cell = c
-                keys.append(key)
-                held.append(np.frombuffer(data, np.uint64))
-        close()
-        yield pd.DataFrame(out, columns=["u", "v"])
+    def prepare(value: bytes) -> np.ndarray:
+        return np.frombuffer(value, np.uint64)
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        return min(len(a), len(b)) >= least * max(len(a), len(b)) and similarity(a, b) >= least
 
-    return ready.mapInPandas(compare, "u long, v long")
+    return bucket_links(members, sets, prepare, alike, chunk)
 
 
-def deduplicate(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, max_bits: int = MAX_BITS, chunk: int = COPY_CHUNK, written: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, max_bits: int = MAX_BITS, chunk: int = CHUNK, written: bool = False) -> DataFrame:
     """The rows of ``docs``, with all their columns, less near copies: of each group the first stays.
 
     Texts are linked if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of
@@ -344,11 +313,12 @@ def deduplicate(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COP
     pin_splits(docs.sparkSession)
     if not written:
         docs = materialize(docs)
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    own = numbered.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rid = fresh(docs, "rid")
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    own = numbered.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(_sets(own, shingle))
     groups = components(similar_links(own, found.where(F.size("bands") > 0), shingle, least, max_bits, chunk)).select(F.col("node").alias("key"), "component")
     named = found.select("rid", "doc_id", "key").join(groups, "key", "left").select("rid", "doc_id", F.coalesce("component", "key").alias("class"))
     first = named.groupBy("class").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    kept = first.select(F.col("first.rid").alias("_rid"))
-    return numbered.join(kept, "_rid", "left_semi").drop("_rid")
+    kept = first.select(F.col("first.rid").alias(rid))
+    return numbered.join(kept, rid, "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqlake.llm import bpe, common, graph, html, lines, lm, merkle, packing, simhash, topk, toxicity, warc
+from seqlake.llm import bpe, buckets, common, graph, html, lines, lm, merkle, packing, simhash, topk, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -38,7 +38,7 @@ def docs(spark):
     rows = [(k * 3, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(TEXTS)]
     rows += [(None, "a row without an id", "en", "s", 1), rows[6], (rows[7][0], "same id, other text", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({c: F.lit("clash") for c in ("score", "fingerprint", "component_id", "key", "rid", "block", "piece", "length", "n_lines", "train")}).repartition(3).transform(common.materialize)
+    return df.withColumns({c: F.lit("clash") for c in ("score", "fingerprint", "component_id", "key", "rid", "block", "piece", "length", "n_lines", "train", "gone", "_rid", "toxicity", "_toxicity")}).repartition(3).transform(common.materialize)
 
 
 @pytest.fixture(scope="module")
@@ -160,7 +160,7 @@ def test_tree_finds_every_pair(spark):
     close = [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= 3)]
     root = components_of(len(x), close)
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    for options in ({}, {"leaf_rows": 100}, {"leaf_rows": 100, "chunk_rows": 40}):
+    for options in ({}, {"leaf_rows": 100, "chunk_rows": 40}):
         got = {r.node: r.component for r in graph.components(simhash.links(df, 3, **options)).collect()}
         at = {int(v): k for k, v in enumerate(x.view(np.int64))}
         linked = {i for p in close for i in p}
@@ -520,10 +520,40 @@ def test_line_dedup(spark, docs, rows, empty):
 def test_line_groups_in_chunks(spark):
     rnd = random.Random(7)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(60))
-    some = sorted({mutate(rnd, base, 1) for _ in range(60)})
+    some = sorted({mutate(rnd, base, rnd.randint(1, 3)) for _ in range(80)} | {base[:30] + "".join(rnd.choice("xyz") for _ in range(30)) for _ in range(30)})
     table = spark.createDataFrame([(k, x) for k, x in enumerate(some)], "rid long, text string").withColumn("doc_id", F.col("rid"))
-    whole, cut = (graph.components(lines.links(table, 4, chunk=n)).count() for n in (512, 7))
-    assert whole == cut == len(some)
+    root = components_of(len(some), [(i, j) for i in range(len(some)) for j in range(i) if min(len(some[i]), len(some[j])) >= 24 and dp(some[i], some[j]) <= 2])
+    want = sorted(sorted(k for k, r in enumerate(root) if r == x) for x in set(root) if root.count(x) > 1)
+    names = {lines._name(x): k for k, x in enumerate(some)}
+    for chunk in (512, 7):
+        found = collections.defaultdict(list)
+        for r in graph.components(lines.links(table, 4, chunk=chunk)).collect():
+            found[r.component].append(names[r.node % (1 << 64)])
+        assert sorted(map(sorted, found.values())) == want
+
+
+def test_bucket_links(spark):
+    """Numbers are alike if they differ by one: chains, a hub, unlike members, several components in a bucket."""
+    rnd = random.Random(10)
+    sets = [rnd.sample(range(400), n) for n in (2, 3, 40, 60, 120, 120)] + [list(range(500, 560)), [700, *range(800, 830, 2)]]
+    pairs = {(b, k) for b, own in enumerate([*sets, sets[2]]) for k in own}
+    members = spark.createDataFrame(sorted(pairs), "bucket long, key long")
+    payload = spark.createDataFrame([(k, str(k)) for k in sorted({k for _, k in pairs})], "key long, value string")
+    root = components_of(900, [(a, b) for own in sets for a in own for b in own if b < a <= b + 1])
+    for chunk in (512, 5):
+        got = {r.node: r.component for r in graph.components(buckets.bucket_links(members, payload, int, lambda a, b: abs(a - b) <= 1, chunk)).collect()}
+        assert {k: root[k] for k in range(900) if root.count(root[k]) > 1} == got
+    assert buckets.bucket_links(members.limit(0), payload, int, int.__eq__).count() == 0
+
+
+def test_hub_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", 3)
+    rows = spark.range(9000).withColumn("k", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50))
+    each = common.materialize(rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n")))
+    got = common.hub_join(rows, each, "k", 9000)
+    assert got.count() == 9000 and got.where("id > top").count() == 0
+    assert sorted(r.id for r in got.collect()) == list(range(9000))
+    common.discard(each)
 
 
 # 9
