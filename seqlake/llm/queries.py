@@ -77,9 +77,41 @@ from d window w as (partition by file order by page_id, url, digest)
 """
 
 
+_TREE = """(select *, struct_pack(root := sha256(array_to_string(s, '')), nodes := list_slice(list_sort(list_distinct(list_transform(list_concat(p, s), lambda h: h[1:8]))), 1, 128)) as tree from (
+  select *, list_transform(list_filter(string_split(array_to_string(list_transform(p, lambda h: h || case when h < '2' then ';' else '' end), ''), ';'), lambda x: x <> ''), lambda x: sha256(x)) as s from (
+    select *, list_transform(regexp_extract_all({0}, '[^.!?\\n]{{1,64}}[.!?\\n]*|[.!?\\n]+'), lambda x: sha256(x)) as p from {1})))"""
+_LIKE = """(select case when len(u) = 0 then 1.0 else len(list_filter(u, lambda x: list_contains({0}, x) and list_contains({1}, x))) / len(u) end from (select list_slice(list_sort(list_distinct(list_concat({0}, {1}))), 1, 128) as u))"""
+OP7_SQL = (
+    """
+with d as (select doc_id, coalesce(text, '') as text from documents),
+t as (select doc_id, text, tree from """
+    + _TREE.format("text", "d")
+    + """),
+n as (select *, coalesce(lead(text) over w, first_value(text) over w) as next_text, coalesce(lead(tree) over w, first_value(tree) over w) as next_tree from t window w as (order by doc_id nulls first, text)),
+e as (select doc_id, length(text) as n, tree as own, next_tree, text[1:length(text) - length(text) // 2] || next_text[1:length(text) // 2] as edited from n)
+select doc_id, cast(n as bigint) as n_chars, sha256(edited) as edited_sha256, own.root || ':' || array_to_string(own.nodes, '') as fingerprint,
+  tree.root || ':' || array_to_string(tree.nodes, '') as edited_fingerprint,
+  """
+    + _LIKE.format("own.nodes", "tree.nodes")
+    + " as near_edited, "
+    + _LIKE.format("own.nodes", "next_tree.nodes")
+    + " as near_next from "
+    + _TREE.format("edited", "e")
+)
+
+OP9_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_fixity": OP10_SQL}
+    return {"op7_document_fingerprints": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_warc_fixity": OP10_SQL}

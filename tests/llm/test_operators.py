@@ -422,6 +422,24 @@ def test_toxicity_edges(spark, docs, empty):
 # 7
 
 
+def plain_tree(text):
+    """(fingerprint, its nodes)."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves, parts = [sha(x) for x in re.findall(r"[^.!?\n]{1,64}[.!?\n]*|[.!?\n]+", text)], [""]
+    for x in leaves:
+        parts[-1] += x
+        if x[0] in "01":
+            parts.append("")
+    parts = [sha(x) for x in parts if x]
+    nodes = sorted({x[:8] for x in leaves + parts})[:128]
+    return sha("".join(parts)) + ":" + "".join(nodes), nodes
+
+
+def plain_likeness(a, b):
+    least = sorted({*a[1], *b[1]})[:128]
+    return len([x for x in least if x in a[1] and x in b[1]]) / len(least) if least else 1.0
+
+
 def test_fingerprints(docs, rows, empty):
     got = merkle.document_fingerprints(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -433,6 +451,14 @@ def test_fingerprints(docs, rows, empty):
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert len({r.fingerprint for r in got}) == len({t for _, t in rows})
+    trees = {t: plain_tree(t) for _, t in rows}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id, r.n_chars, r.edited_sha256].append((r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)))
+    for k, (d, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        edited = plain_tree(e := t[: len(t) - half] + after[:half])
+        assert (trees[t][0], edited[0], round(plain_likeness(trees[t], edited), 9), round(plain_likeness(trees[t], trees[after]), 9)) in by[d, len(t), hashlib.sha256(e.encode()).hexdigest()]
     assert all(r.near_edited >= 0.2 for r in got if r.n_chars > 300 and r.n_chars < 20000)
     assert merkle.document_fingerprints(empty).count() == 0
     plan = merkle.document_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
@@ -450,10 +476,37 @@ def test_neighbours_across_ranges(spark, monkeypatch):
 
 
 def test_edits_are_located(spark):
-    old = [f"line {k}" for k in range(30)]
-    new = [*old[:17], "changed", *old[18:], "added"]
-    a, b = (merkle.tree(spark.createDataFrame([(1, "\n".join(x)), (2, "same")], "doc_id long, text string")) for x in (old, new))
-    assert sorted((r.doc_id, r.paragraph) for r in merkle.edits(a, b).collect()) == [(1, 17), (1, 30)]
+    old = [f"line number {k} of the text.\n" for k in range(60)]
+    new = ["put before all.\n", *old[:17], "changed.\n", *old[18:40], *old[41:], "added."]
+    a, b = (merkle.tree(spark.createDataFrame([(1, "".join(x)), (2, "same"), (3, None)], "doc_id long, text string")) for x in (old, new))
+    assert sorted((r.doc_id, r.paragraph) for r in merkle.edits(a, b).collect()) == [(1, 0), (1, 18), (1, 60)]
+    one, two = (x.where("doc_id = 1").first().sections for x in (a, b))
+    assert len(set(one) & set(two)) >= len(one) - 4
+
+
+def test_ranges_with_ids_far_off(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(k, "t") for k in [*range(4000), 1 << 61, -(1 << 61)]], "doc_id long, text string")
+    got = df.select("doc_id", merkle.ranges(df).alias("b")).collect()
+    by = [r.b for r in sorted(got)]
+    assert by == sorted(by) and max(collections.Counter(by).values()) <= 80
+
+
+def test_sql(spark, empty):
+    """The queries with SQL against it."""
+    import duckdb
+
+    from seqlake.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{path}/{t}.parquet'")
+    for name in ("op7_document_fingerprints", "op9_exact_top_k"):
+        want, got = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, path)
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(dict(zip(want.columns, r))[c] for c in columns)) for r in want.fetchall())
 
 
 # 8
