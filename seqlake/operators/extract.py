@@ -28,7 +28,7 @@ def resolve(found: DataFrame) -> DataFrame:
     """
     a, n = F.coalesce("start", F.lit(1)), F.col("seq_len")
     error = (
-        F.when(n.isNull(), "request.sequence_not_found").when(a < 1, "request.start_below_one").when(a > n, "request.start_past_end").when(F.col("end") < a, "request.end_before_start")
+        F.when(n.isNull(), "request.sequence_not_found").when(a < 1, "request.start_before_one").when(a > n, "request.start_after_sequence").when(F.col("end") < a, "request.end_before_start")
     )
     return found.withColumns({
         "error": error,
@@ -39,7 +39,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
 
 def chunks(seqs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(ordinal, chunk, bases): sequences cut into pieces of ``size`` symbols."""
+    """(ordinal, chunk, bases): sequences that fit a value, cut into pieces of ``size`` symbols; ``records.chunks`` gives those of any length."""
     n = F.floor((F.length("seq") - 1) / size).cast("int")
     each = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.cast("long").alias("chunk"), F.substring("seq", k * size + 1, F.lit(size)).alias("bases")))
     return seqs.where(F.length("seq") > 0).select("ordinal", F.explode(each).alias("c")).select("ordinal", "c.chunk", "c.bases")

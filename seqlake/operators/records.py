@@ -65,12 +65,44 @@ def headers(lines: DataFrame) -> DataFrame:
     return lines.where("is_header").select("file", "record", F.col("line_offset").alias("header_offset"), identifier(head).alias("id"), description(head).alias("description"), F.length(head).cast("long").alias("header_bytes"))
 
 
+def positions(lines: DataFrame) -> DataFrame:
+    """``lines`` with base_start: how many symbols of its record stand before a line.
+
+    Symbols are summed in each split and carried on by split; a record begins at the last header's
+    sum, which never falls along a file. So no window spans more than a split.
+    """
+    upto = Window.partitionBy("file", "split").orderBy("line_offset").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("file", "split").agg(F.sum("bases").alias("n"))
+    carry = parts.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_ahead"))
+    local = lines.withColumn("_sum", F.sum("bases").over(upto) - F.col("bases")).join(carry, ["file", "split"]).withColumn("_sum", F.col("_sum") + F.col("_ahead"))
+    heads = local.where("is_header").groupBy("file", "split").agg(F.max("_sum").alias("_own"))
+    heads = parts.select("file", "split").join(heads, ["file", "split"], "left").select("file", "split", F.coalesce(F.max("_own").over(before), F.lit(0)).alias("_first"))
+    first = F.greatest(F.max(F.when(F.col("is_header"), F.col("_sum"))).over(upto), "_first")
+    return local.join(heads, ["file", "split"]).select(*lines.columns, (F.col("_sum") - first).alias("base_start"))
+
+
+def chunks(lines: DataFrame, size: int = 65536) -> DataFrame:
+    """(file, record, chunk, bases): the symbols of each record in pieces of ``size``, straight from lines.
+
+    A line is cut where chunks meet, and the parts of a chunk are put together: no group holds more
+    than ``size`` symbols, whatever a record's length.
+    """
+    base = positions(lines).where("not is_header and record > 0 and bases > 0").select("file", "record", "base_start", symbols(F.col("content")).alias("s"))
+    each = base.withColumn("chunk", F.explode(F.expr(f"sequence(base_start div {size}, (base_start + length(s) - 1) div {size})")))
+    at = F.greatest(F.col("chunk") * size, "base_start")
+    part = F.substring("s", (at - F.col("base_start") + 1).cast("int"), (F.least((F.col("chunk") + 1) * size, F.col("base_start") + F.length("s")) - at).cast("int"))
+    grouped = each.select("file", "record", "chunk", F.struct(at.alias("at"), part.alias("s")).alias("p")).groupBy("file", "record", "chunk").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return grouped.select("file", "record", "chunk", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("bases"))
+
+
 def read_records(lines: DataFrame) -> DataFrame:
     """file, record, id, description, sequence of the records that have symbols.
 
-    A record's sequence is one value here; use ``chunks`` for sequences of any length.
+    A record's sequence is one value here, as its reader has it: at most 2 GB. ``chunks`` gives
+    sequences of any length.
     """
-    parts = lines.where("not is_header and bases > 0 and record > 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line_offset", symbols(F.col("content")).alias("s")))).alias("parts"))
+    parts = chunks(lines).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("chunk", F.col("bases").alias("s")))).alias("parts"))
     seq = F.array_join(F.transform("parts", lambda p: p["s"]), "")
     return headers(lines).join(parts, ["file", "record"]).select("file", "record", "id", "description", seq.alias("sequence"))
 
@@ -126,9 +158,8 @@ def layout(lines: DataFrame) -> DataFrame:
 
 def side_table(lines: DataFrame) -> DataFrame:
     """file, record, base_start, byte_offset, line_bytes, line_bases of every base line, for records that aren't uniform."""
-    own = Window.partitionBy("file", "record").orderBy("line_offset").rowsBetween(Window.unboundedPreceding, -1)
-    base = lines.where("not is_header and record > 0 and bases > 0").join(layout(lines).where("not uniform").select("file", "record"), ["file", "record"], "left_semi")
-    return base.select("file", "record", F.coalesce(F.sum("bases").over(own), F.lit(0)).alias("base_start"), F.col("line_offset").alias("byte_offset"), F.col("actual_bytes").alias("line_bytes"), F.col("bases").alias("line_bases"))
+    base = positions(lines).where("not is_header and record > 0 and bases > 0").join(layout(lines).where("not uniform").select("file", "record"), ["file", "record"], "left_semi")
+    return base.select("file", "record", "base_start", F.col("line_offset").alias("byte_offset"), F.col("actual_bytes").alias("line_bytes"), F.col("bases").alias("line_bases"))
 
 
 def index(lines: DataFrame) -> DataFrame:
@@ -144,14 +175,31 @@ def fai_rows(idx: DataFrame) -> DataFrame:
     """One line of a .fai for each record, with its order; a record that isn't uniform raises."""
     bad = idx.where("not uniform").orderBy("file", "record").select("id", "reason").first()
     if bad:
-        raise ValueError(f"index.non_uniform_layout: {bad['id']}: {bad['reason']}")
+        raise ValueError(f"index.nonuniform_fai: {bad['id']}: {bad['reason']}")
     return idx.select("file", "record", F.concat_ws("\t", "id", "seq_len", "seq_offset", "line_bases", "line_bytes").alias("value"))
 
 
 def read_fai(spark, path: str) -> DataFrame:
-    """id, seq_len, seq_offset, line_bases, line_bytes, error of a .fai's lines; blank lines and extra columns are left out."""
-    rows = spark.read.text(path, lineSep="\n").where("value <> ''").withColumn("f", F.split("value", "\t"))
-    number = lambda k: F.when(F.get("f", F.lit(k)).rlike("^[0-9]+$"), F.expr(f"try_cast(get(f, {k}) as bigint)"))
+    """ordinal (from 0), id, seq_len, seq_offset, line_bases, line_bytes, uniform, error of a .fai's lines.
+
+    Blank lines and extra columns are left out. Rows are told apart by their byte offsets, and
+    numbered by split with a carry.
+    """
+    from ..sources.fasta import read_lines
+
+    rows = read_lines(spark, path).withColumn("value", F.decode(F.col("raw"), "UTF-8")).where("value <> ''").withColumn("f", F.split("value", "\t"))
     names = ["seq_len", "seq_offset", "line_bases", "line_bytes"]
-    out = rows.select(F.get("f", F.lit(0)).alias("id"), *(number(k + 1).alias(n) for k, n in enumerate(names)))
-    return out.withColumn("error", F.when(F.expr(" or ".join(f"{n} is null" for n in names)), "index.fai_invalid_integer").when((F.col("line_bases") == 0) | (F.col("line_bytes") <= F.col("line_bases")), "index.invalid_geometry"))
+    fields = [F.get("f", F.lit(k + 1)) for k in range(4)]
+    number = [F.when(x.rlike("^[0-9]+$"), x.cast("decimal(38,0)")) for x in fields]
+    missing, odd, wide = (F.lit(False), F.lit(False), F.lit(False))
+    for x, n in zip(fields, number, strict=True):
+        missing, odd, wide = missing | x.isNull(), odd | ~x.rlike("^[0-9]+$"), wide | (n > 2**63 - 1) | (F.length(x) > 38)
+    own = Window.partitionBy("split").orderBy("line_offset")
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("split").agg(F.count("*").alias("n")).select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    out = rows.withColumn("own", F.row_number().over(own)).join(F.broadcast(carry), "split")
+    fits = [F.when(n <= 2**63 - 1, n).cast("long").alias(c) for n, c in zip(number, names, strict=True)]
+    error = F.when(missing, "index.fai.field_missing").when(odd, "index.fai.invalid_integer").when(wide, "index.fai.integer_out_of_range")
+    out = out.select((F.col("ahead") + F.col("own") - 1).alias("ordinal"), F.get("f", F.lit(0)).alias("id"), *fits, F.lit(True).alias("uniform"), error.alias("error"))
+    zero = F.when(F.col("seq_len") == 0, "index.zero_sequence_length").when((F.col("line_bases") == 0) | (F.col("line_bytes") <= F.col("line_bases")), "index.invalid_line_geometry")
+    return out.withColumn("error", F.coalesce("error", zero))

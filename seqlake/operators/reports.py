@@ -2,51 +2,125 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 from pyspark.sql import DataFrame
 
-from . import validate
+from . import stats, validate
 
+#: Keys of a protein report by residue, in its order; fixed values.
+RESIDUES = {
+    "A": "a_alanine", "R": "r_arginine", "N": "n_asparagine", "D": "d_aspartate", "C": "c_cysteine", "E": "e_glutamate", "Q": "q_glutamine", "G": "g_glycine",
+    "H": "h_histidine", "I": "i_isoleucine", "L": "l_leucine", "K": "k_lysine", "M": "m_methionine", "F": "f_phenylalanine", "P": "p_proline", "S": "s_serine",
+    "T": "t_threonine", "W": "w_tryptophan", "Y": "y_tyrosine", "V": "v_valine", "B": "b_asx", "Z": "z_glx", "J": "j_xle", "X": "x_unknown",
+    "U": "u_selenocysteine", "O": "o_pyrrolysine",
+}
+#: Categories of findings in the order of a report; fixed values.
+CATEGORIES = {
+    "structure": ("fasta.no_records", "fasta.content_before_header", "fasta.header_control_byte", "fasta.sequence_control_byte", "fasta.empty_record"),
+    "identifiers": ("fasta.empty_identifier", "fasta.duplicate_identifier", "fasta.identifier_too_long", "fasta.long_header", "header.convention_mismatch"),
+    "alphabet": ("sequence.invalid_symbol",),
+    "format": (
+        "format.sequence_whitespace", "format.blank_sequence_line", "format.inconsistent_wrapping", "format.leading_bom", "format.missing_terminal_newline",
+        "format.mixed_line_endings",
+    ),
+}
+#: What a rule's occurrences count; fixed values.
+UNITS = {
+    "file": ("fasta.no_records", "format.leading_bom", "format.missing_terminal_newline", "format.mixed_line_endings"),
+    "line": ("fasta.content_before_header", "format.sequence_whitespace", "format.blank_sequence_line"),
+    "byte": ("fasta.header_control_byte", "fasta.sequence_control_byte", "sequence.invalid_symbol"),
+}
+PREVIEW = 256
 
-def stats_text(lengths, composition) -> str:
-    """The report of ``stats.length_summary`` and ``stats.composition`` rows."""
-    out = ["Lengths", *(f"  {k}: {lengths[k]}" for k in ("records", "total", "shortest", "shortest_name", "longest", "longest_name", "mean", "q1", "median", "q3", "range"))]
-    out += ["Nx", *(f"  {k}: {lengths[k]}" for k in ("n50", "l50", "n90", "l90", "aun")), "Composition", f"  type: {composition['type']}"]
+
+def _share(n: int, total: int) -> str:
+    share = (n * 20000 + total) // (total * 2) if total else 0
+    return f"{n} {share // 100}.{share % 100:02d}%"
+
+
+def stats_text(lengths, composition, residues: dict | None = None, path: str = "", extension: str = "", size: int = 0) -> str:
+    """The report of ``stats.length_summary`` and ``stats.composition`` rows; of protein with ``residues`` (``stats.protein_counts``)."""
+    stats.check_total(lengths["total"], composition["total"])
     total = composition["total"]
-    for k in ("a", "c", "g", "t", "u", "n", "ambiguous", "invalid"):
-        n = composition[k]
-        share = (n * 20000 + total) // (total * 2) if total else 0
-        out.append(f"  {k}: {n} {share // 100}.{share % 100:02d}%")
-    return "\n".join([*out, f"  gc: {composition['gc']}", f"  gc_skew: {composition['gc_skew']}", f"  lowercase: {composition['lowercase']}"]) + "\n"
+    out = ["File:", f"  path: {path}", f"  index: {path}{extension}", f"  size_bytes: {size}", "", "Lengths:"]
+    out += [f"  indexed_records: {lengths['records']}", f"  total_symbols: {lengths['total']}"]
+    out += [f"  {key}: {lengths[k]}" for key, k in (("shortest_length", "shortest"), ("shortest_name", "shortest_name"), ("longest_length", "longest"), ("longest_name", "longest_name"))]
+    out += [*(f"  {k}: {lengths[k]}" for k in ("mean", "q1", "median", "q3", "range")), "", "Nx:", *(f"  {k}: {lengths[k]}" for k in ("n50", "l50", "n90", "l90", "aun"))]
+    out += ["", "Composition:", f"  type: {composition['type']}", "  percent_denominator: total_symbols"]
+    if composition["type"] == "protein" and residues is not None:
+        out += [f"  {key}: {_share(residues[r], total)}" for r, key in RESIDUES.items()]
+        out += [f"  {key}: {_share(residues[key], total)}" for key in ("stop", "invalid")]
+    else:
+        out += [f"  {'iupac_ambiguous' if k == 'ambiguous' else k}: {_share(composition[k], total)}" for k in ("a", "c", "g", "t", "u", "n", "ambiguous", "invalid")]
+        out += [f"  gc: {composition['gc']}" + "%" * (composition["gc"] != "n/a"), f"  gc_skew: {composition['gc_skew']}"]
+    return "\n".join([*out, f"  lowercase: {_share(composition['lowercase'], total)}"]) + "\n"
 
 
-def validation(found: DataFrame, strict: bool = False) -> dict:
-    """status, categories and codes of findings, in the order of the rules."""
+def validation(lines: DataFrame, strict: bool = False, alphabet: str = "auto", schema: str | None = None, long_header: int = validate.LONG_HEADER) -> dict:
+    """The report of a data set's lines: outcome, policy, checks, examined, findings, categories, codes, invalid symbols.
+
+    Findings are summed by code before anything reaches the driver; a check's state and the outcome
+    follow from its errors and warnings.
+    """
+    name, _ = validate.chosen(lines, alphabet)
+    found = validate.findings(lines, name, schema, long_header)
     order = list(validate.RULES)
     rows = sorted(validate.by_code(found).collect(), key=lambda r: order.index(r["code"]))
-    errors, warnings = (sum(r["severity"] == s for r in rows) for s in ("error", "warning"))
-    status = 1 if errors or (warnings and strict) else 2 if warnings else 0
-    categories: dict[str, int] = {}
-    for r in rows:
-        kind = r["code"].split(".")[0]
-        categories[kind] = categories.get(kind, 0) + r["occurrences"]
-    return {"status": status, "errors": errors, "warnings": warnings, "categories": categories, "codes": [r.asDict() for r in rows]}
+    total = lambda some, s: sum(r["occurrences"] for r in some if r["severity"] == s)
+    state = lambda some: "failed" if total(some, "error") else "warnings" if total(some, "warning") else "passed"
+    by = {k: [r for r in rows if r["code"] in codes] for k, codes in CATEGORIES.items()}
+    unit = {code: u for u, codes in UNITS.items() for code in codes}
+    touched = validate.records_by_severity(found).first().asDict()
+    return {
+        "outcome": "invalid" if total(rows, "error") else "warnings" if total(rows, "warning") else "clean",
+        "completion": "complete",
+        "policy": {"strict": strict, "alphabet": name, "max_header_bytes": long_header, "header_convention": schema},
+        "checks": {k: state(some) for k, some in by.items()},
+        "examined": validate.examined(lines).first().asDict(),
+        "findings": {"errors": total(rows, "error"), "warnings": total(rows, "warning"), "error_codes": sum(r["severity"] == "error" for r in rows), "warning_codes": sum(r["severity"] == "warning" for r in rows)},
+        "categories": {k: {"errors": total(some, "error"), "warnings": total(some, "warning")} for k, some in by.items()},
+        **touched,
+        "codes": [{"code": r["code"], "category": next(k for k, some in by.items() if r in some), "severity": r["severity"], "unit": unit.get(r["code"], "record"), "occurrences": r["occurrences"], "records": r["records"], "first_offset": r["first_offset"]} for r in rows],
+        "invalid_symbols": [{"byte": r["byte"], "occurrences": r["n"]} for r in validate.invalid_symbols(lines, name).orderBy("byte").collect()],
+    }
+
+
+def exit_status(report: dict) -> int:
+    """0 for a clean data set, 1 after errors (or warnings if strict), 2 after warnings."""
+    return {"clean": 0, "invalid": 1, "warnings": 1 if report["policy"]["strict"] else 2}[report["outcome"]]
 
 
 def validation_json(report: dict) -> str:
-    """JSON in which whole numbers of more than 32 bits are strings."""
+    """JSON; counts are 64-bit numbers and so stand as strings, a byte is a number."""
 
-    def safe(x):
+    def safe(x, key=None):
         if isinstance(x, dict):
-            return {k: safe(v) for k, v in x.items()}
+            return {k: safe(v, k) for k, v in x.items()}
         if isinstance(x, list):
             return [safe(v) for v in x]
-        return str(x) if isinstance(x, int) and abs(x) >= 1 << 32 else x
+        return str(x) if isinstance(x, int) and not isinstance(x, bool) and key != "byte" else x
 
     return json.dumps(safe(report), ensure_ascii=False)
 
 
+def opaque(data: bytes, most: int = PREVIEW) -> dict:
+    """Bytes that may be no text: the first ``most`` of them as UTF-8 if they are, or else in base64."""
+    head = data[:most]
+    try:
+        encoding, value = "utf8", head.decode()
+    except UnicodeDecodeError:
+        encoding, value = "base64", base64.b64encode(head).decode()
+    return {"encoding": encoding, "value": value, "truncated": len(data) > most, "original_bytes": str(len(data))}
+
+
 def validation_text(report: dict) -> str:
-    lines = [f"{c['severity']} {c['code']}: {c['occurrences']} in {c['records']} records, first at byte {c['first_offset']}" for c in report["codes"]]
-    return "\n".join([*lines, f"status {report['status']}"]) + "\n"
+    lines = [f"{c['severity']} [{c['code']}]: {c['occurrences']} in {c['records']} records, first at byte {c['first_offset']}" for c in report["codes"]]
+    checks = [f"{k}: {v}" for k, v in report["checks"].items()]
+    return "\n".join([*lines, *checks, f"outcome: {report['outcome']}"]) + "\n"
+
+
+def failure_json(code: str, message: str = "", **details) -> str:
+    """A failure as JSON: its code, category (the code's first word), message and typed details."""
+    return json.dumps({"code": code, "category": code.split(".")[0], "message": message, "details": {k: opaque(v) if isinstance(v, bytes) else str(v) if isinstance(v, int) else v for k, v in details.items()}}, ensure_ascii=False)

@@ -36,13 +36,13 @@ def parse_bed(lines: DataFrame, line: str = "value", stranded: bool = False) ->
     rows = rows.withColumns({"_s": F.get("_f", F.lit(1)), "_e": F.get("_f", F.lit(2)), "_d": F.coalesce(F.get("_f", F.lit(5)), F.lit(""))})
     rows = rows.withColumns({"_a": F.expr(_u64("_s")), "_b": F.expr(_u64("_e"))})
     error = (
-        F.when(F.size("_f") < 3, "request.bed_missing_column")
-        .when(~F.col("_s").rlike("^[0-9]+$") | ~F.col("_e").rlike("^[0-9]+$"), "request.bed_invalid_coordinate")
-        .when(F.col("_a").isNull() | F.col("_b").isNull(), "request.coordinate_out_of_range")
-        .when(F.col("_b") <= F.col("_a"), "request.bed_invalid_range")
+        F.when(F.size("_f") < 3, "request.bed.field_missing")
+        .when(~F.col("_s").rlike("^[0-9]+$") | ~F.col("_e").rlike("^[0-9]+$"), "request.bed.invalid_coordinate")
+        .when(F.col("_a").isNull() | F.col("_b").isNull(), "request.bed.coordinate_out_of_range")
+        .when(F.col("_b") <= F.col("_a"), "request.bed.invalid_interval")
     )
     if stranded:
-        error = F.coalesce(error, F.when(~F.col("_d").isin("+", "-", ".", ""), "request.bed_invalid_strand"))
+        error = F.coalesce(error, F.when(~F.col("_d").isin("+", "-", ".", ""), "request.bed.invalid_strand"))
     reverse = (F.col("_d") == "-") if stranded else F.lit(False)
     return rows.select(*lines.columns, F.get("_f", F.lit(0)).alias("name"), (F.col("_a") + 1).alias("start"), F.col("_b").alias("end"), reverse.alias("reverse"), error.alias("error"))
 
@@ -51,4 +51,4 @@ def parse_names(lines: DataFrame, line: str = "value") -> DataFrame:
     """name of each line: blank lines and comments are left out, one CR at the end is taken off, nothing else."""
     v = F.regexp_replace(line, "\r$", "")
     rows = lines.withColumn("name", v).where((F.col("name") != "") & ~F.col("name").startswith("#"))
-    return rows.withColumn("error", F.when(F.octet_length("name") > 65535, "request.name_too_long"))
+    return rows.withColumn("error", F.when(F.octet_length("name") > 65535, "request.identifier_too_long"))

@@ -91,8 +91,7 @@ def byte_histogram(lines: DataFrame) -> DataFrame:
 
         total = np.zeros(256, np.int64)
         for frame in frames:
-            for raw in frame["raw"]:
-                total += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            total += np.bincount(np.frombuffer(b"".join(frame["raw"]), np.uint8), minlength=256)
         at = np.flatnonzero(total)
         at = at[at > 32]
         yield pd.DataFrame({"byte": at, "n": total[at]})
@@ -100,5 +99,11 @@ def byte_histogram(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("raw").cast("binary").alias("raw")).mapInPandas(scan, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
+def check_total(indexed: int, observed: int) -> None:
+    """Symbols counted must be those that the index has."""
+    if indexed != observed:
+        raise ValueError(f"pair.total_length_mismatch: {indexed} indexed, {observed} observed")
+
+
 def percent(n: Column, total: Column) -> Column:
     return fixed(n * 100, total)

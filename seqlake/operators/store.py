@@ -22,7 +22,7 @@ def write_index(index: DataFrame, source: str, path: str) -> None:
     before = identity(source)
     index.write.parquet(f"{path}/rows")
     if identity(source) != before:
-        raise ValueError("index.source_changed")
+        raise ValueError("input.changed")
     index.sparkSession.createDataFrame([before]).coalesce(1).write.parquet(f"{path}/identity")
 
 
@@ -37,24 +37,25 @@ def open_index(spark: SparkSession, source: str, path: str | None = None) -> Dat
         raise ValueError(f"index.not_found: {chosen}")
     if os.path.isdir(chosen):
         stored, now = spark.read.parquet(f"{chosen}/identity").first().asDict(), identity(source)
-        if (stored["size"], stored["mtime_ns"]) != (now["size"], now["mtime_ns"]):
-            raise ValueError("index.stale")
+        for key, code in (("size", "index.source_size_mismatch"), ("mtime_ns", "index.source_mtime_mismatch")):
+            if stored[key] != now[key]:
+                raise ValueError(f"{code}: {stored[key]}, now {now[key]}")
         return spark.read.parquet(f"{chosen}/rows")
     if os.stat(chosen).st_mtime_ns < os.stat(source).st_mtime_ns:
-        raise ValueError("index.stale")
+        raise ValueError(f"index.older_than_source: {chosen}")
     rows = records.read_fai(spark, chosen)
     bad = rows.where("error is not null").first()
     if bad:
         raise ValueError(f"{bad['error']}: {bad['id']}")
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return rows.drop("error")
 
 
 def integrity(index: DataFrame, size: int) -> DataFrame:
     """(id, error) of rows whose geometry can't be: outside a file of ``size`` bytes, or lines without symbols."""
     span = F.col("seq_offset") + F.floor((F.col("seq_len") - 1) / F.col("line_bases")) * F.col("line_bytes") + (F.col("seq_len") - 1) % F.col("line_bases") + 1
     error = (
-        F.when((F.col("line_bases") < 1) | (F.col("line_bytes") <= F.col("line_bases")) | (F.col("seq_len") < 1), "index.invalid_geometry")
-        .when(F.col("seq_offset") >= size, "index.offset_out_of_bounds").when(span > size, "index.extent_out_of_bounds")
+        F.when(F.col("seq_len") < 1, "index.zero_sequence_length").when((F.col("line_bases") < 1) | (F.col("line_bytes") <= F.col("line_bases")), "index.invalid_line_geometry")
+        .when(F.col("seq_offset") >= size, "index.sequence_offset_out_of_bounds").when(span > size, "index.sequence_span_out_of_bounds")
     )
     return index.select("id", error.alias("error")).where("error is not null")
 
@@ -62,7 +63,7 @@ def integrity(index: DataFrame, size: int) -> DataFrame:
 def write_text(rows: DataFrame, path: str, *order: str, source: str | None = None) -> None:
     """Column ``value`` as text in order of ``order``, published by a rename; never over its own source."""
     if source and os.path.realpath(source) == os.path.realpath(path):
-        raise ValueError("usage.output_is_input")
+        raise ValueError("repair.output_is_input")
     staged = f"{path}.{uuid.uuid4().hex}"
     rows.orderBy(*order).select("value").write.text(staged, lineSep="\n")
     os.rename(staged, path)
@@ -81,7 +82,7 @@ class SequenceStore:
         """The index row of an ordinal; one that isn't there raises."""
         row = self.index.where(F.col("ordinal") == ordinal).first()
         if row is None:
-            raise ValueError("api.ordinal_out_of_range")
+            raise ValueError("request.ordinal_out_of_range")
         return row
 
     def lookup(self, name: str) -> int | None:
@@ -92,9 +93,9 @@ class SequenceStore:
         """Symbols [start, end), 0-based, never clipped."""
         row = self.record(ordinal)
         if end < start:
-            raise ValueError("api.end_before_start")
+            raise ValueError("request.end_before_start")
         if end > row["seq_len"]:
-            raise ValueError("api.end_past_sequence")
+            raise ValueError("request.end_after_sequence")
         if start == end:
             return ""
         parts = self.pieces.where((F.col("ordinal") == ordinal) & F.col("chunk").between(start // self.chunk, (end - 1) // self.chunk)).orderBy("chunk").collect()
@@ -104,15 +105,24 @@ class SequenceStore:
 def get(index: DataFrame, sequences: DataFrame, requests: DataFrame, *, rc: bool = False, complement_only: bool = False, reverse_only: bool = False, annotate: bool = False, width: int = 60) -> DataFrame:
     """(request, value): FASTA text of requests (request, name, start, end, is_full, optional reverse for strand).
 
+    ``sequences``: (ordinal, seq), or chunks of any sequence (ordinal, chunk, bases). Only index rows
+    of requested names and chunks that requests reach are joined.
+
     At most one transform; a strand turns on top of it; annotating needs a transform or a strand.
     """
     if rc + complement_only + reverse_only > 1:
-        raise ValueError("usage.conflicting_transforms")
+        raise ValueError("usage.conflicting_options")
     strand = "reverse" in requests.columns
     if annotate and not (rc or complement_only or reverse_only or strand):
-        raise ValueError("usage.annotate_needs_transform")
+        raise ValueError("usage.option_requires")
     minus = F.col("reverse") if strand else F.lit(False)
     asks = requests.withColumns({"reverse": minus != F.lit(rc or reverse_only), "complement": minus != F.lit(rc or complement_only)})
-    found = extract.oriented(extract.extract(extract.resolve(extract.lookup(asks, index)), extract.chunks(sequences)))
-    extract.first_error(found)
+    known = index.join(asks.select(F.col("name").alias("id")), "id", "left_semi")
+    resolved = extract.resolve(extract.lookup(asks, known))
+    extract.first_error(resolved)
+    pieces = sequences if "bases" in sequences.columns else extract.chunks(sequences)
+    wanted = resolved.select("ordinal", F.explode(F.expr(f"sequence(from_base div {extract.CHUNK}, (to_base - 1) div {extract.CHUNK})")).alias("chunk"))
+    found = extract.oriented(extract.extract(resolved, pieces.join(wanted, ["ordinal", "chunk"], "left_semi")))
+    if rc or complement_only or strand:
+        extract.first_error(found)
     return extract.fasta_text(found, width, annotate)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ALPHABETS, IUPAC, count_of, identifier, is_nucleotide, symbols, wrap
+from . import records
 
 #: The order of a report, with severity; fixed values.
 RULES = {
@@ -24,7 +25,7 @@ RULES = {
 #: Prefixes of accession numbers; fixed values.
 REFSEQ = ("NC_", "NM_", "NR_", "NP_", "NW_", "NG_", "NT_", "NZ_", "XM_", "XR_", "XP_")
 _CONTROL = r"[\x00-\x08\x0a-\x1f]"
-SAMPLE_SYMBOLS, LONGEST_ID, LONG_HEADER = 100_000, 65535, 1024
+SAMPLE_SYMBOLS, LONGEST_ID, LONG_HEADER, REPAIR_CHUNK = 100_000, 65535, 1024, 65536
 
 
 def convention(schema: str):
@@ -37,7 +38,7 @@ def convention(schema: str):
 
 
 def sampled_type(lines: DataFrame) -> str:
-    """'nucleotide' or 'protein' from the first ``SAMPLE_SYMBOLS`` symbols of a file."""
+    """'nucleotide' or 'protein' from the first ``SAMPLE_SYMBOLS`` symbols of a data set, file by file."""
     body = lines.where("not is_header and record > 0 and bases > 0")
     sizes = body.groupBy("file", "split").agg(F.sum("bases").alias("n"))
     before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,53 +50,89 @@ def sampled_type(lines: DataFrame) -> str:
     return "nucleotide" if got["x"] else "protein"
 
 
+def chosen(lines: DataFrame, alphabet: str) -> tuple[str, str]:
+    """An alphabet's name, 'auto' decided by the lines, and its letters."""
+    name = sampled_type(lines) if alphabet == "auto" else alphabet
+    return name, ALPHABETS.get(name, name)
+
+
+def invalid_symbols(lines: DataFrame, alphabet: str = "auto") -> DataFrame:
+    """byte, n: how often each symbol outside the alphabet stands in sequence lines; none for 'any'."""
+    from .stats import byte_histogram
+
+    name, allowed = chosen(lines, alphabet)
+    body = lines.where("not is_header and record > 0 and bases > 0").select(F.encode("content", "ISO-8859-1").alias("raw"))
+    seen = byte_histogram(body).where("byte > 32")
+    return seen.where(F.lit(name != "any")).where(~F.col("byte").isin(*(ord(x) for x in allowed)))
+
+
+def examined(lines: DataFrame) -> DataFrame:
+    """One row of bytes, lines, records, records_completed and symbols (of records)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return lines.agg(
+        total("actual_bytes").alias("bytes"), F.count("*").alias("lines"), F.count_if("is_header").alias("records"), F.count_if("is_header").alias("records_completed"),
+        total(F.when(F.col("record") > 0, F.col("bases"))).alias("symbols"),
+    )
+
+
+def records_by_severity(found: DataFrame) -> DataFrame:
+    """One row: records_with_errors, records_with_warnings."""
+    severity = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("code")]
+    each = found.where("record > 0").groupBy("file", "record").agg(F.max(severity == "error").alias("e"), F.max(severity == "warning").alias("w"))
+    return each.agg(F.count_if("e").alias("records_with_errors"), F.count_if("w").alias("records_with_warnings"))
+
+
 def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None, long_header: int = LONG_HEADER) -> DataFrame:
     """(code, file, record, offset, n): every finding; n counts the rule's unit at that place."""
-    if alphabet == "auto":
-        alphabet = sampled_type(lines)
-    allowed = ALPHABETS.get(alphabet, alphabet)
-    head, body = lines.where("is_header"), lines.where("not is_header and record > 0")
-    text = F.col("content")
-
-    def rule(code, rows, n=None, offset="line_offset"):
-        own = rows.withColumn("n", (F.lit(1) if n is None else n).cast("long")).where("n > 0")
-        return own.select(F.lit(code).alias("code"), "file", "record", F.expr(offset).alias("offset"), "n")
-
-    ids = head.withColumn("id", identifier(F.substring(text, 2, 2**31 - 1)))
-    named = ids.where(F.length("id").between(1, LONGEST_ID))
-    repeats = named.groupBy("file", "id").agg(F.min("line_offset").alias("first"))
-    sized = lines.where("record > 0").groupBy("file", "record").agg(F.sum("bases").alias("bases"), F.min("header_offset").alias("line_offset"))
-    clean = symbols(text)
-    out = [
-        rule("fasta.content_before_header", lines.where("record = 0 and content rlike '[^ \\t\\r]'")),
-        rule("fasta.header_control_byte", head, F.regexp_count(text, F.lit(_CONTROL))),
-        rule("fasta.sequence_control_byte", body, F.regexp_count(text, F.lit(_CONTROL))),
-        rule("fasta.empty_record", sized.where("bases = 0")),
-        rule("fasta.empty_identifier", ids.where("id = ''")),
-        rule("fasta.duplicate_identifier", named.join(repeats, ["file", "id"]).where("line_offset > first")),
-        rule("fasta.identifier_too_long", ids.where(F.length("id") > LONGEST_ID)),
-        rule("fasta.long_header", head.where(F.length(text) - 1 > long_header)),
-        rule("format.sequence_whitespace", body.where("content rlike '[ \\t]'")),
-        rule("format.blank_sequence_line", body.where("content = ''")),
-        wrapping(lines),
-        file_findings(lines),
-    ]
+    alphabet, allowed = chosen(lines, alphabet)
+    text, header, body = F.col("content"), F.col("is_header"), ~F.col("is_header") & (F.col("record") > 0)
+    lines = lines.withColumn("id", F.when(header, identifier(F.substring(text, 2, 2**31 - 1))))
+    control, clean = F.regexp_count(text, F.lit(_CONTROL)), symbols(text)
+    rules = {
+        "fasta.content_before_header": (F.col("record") == 0) & text.rlike("[^ \\t\\r]"),
+        "fasta.header_control_byte": F.when(header, control),
+        "fasta.sequence_control_byte": F.when(body, control),
+        "fasta.empty_identifier": F.col("id") == "",
+        "fasta.identifier_too_long": F.length("id") > LONGEST_ID,
+        "fasta.long_header": header & (F.length(text) - 1 > long_header),
+        "format.sequence_whitespace": body & text.rlike("[ \\t]"),
+        "format.blank_sequence_line": body & (text == ""),
+    }
     if schema:
-        out.append(rule("header.convention_mismatch", ids.where(~convention(schema))))
+        rules["header.convention_mismatch"] = header & ~convention(schema)
     if alphabet != "any":
-        out.append(rule("sequence.invalid_symbol", body, F.length(clean) - count_of(clean, allowed)))
-    result = out[0]
-    for rows in out[1:]:
-        result = result.unionByName(rows)
-    return result
+        rules["sequence.invalid_symbol"] = F.when(body, F.length(clean) - count_of(clean, allowed))
+    each = F.filter(F.array(*(F.struct(F.lit(k).alias("code"), n.cast("long").alias("n")) for k, n in rules.items())), lambda x: x["n"] > 0)
+    by_line = lines.select("file", "record", F.col("line_offset").alias("offset"), F.explode(each).alias("f")).select("f.code", "file", "record", "offset", "f.n")
+    return by_line.unionByName(repeats(lines)).unionByName(record_findings(lines)).unionByName(file_findings(lines))
+
+
+def repeats(lines: DataFrame) -> DataFrame:
+    """fasta.duplicate_identifier: every header whose id a header before it in its file has."""
+    named = lines.where(F.length("id").between(1, LONGEST_ID)).select("file", "record", "line_offset", "id")
+    firsts = named.groupBy("file", "id").agg(F.min("line_offset").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = named.join(firsts, ["file", "id"]).where("line_offset > first")
+    return rows.select(F.lit("fasta.duplicate_identifier").alias("code"), "file", "record", F.col("line_offset").alias("offset"), F.lit(1).cast("long").alias("n"))
+
 
+def record_findings(lines: DataFrame) -> DataFrame:
+    """fasta.empty_record, and format.inconsistent_wrapping once a record, at its first offending base line.
 
-def wrapping(lines: DataFrame) -> DataFrame:
-    """format.inconsistent_wrapping: once a record, at its first offending base line."""
-    base = lines.where("not is_header and record > 0 and bases > 0")
-    ends = base.groupBy("file", "record").agg(F.min_by("bases", "line_offset").alias("width"), F.max("line_offset").alias("last"))
-    bad = base.join(ends, ["file", "record"]).where("(line_offset < last and bases <> width) or (line_offset = last and bases > width)")
-    return bad.groupBy("file", "record").agg(F.min("line_offset").alias("offset")).select(F.lit("format.inconsistent_wrapping").alias("code"), "file", "record", "offset", F.lit(1).cast("long").alias("n"))
+    Lines are combined by width first, so a record comes together as its different widths.
+    """
+    widths = lines.where("record > 0").groupBy("file", "record", "bases").agg(F.min("line_offset").alias("a"), F.max("line_offset").alias("z"), F.min("header_offset").alias("head"))
+    base = F.col("bases") > 0
+    seen = widths.groupBy("file", "record").agg(
+        F.max("bases").alias("most"), F.min("head").alias("head"), F.min_by(F.when(base, F.col("bases")), F.when(base, F.col("a"))).alias("width"),
+        F.max(F.when(base, F.col("z"))).alias("last"), F.collect_list(F.when(base, F.struct("bases", "a"))).alias("all"),
+    )
+    # a line that isn't the last may have no other width; the last may be narrower
+    odd = F.array_min(F.transform(F.filter("all", lambda x: (x["bases"] != F.col("width")) & ((x["a"] < F.col("last")) | (x["bases"] > F.col("width")))), lambda x: x["a"]))
+    found = F.array(
+        F.struct(F.lit("fasta.empty_record").alias("code"), F.when(F.col("most") == 0, F.col("head")).alias("offset")),
+        F.struct(F.lit("format.inconsistent_wrapping").alias("code"), odd.alias("offset")),
+    )
+    return seen.select("file", "record", F.explode(found).alias("f")).where("f.offset is not null").select("f.code", "file", "record", "f.offset", F.lit(1).cast("long").alias("n"))
 
 
 def file_findings(lines: DataFrame) -> DataFrame:
@@ -154,7 +191,10 @@ def compare_sides(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def repaired(lines: DataFrame, width: int = 60) -> DataFrame:
-    """(file, record, value): records with header bytes as they are and symbols in lines of ``width``.
+    """(file, record, chunk, value): header bytes as they are (chunk -1) and symbols in lines of ``width``.
+
+    Written in order of file, record and chunk the values are the repaired file's lines; no value
+    holds more than some 65,536 symbols.
 
     Files without records, with content before the first header or with control bytes raise.
     """
@@ -162,14 +202,13 @@ def repaired(lines: DataFrame, width: int = 60) -> DataFrame:
     bad = findings(lines, "any").where(F.col("code").isin(*blockers)).orderBy(F.coalesce("offset", F.lit(0))).first()
     if bad:
         raise ValueError(f"repair.blocked: {bad['code']} at {bad['offset']}")
-    parts = lines.where("not is_header and record > 0 and bases > 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line_offset", symbols(F.col("content")).alias("s")))).alias("p"))
-    seq = F.array_join(F.transform("p", lambda x: x["s"]), "")
-    rows = lines.where("is_header").select("file", "record", "content").join(parts, ["file", "record"], "left")
-    return rows.select("file", "record", F.concat("content", F.when(F.col("p").isNull(), "").otherwise(F.concat(F.lit("\n"), wrap(seq, width)))).alias("value"))
+    size = width * (REPAIR_CHUNK // width or 1)  # whole lines
+    rows = records.chunks(lines, size).select("file", "record", "chunk", wrap(F.col("bases"), width).alias("value"))
+    return lines.where("is_header").select("file", "record", F.lit(-1).cast("long").alias("chunk"), F.col("content").alias("value")).unionByName(rows)
 
 
 def custom_alphabet(letters: str) -> str:
     """A custom alphabet: its letters, which must be visible ASCII."""
     if not re.fullmatch(r"[!-~]+", letters):
-        raise ValueError("usage.invalid_alphabet")
+        raise ValueError("usage.invalid_option_value")
     return letters

@@ -27,7 +27,7 @@ ln as (select doc_id, 'doc' || doc_id as file, k, content, k = 0 as is_header, c
 BED = """bed as (select o_orderkey as request, 'doc' || (o_orderkey % 1100) as name, o_custkey % 700 + 1 as start_, o_custkey % 700 + o_orderkey % 50 + 1 as end_, o_orderstatus = 'O' as rev from orders)"""
 REG = """reg as (select o_orderkey as request, 'doc' || (o_orderkey % 1100) as name, case when o_orderkey % 3 > 0 then o_custkey % 500 + 1 end as start_, case when o_orderkey % 3 = 2 then o_custkey % 500 + 60 end as end_ from orders)"""
 RES = IDX + ", " + REG + """, res as (select request, name, start_, end_, seq, seq_len,
-  case when seq_len is null then 'request.sequence_not_found' when start_ > seq_len then 'request.start_past_end' when end_ < start_ then 'request.end_before_start' end as error
+  case when seq_len is null then 'request.sequence_not_found' when start_ > seq_len then 'request.start_after_sequence' when end_ < start_ then 'request.end_before_start' end as error
   from reg left join idx on name = id)"""
 
 
@@ -319,9 +319,11 @@ def index_compare(spark, sf_dir):
 @query("with " + LINES + ", s as (select file, string_agg(regexp_replace(content, '[\\x00-\\x20]', '', 'g'), '' order by k) as seq from ln where k > 0 group by file) select file, cast(strlen(seq) as bigint) as symbols, cast(ceil(strlen(seq) / 60.0) as bigint) as lines from s")
 def repair_lines(spark, sf_dir):
     """The size of each repaired record: symbols, and lines of 60."""
-    body = F.regexp_replace("value", r"^[^\n]*\n?", "")
-    rows = V.repaired(T.lines(spark, sf_dir)).withColumn("body", body)
-    return rows.select("file", F.length(F.regexp_replace("body", "\n", "")).cast("long").alias("symbols"), F.when(F.col("body") == "", 0).otherwise(F.length("body") - F.length(F.regexp_replace("body", "\n", "")) + 1).cast("long").alias("lines"))
+    rows = V.repaired(T.lines(spark, sf_dir)).where("chunk >= 0")
+    size = F.length(F.regexp_replace("value", "\n", ""))
+    sums = rows.groupBy("file").agg(F.sum(size).alias("symbols"), F.sum(F.length("value") - size + 1).alias("lines"))
+    files = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("file"))
+    return files.join(sums, "file", "left").select("file", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 @query("with " + LINES + " select file, string_agg(regexp_replace(content, '[\\x00-\\x20]', '', 'g'), '' order by k) as sequence from ln where k > 0 group by file having sum(bases) > 0")

@@ -88,7 +88,7 @@ def test_fai_reader(spark, tmp_path):
     (tmp_path / "x.fai").write_text("a\t4\t6\t4\t5\textra\n\nb\t04\t6\t0\t5\nc\t+4\t6\t4\t5\n")
     rows = {r.id: r for r in records.read_fai(spark, str(tmp_path / "x.fai")).collect()}
     assert (rows["a"].seq_len, rows["a"].error) == (4, None)
-    assert rows["b"].error == "index.invalid_geometry" and rows["c"].error == "index.fai_invalid_integer"
+    assert rows["b"].error == "index.invalid_line_geometry" and rows["c"].error == "index.fai.invalid_integer"
 
 
 def test_length_summary(spark, lines):
@@ -148,8 +148,8 @@ def test_bed_and_names(spark):
     text = ["a\t0\t5\tn\t0\t-", "#x", "", "track", "track name", "browser x", "track1\t1\t2", "b\t1", "b\t+1\t2", "b\t 1\t2", "b\t5\t5", "b\t1\t99999999999999999999999", "c\t0\t2\t.\t.\t?"]
     rows = requests.parse_bed(spark.createDataFrame([(t,) for t in text], "value string"), stranded=True).collect()
     assert [(r.name, r.error) for r in rows] == [
-        ("a", None), ("track1", None), ("b", "request.bed_missing_column"), ("b", "request.bed_invalid_coordinate"), ("b", "request.bed_invalid_coordinate"),
-        ("b", "request.bed_invalid_range"), ("b", "request.coordinate_out_of_range"), ("c", "request.bed_invalid_strand"),
+        ("a", None), ("track1", None), ("b", "request.bed.field_missing"), ("b", "request.bed.invalid_coordinate"), ("b", "request.bed.invalid_coordinate"),
+        ("b", "request.bed.invalid_interval"), ("b", "request.bed.coordinate_out_of_range"), ("c", "request.bed.invalid_strand"),
     ]
     assert (int(rows[0].start), int(rows[0].end), rows[0].reverse) == (1, 5, True)
     names = requests.parse_names(spark.createDataFrame([(t,) for t in ("a", "", "#b", " c \r", "d\r")], "value string")).collect()
@@ -166,7 +166,7 @@ def test_extract_in_chunks(spark):
     got = {r.request: r for r in found.collect()}
     assert [got[k].bases for k in range(5)] == [seq[:5], seq[3:33], seq[64:], seq, seq[69:]]
     assert (got[2].display_end, got[2].to_base) == (9999, 70)
-    assert [got[k].error for k in range(5, 9)] == ["request.sequence_not_found", "request.start_past_end", "request.end_before_start", "request.start_below_one"]
+    assert [got[k].error for k in range(5, 9)] == ["request.sequence_not_found", "request.start_after_sequence", "request.end_before_start", "request.start_before_one"]
     with pytest.raises(ValueError, match="request 5"):
         extract.first_error(found)
     text = extract.fasta_text(found.where("request = 1").withColumns({"reverse": F.lit(True), "complement": F.lit(True)}), 10, annotate=True).first().value
@@ -199,10 +199,10 @@ def test_conventions(spark):
 
 def test_repair(lines):
     data = b"\xef\xbb\xbf>a desc\r\nAC GT\r\nACG\n\nTTTTTT\t\n>b\n>c\nAC?"
-    text = "\n".join(r.value for r in validate.repaired(lines(data, 7), 4).orderBy("record").collect()) + "\n"
+    text = "\n".join(r.value for r in validate.repaired(lines(data, 7), 4).orderBy("record", "chunk").collect()) + "\n"
     assert text == ">a desc\nACGT\nACGT\nTTTT\nT\n>b\n>c\nAC?\n"
     again = lines(text.encode())
-    assert "\n".join(r.value for r in validate.repaired(again, 4).orderBy("record").collect()) + "\n" == text
+    assert "\n".join(r.value for r in validate.repaired(again, 4).orderBy("record", "chunk").collect()) + "\n" == text
     assert not [c for c in summary(validate.findings(again, "any")) if c.startswith("format.")]
     for bad in (b"junk\n>a\nAC\n", b">a\x01\nAC\n", b">a\nA\x00C\n", b"  \n"):
         with pytest.raises(ValueError, match="repair.blocked"):
@@ -213,3 +213,30 @@ def test_compare_index(lines):
     a, b = records.index(lines(b">a\nACGT\n>b\nAC\n>a\nACG\n")), records.index(lines(b">a\nACGT\n>b\nACG\n>c\nAC\n"))
     got = {(r.id, r.occurrence, r.code) for r in validate.compare_index(a, b).collect()}
     assert got == {("a", 2, "pair.record_missing_from_index"), ("b", 1, "pair.sequence_length_mismatch"), ("b", 1, "pair.line_geometry_mismatch"), ("c", 1, "pair.record_missing_from_fasta")}
+
+
+def test_chunks_of_any_record(lines):
+    """Records larger than a split, cut where chunks meet, repaired and read back."""
+    rnd = random.Random(3)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (1, 700, 16, 0, 333)]
+    data = b"".join(b">s%d\n" % k + b"".join(s[a : a + w].encode() + b" \n" for a in range(0, len(s), w)) for (k, s), w in zip(enumerate(seqs), (5, 7, 8, 1, 50)))
+    some = lines(data, 256)
+    got = {}
+    for r in records.chunks(some, 16).orderBy("record", "chunk").collect():
+        assert len(r.bases) <= 16 and r.chunk == len(got.get(r.record, "")) // 16
+        got[r.record] = got.get(r.record, "") + r.bases
+    assert got == {k + 1: s for k, s in enumerate(seqs) if s}
+    starts = {(r.record, r.base_start) for r in records.positions(some).where("bases > 0").collect()}
+    assert starts == {(k + 1, a) for (k, s), w in zip(enumerate(seqs), (5, 7, 8, 1, 50)) for a in range(0, len(s), w)}
+    text = "\n".join(r.value for r in validate.repaired(some, 4).orderBy("record", "chunk").collect())
+    assert text == "\n".join(f">s{k}" + "".join("\n" + s[a : a + 4] for a in range(0, len(s), 4)) for k, s in enumerate(seqs))
+
+
+def test_every_rule(lines):
+    """A data set on which all rules of a report find something."""
+    data = b"\xef\xbb\xbfjunk\n>sp|a|b x\x01\r\nAC GT\nAC\x02C#\n\n>\nAC\n>b\n>b\nACG\nACGT\nAC\n>" + b"i" * 70000 + b"\nAC"
+    got = summary(validate.findings(lines(data, 40_000), "dna", "uniprot"))
+    assert set(got) == set(validate.RULES) - {"fasta.no_records"}
+    assert got["sequence.invalid_symbol"][:2] == (1, 1) and got["format.inconsistent_wrapping"][:2] == (1, 1) and got["header.convention_mismatch"][:2] == (4, 4)
+    assert {r.byte: r.n for r in validate.invalid_symbols(lines(data, 40_000), "dna").collect()} == {35: 1}
+    assert summary(validate.findings(lines(b"\n"), "dna"))["fasta.no_records"][0] == 1

@@ -1,3 +1,4 @@
+import base64
 import json
 import os
 
@@ -34,9 +35,9 @@ def test_index_round_trip(spark, source, lines):
     back = store.open_index(spark, source)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, idx.collect()))
     assert store.integrity(back, len(DATA)).count() == 0
-    assert {r.error for r in store.integrity(back, 30).collect()} == {"index.extent_out_of_bounds", "index.offset_out_of_bounds"}
+    assert {r.error for r in store.integrity(back, 30).collect()} == {"index.sequence_span_out_of_bounds", "index.sequence_offset_out_of_bounds"}
     os.utime(source, ns=(1, 1))
-    with pytest.raises(ValueError, match="index.stale"):
+    with pytest.raises(ValueError, match="index.source_mtime_mismatch"):
         store.open_index(spark, source)
     with pytest.raises(ValueError, match="index.not_found"):
         store.open_index(spark, source, source + ".none")
@@ -48,7 +49,7 @@ def test_store(lines, sequences):
     assert (s.record_count(), s.lookup("seq1"), s.lookup("none"), s.record(1).id) == (3, 0, None, "seq2")
     whole = "ACGTACGTACGT" * 2
     assert all(s.fetch(0, a, b) == whole[a:b] for a, b in ((0, 24), (3, 11), (5, 5), (23, 24)))
-    for args, code in (((9, 0, 1), "ordinal"), ((0, 2, 1), "end_before"), ((0, 0, 25), "end_past")):
+    for args, code in (((9, 0, 1), "ordinal"), ((0, 2, 1), "end_before"), ((0, 0, 25), "end_after")):
         with pytest.raises(ValueError, match=code):
             s.fetch(*args)
 
@@ -60,7 +61,7 @@ def test_get_and_text(spark, tmp_path, source, lines, sequences):
     assert got == [">seq1:1-5 (reverse complement)\nTACG\nT", ">seq2 (reverse complement)\nTTTT\nGGGG\nCCCC", ">seq1:1-5 (reverse complement)\nTACG\nT"]
     with pytest.raises(ValueError, match="conflicting"):
         store.get(idx, sequences, asks, rc=True, reverse_only=True)
-    with pytest.raises(ValueError, match="annotate"):
+    with pytest.raises(ValueError, match="option_requires"):
         store.get(idx, sequences, asks, annotate=True)
     out = str(tmp_path / "out")
     store.write_text(store.get(idx, sequences, asks), out, "request")
@@ -72,11 +73,36 @@ def test_get_and_text(spark, tmp_path, source, lines, sequences):
 
 def test_reports(lines, sequences):
     text = reports.stats_text(stats.length_summary(records.index(lines)).first(), stats.composition(sequences).first())
-    assert "  n50: 24\n" in text and "  type: nucleotide_t\n" in text and "  a: 10 26.32%\n" in text
-    report = reports.validation(validate.findings(lines))
-    assert report["status"] == 1 and [c["code"] for c in report["codes"]] == ["fasta.duplicate_identifier"]
-    assert json.loads(reports.validation_json({"n": 1 << 40, "m": 3})) == {"n": str(1 << 40), "m": 3}
-    assert reports.validation_text(report).endswith("status 1\n")
+    assert "  n50: 24\n" in text and "  type: nucleotide_t\n" in text and "  a: 10 26.32%\n" in text and "  iupac_ambiguous: 0 0.00%\n" in text
+    report = reports.validation(lines)
+    assert report["outcome"] == "invalid" and [c["code"] for c in report["codes"]] == ["fasta.duplicate_identifier"] and reports.exit_status(report) == 1
+    assert report["checks"] == {"structure": "passed", "identifiers": "failed", "alphabet": "passed", "format": "passed"}
+    assert report["examined"] == {"bytes": len(DATA), "lines": 7, "records": 3, "records_completed": 3, "symbols": 38}
+    assert (report["records_with_errors"], report["records_with_warnings"], report["invalid_symbols"]) == (1, 0, [])
+    back = json.loads(reports.validation_json(report))
+    assert back["findings"] == {"errors": "1", "warnings": "0", "error_codes": "1", "warning_codes": "0"} and back["policy"]["strict"] is False
+    assert reports.validation_text(report).endswith("outcome: invalid\n")
+    assert reports.opaque(b"a\xff" * 200) == {"encoding": "base64", "value": base64.b64encode(b"a\xff" * 128).decode(), "truncated": True, "original_bytes": "400"}
+    assert json.loads(reports.failure_json("request.sequence_not_found", "unknown", name=b"x"))["details"]["name"]["value"] == "x"
+    with pytest.raises(ValueError, match="pair.total_length_mismatch"):
+        stats.check_total(3, 4)
+
+
+def test_protein_report(spark):
+    seqs = spark.createDataFrame([(0, "a", "MKVLE*")], "ordinal long, id string, seq string")
+    lengths = stats.length_summary(seqs.withColumn("seq_len", F.length("seq").cast("long"))).first()
+    text = reports.stats_text(lengths, stats.composition(seqs).first(), {r.residue: r.n for r in stats.protein_counts(seqs).collect()}, "x.fa", ".fai", 9)
+    assert text.startswith("File:\n  path: x.fa\n  index: x.fa.fai\n  size_bytes: 9\n") and "  m_methionine: 1 16.67%\n" in text and "  stop: 1 16.67%\n" in text
+
+
+def test_fai_index(spark, tmp_path, source, lines):
+    (tmp_path / "x.fa.fai").write_text("seq1\t24\t8\t12\t13\textra\n\nseq2\t12\t40\t12\t13\nseq1\t2\t59\t2\t3\n")
+    idx = store.open_index(spark, source)
+    assert [(r.ordinal, r.id, r.seq_len) for r in idx.orderBy("ordinal").collect()] == [(0, "seq1", 24), (1, "seq2", 12), (2, "seq1", 2)]
+    assert validate.compare_index(records.index(lines), idx).count() == 0
+    for row, code in (("a\t1\t2", "field_missing"), ("a\t1\tx\t3\t4", "invalid_integer"), ("a\t1\t99999999999999999999\t3\t4", "integer_out_of_range"), ("a\t0\t5\t1\t2", "zero_sequence"), ("a\t1\t5\t3\t3", "invalid_line_geometry")):
+        (tmp_path / "y.fai").write_text(row + "\n")
+        assert code in records.read_fai(spark, str(tmp_path / "y.fai")).first().error
 
 
 def test_streamed_requests(spark, tmp_path, lines):
