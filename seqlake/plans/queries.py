@@ -24,8 +24,8 @@ raw as (select doc_id, 0 as k, head as content from docs union all
 ln as (select doc_id, 'doc' || doc_id as file, k, content, k = 0 as is_header, cast(strlen(content) as bigint) as content_len,
   cast(case when k = 0 then 0 else strlen(regexp_replace(content, '[\\x00-\\x20]', '', 'g')) end as bigint) as bases,
   cast(coalesce(sum(strlen(content) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as line_offset from raw)"""
-BED = """bed as (select o_orderkey as request, 'doc' || (o_orderkey % 1100) as name, o_custkey % 700 + 1 as start_, o_custkey % 700 + o_orderkey % 50 + 1 as end_, o_orderstatus = 'O' as rev from orders)"""
-REG = """reg as (select o_orderkey as request, 'doc' || (o_orderkey % 1100) as name, case when o_orderkey % 3 > 0 then o_custkey % 500 + 1 end as start_, case when o_orderkey % 3 = 2 then o_custkey % 500 + 60 end as end_ from orders)"""
+BED = """bed as (select o_orderkey as request, 'doc' || (o_orderkey % (select max(doc_id) * 11 // 10 + 1 from documents)) as name, o_custkey % 700 + 1 as start_, o_custkey % 700 + o_orderkey % 50 + 1 as end_, o_orderstatus = 'O' as rev from orders)"""
+REG = """reg as (select o_orderkey as request, 'doc' || (o_orderkey % (select max(doc_id) * 11 // 10 + 1 from documents)) as name, case when o_orderkey % 3 > 0 then o_custkey % 500 + 1 end as start_, case when o_orderkey % 3 = 2 then o_custkey % 500 + 60 end as end_ from orders)"""
 RES = IDX + ", " + REG + """, res as (select request, name, start_, end_, seq, seq_len,
   case when seq_len is null then 'request.sequence_not_found' when start_ > seq_len then 'request.start_after_sequence' when end_ < start_ then 'request.end_before_start' end as error
   from reg left join idx on name = id)"""

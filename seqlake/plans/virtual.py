@@ -42,17 +42,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.assign_records(records.line_facts(raw_lines(spark, sf_dir)))
 
 
+def names(spark: SparkSession, sf_dir: str):
+    """A document's name for each order, all documents being asked for; some tenth of the names are unknown."""
+    most = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("m")).first()["m"] or 0
+    return F.concat(F.lit("doc"), F.col("o_orderkey") % (most * 11 // 10 + 1))
+
+
 def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request, value: BED rows from orders; names go past the documents, so some are unknown."""
     start = F.col("o_custkey") % 700
-    value = F.concat_ws("\t", F.concat(F.lit("doc"), F.col("o_orderkey") % 1100), start.cast("string"), (start + F.col("o_orderkey") % 50 + 1).cast("string"), F.lit("x"), F.lit("0"), F.when(F.col("o_orderstatus") == "O", "-").otherwise("+"))
+    value = F.concat_ws("\t", names(spark, sf_dir), start.cast("string"), (start + F.col("o_orderkey") % 50 + 1).cast("string"), F.lit("x"), F.lit("0"), F.when(F.col("o_orderstatus") == "O", "-").otherwise("+"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), value.alias("value"))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request, token: the three forms of a region, by order key."""
     o = table(spark, sf_dir, "orders")
-    name = F.concat(F.lit("doc"), F.col("o_orderkey") % 1100)
+    name = names(spark, sf_dir)
     a = (F.col("o_custkey") % 500 + 1).cast("string")
     b = (F.col("o_custkey") % 500 + 60).cast("string")
     kind = F.col("o_orderkey") % 3
