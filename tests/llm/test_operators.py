@@ -409,6 +409,21 @@ def test_toxicity_learns(spark):
     assert all(again[k] == got[k].score for k in got)
 
 
+def test_toxicity_against_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    m = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in toxicity.new_model().items()}
+    some = [t or "" for t in TEXTS[:9]] + [TEXTS[-1]]
+    got = toxicity.logits(m, toxicity.read(some))
+    for text, z in zip(some, got, strict=True):
+        own = [m["E"][list(toxicity.features(w))].sum(0) for w in re.findall(r"[^\W_]+", text.lower())]
+        row = [np.zeros(toxicity.DIM)] * toxicity.PAD + own + [np.zeros(toxicity.DIM)] * toxicity.PAD
+        top = []
+        for w in toxicity.WIDTHS:
+            each = [sum(row[p + j] @ m[f"K{w}"][j] for j in range(w)) + m[f"c{w}"] for p in range(len(own) + toxicity.PAD)]
+            top += list(np.max(each, 0))
+        assert math.isclose(z, np.maximum(top, 0) @ m["w"] + m["b"][0], rel_tol=1e-3, abs_tol=1e-3)
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(9, 1), (12, 0), (12, 1), (None, 1), (15, None)], "doc_id long, toxic int")
     got = toxicity.classify(docs, labels).collect()
@@ -682,7 +697,7 @@ def test_warc_audits_bytes(spark, tmp_path):
 # pipeline
 
 
-def test_pipeline_keeps_columns(spark, tmp_path):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = [(k, f"{sentence(30)}\nunique words {k} {'moron trash' if k % 5 == 0 else 'fine text'}", "en", "s", 1) for k in range(60)]
@@ -692,10 +707,39 @@ def test_pipeline_keeps_columns(spark, tmp_path):
     spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = common.materialize(stage(spark, now, str(tmp_path)))
+        before, after = [(r.doc_id, r.text) for r in now.collect()], common.materialize(stage(spark, now, str(tmp_path)))
+        got = sorted((r.doc_id, r.text) for r in after.collect())
         assert after.columns == docs.columns, name
+        if name == "toxicity":
+            model, cuts = toxicity.fit(*toxicity.sample(common.texts(now), spark.read.parquet(str(tmp_path / "labels.parquet")), common.crc32_of_id() % 5 != 0))
+            read = toxicity.read([t for _, t in before])
+            want = [r for r, z in zip(before, toxicity.logits(model, read) - cuts[read.language]) if z < 0]
+        elif name == "line_dedup":
+            each, kind = brute_lines(before)
+            first = {}
+            for *place, x in sorted(each):
+                first.setdefault(kind.get(x, (x, *place)), place)
+            want = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if first[kind.get(x, (x, True, d, n, k))] == [True, d, n, k])) for n, (d, t) in enumerate(before)]
+        else:
+            shingles = [{tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} if words(t) else set() for _, t in before]
+            root = components_of(len(before), [(i, j) for i, a in enumerate(shingles) for j, b in enumerate(shingles[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)])
+            least = {}
+            for (d, _), r in zip(before, root):
+                least[r] = min(least.get(r, d), d)
+            want = [(d, t) for (d, t) in before if d in least.values()]
+        assert got == sorted(want), name
         now = after
     assert {r.n_chars - len(r.text) for r in now.collect()} == {0}
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.select("doc_id").distinct().count() == now.count()
-    assert corpus_pipeline.ORACLE_SQL is None
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in now.collect()}
+    fill = collections.Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    assert max(fill.values()) <= 1024 and sum(fill.values()) == sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in now.collect())
+    none = tmp_path / "none"
+    docs.limit(0).write.parquet(str(none / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(none / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0 and corpus_pipeline.ORACLE_SQL is None
