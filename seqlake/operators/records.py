@@ -171,6 +171,13 @@ def index(lines: DataFrame) -> DataFrame:
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy("record")) - 1)
 
 
+def across_files(idx: DataFrame) -> DataFrame:
+    """An index of several files with ordinals that run on from file to file, by name."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    carry = idx.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_ahead"))
+    return idx.join(carry, "file").withColumn("ordinal", F.col("ordinal") + F.col("_ahead")).drop("_ahead")
+
+
 def fai_rows(idx: DataFrame) -> DataFrame:
     """One line of a .fai for each record, with its order; a record that isn't uniform raises."""
     bad = idx.where("not uniform").orderBy("file", "record").select("id", "reason").first()

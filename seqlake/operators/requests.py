@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most regions that one call may name outright; names and BED rows have no limit. A fixed value.
+MOST_REGIONS = 1024
 _U64 = 18446744073709551615
 
 
@@ -24,6 +26,15 @@ def parse_regions(tokens: DataFrame, token: str = "token") -> DataFrame:
     return part.select(*tokens.columns, F.when(ranged, F.col("_n")).otherwise(F.col(token)).alias("name"), F.when(ranged, F.col("_a")).alias("start"), F.when(ranged, F.col("_b")).alias("end"), (~ranged).alias("is_full"))
 
 
+def named_regions(spark, tokens: list[str]) -> DataFrame:
+    """``parse_regions`` of tokens given outright, numbered by position; more than ``MOST_REGIONS``, or none, raise."""
+    if not tokens:
+        raise ValueError("usage.missing_argument")
+    if len(tokens) > MOST_REGIONS:
+        raise ValueError(f"resource.capacity_limit_exceeded: {len(tokens)} of {MOST_REGIONS}")
+    return parse_regions(spark.createDataFrame(list(enumerate(tokens)), "request long, token string"))
+
+
 def request_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines that hold a request: not empty, no comment, no track or browser line."""
     v = F.col(line)

@@ -8,19 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, records
+from ..sources.fasta import files, info, located
+from . import extract, records, spans
 
 
 def identity(path: str) -> dict:
-    """Size and modification time of a source file."""
-    s = os.stat(path)
-    return {"source": os.path.realpath(path), "size": s.st_size, "mtime_ns": s.st_mtime_ns}
+    """Size and modification time of a source, a file or a folder of them."""
+    _, sizes, times = zip(*files(path), strict=True)
+    return {"source": _real(path), "size": sum(sizes), "mtime_ns": max(times)}
 
 
-def write_index(index: DataFrame, source: str, path: str) -> None:
-    """The index as Parquet beside a row of its source's identity; a source that changes meanwhile raises."""
+def _real(path: str) -> str:
+    return os.path.realpath(located(path)[1]) if located(path)[0].type_name == "local" else path
+
+
+def write_index(index: DataFrame, source: str, path: str, sides: DataFrame | None = None) -> None:
+    """The index as Parquet, with its side tables, beside a row of its source's identity; a source that changes meanwhile raises."""
     before = identity(source)
     index.write.parquet(f"{path}/rows")
+    if sides is not None:
+        sides.write.parquet(f"{path}/sides")
     if identity(source) != before:
         raise ValueError("input.changed")
     index.sparkSession.createDataFrame([before]).coalesce(1).write.parquet(f"{path}/identity")
@@ -32,22 +39,28 @@ def open_index(spark: SparkSession, source: str, path: str | None = None) -> Dat
     A Parquet index that doesn't match the source raises and is never passed over; a ``.fai`` older
     than its source raises too.
     """
-    chosen = path or (f"{source}.zidx" if os.path.exists(f"{source}.zidx") else f"{source}.fai")
-    if not os.path.exists(chosen):
+    chosen = path or (f"{source}.zidx" if info(f"{source}.zidx").type.name != "NotFound" else f"{source}.fai")
+    kind = info(chosen).type.name
+    if kind == "NotFound":
         raise ValueError(f"index.not_found: {chosen}")
-    if os.path.isdir(chosen):
+    if kind == "Directory":
         stored, now = spark.read.parquet(f"{chosen}/identity").first().asDict(), identity(source)
         for key, code in (("size", "index.source_size_mismatch"), ("mtime_ns", "index.source_mtime_mismatch")):
             if stored[key] != now[key]:
                 raise ValueError(f"{code}: {stored[key]}, now {now[key]}")
         return spark.read.parquet(f"{chosen}/rows")
-    if os.stat(chosen).st_mtime_ns < os.stat(source).st_mtime_ns:
+    if info(chosen).mtime_ns < info(source).mtime_ns:
         raise ValueError(f"index.older_than_source: {chosen}")
     rows = records.read_fai(spark, chosen)
     bad = rows.where("error is not null").first()
     if bad:
         raise ValueError(f"{bad['error']}: {bad['id']}")
-    return rows.drop("error")
+    return rows.drop("error").withColumns({"file": F.lit(source), "record": F.col("ordinal") + 1})
+
+
+def open_sides(spark: SparkSession, path: str) -> DataFrame | None:
+    """The side tables of a stored index, if it has them."""
+    return spark.read.parquet(f"{path}/sides") if info(f"{path}/sides").type.name == "Directory" else None
 
 
 def integrity(index: DataFrame, size: int) -> DataFrame:
@@ -62,11 +75,12 @@ def integrity(index: DataFrame, size: int) -> DataFrame:
 
 def write_text(rows: DataFrame, path: str, *order: str, source: str | None = None) -> None:
     """Column ``value`` as text in order of ``order``, published by a rename; never over its own source."""
-    if source and os.path.realpath(source) == os.path.realpath(path):
+    if source and _real(source) == _real(path):
         raise ValueError("repair.output_is_input")
     staged = f"{path}.{uuid.uuid4().hex}"
     rows.orderBy(*order).select("value").write.text(staged, lineSep="\n")
-    os.rename(staged, path)
+    system, name = located(path)
+    system.move(located(staged)[1], name)
 
 
 class SequenceStore:
@@ -102,11 +116,12 @@ class SequenceStore:
         return "".join(r["bases"] for r in parts)[start - start // self.chunk * self.chunk :][: end - start]
 
 
-def get(index: DataFrame, sequences: DataFrame, requests: DataFrame, *, rc: bool = False, complement_only: bool = False, reverse_only: bool = False, annotate: bool = False, width: int = 60) -> DataFrame:
+def get(index: DataFrame, sequences: DataFrame | None, requests: DataFrame, *, rc: bool = False, complement_only: bool = False, reverse_only: bool = False, annotate: bool = False, width: int = 60, sides: DataFrame | None = None) -> DataFrame:
     """(request, value): FASTA text of requests (request, name, start, end, is_full, optional reverse for strand).
 
     ``sequences``: (ordinal, seq), or chunks of any sequence (ordinal, chunk, bases). Only index rows
-    of requested names and chunks that requests reach are joined.
+    of requested names and chunks that requests reach are joined. With None for ``sequences`` the
+    chunks are read by seeking in the source that the index (and ``sides``, its side tables) names.
 
     At most one transform; a strand turns on top of it; annotating needs a transform or a strand.
     """
@@ -120,9 +135,13 @@ def get(index: DataFrame, sequences: DataFrame, requests: DataFrame, *, rc: bool
     known = index.join(asks.select(F.col("name").alias("id")), "id", "left_semi")
     resolved = extract.resolve(extract.lookup(asks, known))
     extract.first_error(resolved)
-    pieces = sequences if "bases" in sequences.columns else extract.chunks(sequences)
-    wanted = resolved.select("ordinal", F.explode(F.expr(f"sequence(from_base div {extract.CHUNK}, (to_base - 1) div {extract.CHUNK})")).alias("chunk"))
-    found = extract.oriented(extract.extract(resolved, pieces.join(wanted, ["ordinal", "chunk"], "left_semi")))
+    if sequences is None:
+        pieces = spans.read_chunks(spans.chunks_asked(resolved), sides)
+    else:
+        pieces = sequences if "bases" in sequences.columns else extract.chunks(sequences)
+        wanted = resolved.select("ordinal", F.explode(F.expr(f"sequence(from_base div {extract.CHUNK}, (to_base - 1) div {extract.CHUNK})")).alias("chunk"))
+        pieces = pieces.join(wanted, ["ordinal", "chunk"], "left_semi")
+    found = extract.oriented(extract.extract(resolved, pieces))
     if rc or complement_only or strand:
         extract.first_error(found)
     return extract.fasta_text(found, width, annotate)

@@ -9,6 +9,7 @@ from ..functions import IUPAC, complement, count_of, fixed, is_nucleotide, orien
 from ..operators import extract as X
 from ..operators import records as R
 from ..operators import requests as Q
+from ..operators import spans as P
 from ..operators import stats as S
 from ..operators import validate as V
 from . import virtual as T
@@ -332,6 +333,98 @@ def read_records(spark, sf_dir):
     return rows.select("file", F.decode(F.encode("sequence", "ISO-8859-1"), "UTF-8").alias("sequence"))
 
 
+_FAULTY = "faults(kind, code, n, recs, \"offset\") as (values " + ", ".join(f"({kind}, '{code}', {n}, {recs}, {'null' if at is None else at})" for kind, (_, _, found) in enumerate(T.FAULTS) for code, n, recs, at in found) + f"), hit as (select p_partkey, faults.* from part join faults on p_partkey % {len(T.FAULTS)} = kind)"
+_SEVERE = "case when code like 'fasta.%' and code not in ('fasta.empty_record', 'fasta.long_header') or code = 'sequence.invalid_symbol' then 'error' else 'warning' end"
+
+
+def _faulty(spark, sf_dir):
+    return V.findings(T.faulty_lines(spark, sf_dir), "protein", "refseq")
+
+
+@query("with " + _FAULTY + f" select code, {_SEVERE} as severity, cast(sum(n) as bigint) as occurrences, cast(sum(recs) as bigint) as records, cast(min(\"offset\") as bigint) as first_offset from hit group by code")
+def findings_every_rule(spark, sf_dir):
+    """Files in which each of the rules is broken."""
+    return V.by_code(_faulty(spark, sf_dir))
+
+
+@query("with " + _FAULTY + f" select count(distinct case when {_SEVERE} = 'error' then p_partkey * 10 + least(i, recs) end) as records_with_errors, count(distinct case when {_SEVERE} = 'warning' then p_partkey end) as records_with_warnings from hit, range(1, 3) r(i) where recs > 0")
+def records_by_severity(spark, sf_dir):
+    return V.records_by_severity(_faulty(spark, sf_dir))
+
+
+@query("with " + LINES + " select cast(sum(content_len + 1) as bigint) as bytes, count(*) as lines, count(*) filter (is_header) as records, count(*) filter (is_header) as records_completed, cast(sum(bases) as bigint) as symbols from ln")
+def examined(spark, sf_dir):
+    return V.examined(T.lines(spark, sf_dir))
+
+
+@query("with " + LINES + ", h as (select unnest(regexp_extract_all(hex(encode(content)), '..')) as h from ln where not is_header and bases > 0), b as (select (position(substr(h, 1, 1) in '0123456789ABCDEF') - 1) * 16 + position(substr(h, 2, 1) in '0123456789ABCDEF') - 1 as byte from h) select cast(byte as bigint) as byte, count(*) as n from b where byte > 32 and not (byte between 65 and 90 or byte between 97 and 122 or byte in (42, 45)) group by byte")
+def invalid_symbols(spark, sf_dir):
+    return V.invalid_symbols(T.lines(spark, sf_dir), "protein").select(F.col("byte").cast("long").alias("byte"), "n")
+
+
+_SIDES = _LAYOUT + ", w as (select b.*, cast(coalesce(sum(bases) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as s from b)"
+_ASKED = _SIDES + ", " + REG + """, ask as (select request, rec.*, coalesce(start_, 1) - 1 as f, least(coalesce(end_, seq_len), seq_len) as t from reg join rec on name = rec.file where coalesce(start_, 1) <= seq_len)"""
+
+
+@query("with " + _ASKED + """ select request, cast(case when uniform then seq_offset + f // line_bases * line_bytes + f % line_bases else a.line_offset end as bigint) as byte_start,
+  cast(case when uniform then seq_offset + (t - 1) // line_bases * line_bytes + (t - 1) % line_bases + 1 else z.line_offset + z.content_len + 1 end as bigint) as byte_end,
+  cast(case when uniform then 0 else f - a.s end as bigint) as leading, cast(case when uniform then 0 else z.s + z.bases - t end as bigint) as trailing
+  from ask join w a on a.file = ask.file and a.s <= f and f < a.s + a.bases join w z on z.file = ask.file and z.s < t and t <= z.s + z.bases""")
+def disk_spans(spark, sf_dir):
+    """Where in the documents' files the symbols of regions stand."""
+    lines = T.lines(spark, sf_dir)
+    idx = R.index(lines).withColumn("ordinal", F.substring("id", 4, 20).cast("long"))
+    asked = X.resolve(X.lookup(Q.parse_regions(T.regions(spark, sf_dir)), idx)).where("error is null")
+    return P.disk_spans(asked, R.side_table(lines)).select("request", "byte_start", "byte_end", "leading", "trailing")
+
+
+_ASCII = "docs as (select 'doc' || doc_id as id, lang, string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), chr(10)) as parts, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '[\\x00-\\x20]', '', 'g') as seq from documents), idx as (select *, cast(length(seq) as bigint) as seq_len from docs where seq <> '')"
+
+
+_FIELDS = """own as (select doc_id, source || doc_id % 3 as id, row_number() over (partition by source || doc_id % 3 order by doc_id) as k, doc_id % 4 > 0 as uniform, n_chars from documents),
+other as (select doc_id, source || case when doc_id % 13 = 0 then 3 else doc_id % 3 end as id, row_number() over (partition by source || case when doc_id % 13 = 0 then 3 else doc_id % 3 end order by doc_id) as k, doc_id % 4 > 0 and doc_id % 17 > 0 as uniform, n_chars from documents),
+pair as (select coalesce(a.id, b.id) as id, coalesce(a.k, b.k) as occurrence, a.id is null as no_a, b.id is null as no_b, a.doc_id as i, b.doc_id as j, a.n_chars as n, b.n_chars + (b.doc_id % 5 = 0)::int as m, a.uniform as u, b.uniform as v from own a full join other b on a.id = b.id and a.k = b.k)"""
+
+
+@query("with " + _FIELDS + """ select id, cast(occurrence as bigint) as occurrence, code from pair, (values ('pair.record_missing_from_index'), ('pair.record_missing_from_fasta'), ('pair.sequence_length_mismatch'), ('pair.sequence_offset_mismatch'), ('pair.line_geometry_mismatch')) c(code)
+  where case code when 'pair.record_missing_from_index' then no_b when 'pair.record_missing_from_fasta' then no_a when 'pair.sequence_length_mismatch' then n <> m when 'pair.sequence_offset_mismatch' then i % 50 <> j % 50 + (j % 7 = 0)::int else u <> v or u and j % 11 = 0 end""")
+def index_compare_fields(spark, sf_dir):
+    """An index against one with other ids, lengths, offsets and line widths: each of the codes of a pair occurs."""
+    d = T.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "ordinal")
+    name = lambda k: F.concat("source", k.cast("string"))
+    flag = lambda c: F.expr(c).cast("int")
+    own = d.select(name(F.col("ordinal") % 3).alias("id"), "ordinal", F.col("n_chars").alias("seq_len"), (F.col("ordinal") % 50).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.expr("ordinal % 4 > 0").alias("uniform"))
+    other = d.select(
+        name(F.when(F.col("ordinal") % 13 == 0, 3).otherwise(F.col("ordinal") % 3)).alias("id"), "ordinal", (F.col("n_chars") + flag("ordinal % 5 = 0")).alias("seq_len"),
+        (F.col("ordinal") % 50 + flag("ordinal % 7 = 0")).alias("seq_offset"), (60 - flag("ordinal % 11 = 0")).alias("line_bases"), F.lit(61).alias("line_bytes"), F.expr("ordinal % 4 > 0 and ordinal % 17 > 0").alias("uniform"),
+    )
+    return V.compare_index(own, other).select("id", F.col("occurrence").cast("long").alias("occurrence"), "code")
+
+
+@query("with " + _ASCII + " select id, seq_len from idx")
+def source_index(spark, sf_dir):
+    """The documents as FASTA files, read through the source, and their stored index."""
+    return T.stored(spark, sf_dir)[1].select("id", "seq_len")
+
+
+@query("with " + _ASCII + ", " + REG + f" select request, name, {_CUT} as bases from reg join idx on name = id where coalesce(start_, 1) <= seq_len")
+def positional_read(spark, sf_dir):
+    """Regions of the documents' files, by seeking to the spans that the stored index gives."""
+    _, idx, sides = T.stored(spark, sf_dir)
+    asked = X.resolve(X.lookup(Q.parse_regions(T.regions(spark, sf_dir)), idx)).where("error is null")
+    return X.extract(asked, P.read_chunks(P.chunks_asked(asked), sides)).select("request", "name", "bases")
+
+
+@query("with " + _SIDES + " select w.file, min(cast(s as bigint)) as base_start from w join rec using (file) where not uniform and k % 3 = 2 group by w.file")
+def side_compare(spark, sf_dir):
+    """Side tables of which each third line was moved: the first line that differs."""
+    own = R.side_table(T.lines(spark, sf_dir))
+    ln = T.lines(spark, sf_dir).select("file", F.col("line_offset").alias("byte_offset"), (F.col("line_no") - 1).alias("at"))
+    moved = own.join(ln, ["file", "byte_offset"]).withColumn("byte_offset", F.col("byte_offset") + F.when(F.col("at") % 3 == 2, 1).otherwise(0))
+    pair = [x.withColumn("record", F.col("file")) for x in (own, moved)]
+    return V.compare_sides(*pair).select(F.col("record").alias("file"), "base_start")
+
+
 
 def queries() -> dict:
     return dict(QUERIES)

@@ -7,10 +7,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import records, store
+from ..sources.fasta import read_lines
 
 LETTERS, DNA = "abcdefghijklmnopqrstuvwxyz", "ACGTNRYKMSWBVDHUACGTACGTAC"
 
@@ -42,6 +46,67 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.assign_records(records.line_facts(raw_lines(spark, sf_dir)))
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in ``spark.checkpoint.dir``; a temporary one for a local master without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{found.rstrip('/')}/seqlake-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """The documents as FASTA files, their index and its side tables, written and read through the source and the store.
+
+    Characters beyond ASCII are x there.
+    """
+    path = folder(spark)
+    head = F.concat(F.lit(">doc"), F.col("doc_id"), F.lit(" "), F.col("lang"), F.lit("\n"))
+    table(spark, sf_dir, "documents").select(F.concat(head, F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).write.text(path, lineSep="\n")
+    parts = records.assign_records(records.line_facts(read_lines(spark, path)))
+    store.write_index(records.across_files(records.index(parts)), path, path + ".zidx", records.side_table(parts))
+    return path, store.open_index(spark, path), store.open_sides(spark, path + ".zidx")
+
+
+#: Files with one fault a kind: lines, line ends (1: LF, 2: CRLF, 0: none), and what must be found
+#: (code, occurrences, records with it, its first offset in the file). Headers say NC_p.
+FAULTS = [
+    ([b">NC_p x", b"ACGT", b"ACGT"], [1, 1, 1], []),
+    ([b"", b" "], [1, 1], [("fasta.no_records", 1, 0, None)]),
+    ([b"ACGT", b">NC_p", b"ACGT"], [1, 1, 1], [("fasta.content_before_header", 1, 0, 0)]),
+    ([b">NC_p \x01a\x02", b"ACGT"], [1, 1], [("fasta.header_control_byte", 2, 1, 0)]),
+    ([b">NC_p", b"AC\x03GT"], [1, 1], [("fasta.sequence_control_byte", 1, 1, 6)]),
+    ([b">NC_p", b"ACGT", b">NC_q"], [1, 1, 1], [("fasta.empty_record", 1, 1, 11)]),
+    ([b"> x", b"ACGT"], [1, 1], [("fasta.empty_identifier", 1, 1, 0), ("header.convention_mismatch", 1, 1, 0)]),
+    ([b">NC_p", b"ACGT", b">NC_p", b"AC", b">NC_p", b"GT"], [1] * 6, [("fasta.duplicate_identifier", 2, 2, 11)]),
+    ([b">NC_" + b"p" * 65533, b"ACGT"], [1, 1], [("fasta.identifier_too_long", 1, 1, 0), ("fasta.long_header", 1, 1, 0)]),
+    ([b">NC_p " + b"x" * 1020, b"ACGT"], [1, 1], [("fasta.long_header", 1, 1, 0)]),
+    ([b">p", b"ACGT"], [1, 1], [("header.convention_mismatch", 1, 1, 0)]),
+    ([b">NC_p", b"AC1GT!"], [1, 1], [("sequence.invalid_symbol", 2, 1, 6)]),
+    ([b">NC_p", b"AC GT"], [1, 1], [("format.sequence_whitespace", 1, 1, 6)]),
+    ([b">NC_p", b"ACGT", b"", b"ACGT"], [1] * 4, [("format.blank_sequence_line", 1, 1, 11)]),
+    ([b">NC_p", b"ACGT", b"AC", b"ACGT"], [1] * 4, [("format.inconsistent_wrapping", 1, 1, 11)]),
+    ([b"\xef\xbb\xbf>NC_p", b"ACGT"], [1, 1], [("format.leading_bom", 1, 0, 0)]),
+    ([b">NC_p", b"ACGT"], [1, 0], [("format.missing_terminal_newline", 1, 0, 6)]),
+    ([b">NC_p", b"ACGT", b"ACGT"], [1, 2, 1], [("format.mixed_line_endings", 1, 0, 6)]),
+]
+
+
+def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part, of the kind that its key gives; physical lines."""
+    rows = []
+    for kind, (own, terms, _) in enumerate(FAULTS):
+        at = 0
+        for raw, term in zip(own, terms, strict=True):
+            rows.append((kind, at, bytearray(raw), term))
+            at += len(raw) + term
+    faults = spark.createDataFrame(rows, "kind int, line_offset long, raw binary, term int")
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("part"), F.col("p_partkey")).alias("file"), (F.col("p_partkey") % len(FAULTS)).cast("int").alias("kind"))
+    lines = files.join(F.broadcast(faults), "kind").select("file", F.lit(0).cast("long").alias("split"), "line_offset", "raw", "term")
+    return records.assign_records(records.line_facts(lines))
+
+
 def names(spark: SparkSession, sf_dir: str):
     """A document's name for each order, all documents being asked for; some tenth of the names are unknown."""
     most = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("m")).first()["m"] or 0

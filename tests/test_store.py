@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake import streaming
-from seqlake.operators import records, reports, requests, stats, store, validate
+from seqlake.operators import extract, records, reports, requests, spans, stats, store, validate
 from seqlake.sources.fasta import read_lines
 
 DATA = b">seq1 x\nACGTACGTACGT\nACGTACGTACGT\n>seq2\nGGGGCCCCAAAA\n>seq1\nTT\n"
@@ -114,3 +114,39 @@ def test_streamed_requests(spark, tmp_path, lines):
     query.awaitTermination(120)
     got = sorted((r.name, r.from_base, r.to_base, r.error) for r in spark.table("resolved").collect())
     assert got == [("none", None, None, "request.sequence_not_found"), ("seq1", 0, 5, None), ("seq2", 2, 12, None)]
+
+
+def test_positional_reads(spark, tmp_path):
+    """Seeks give what the whole sequences give, in uniform records and in others, and raise where the file isn't the index's."""
+    long = "ACGTN" * 30_000
+    even = "\n".join(long[k : k + 70] for k in range(0, len(long), 70))
+    odd = "\r\n\n".join(long[k : k + 61 + k % 3] for k in range(0, len(long), 64))
+    (tmp_path / "fa").mkdir()
+    (tmp_path / "fa" / "a.fa").write_text(f">even\n{even}\n>odd\n{odd}")
+    (tmp_path / "fa" / "b.fa").write_text(">last\nAC GT\n\nA\n")
+    (tmp_path / "fa" / "_SUCCESS").write_text("no header\n")
+    source = str(tmp_path / "fa")
+    lines = records.assign_records(records.line_facts(read_lines(spark, source, split_bytes=50_000)))
+    store.write_index(records.across_files(records.index(lines)), source, source + ".zidx", records.side_table(lines))
+    idx, sides = store.open_index(spark, source), store.open_sides(spark, source + ".zidx")
+    assert [(r.id, r.ordinal, r.uniform) for r in idx.orderBy("ordinal").collect()] == [("even", 0, True), ("odd", 1, False), ("last", 2, False)]
+    tokens = ["even", "even:65530-65545", "odd:1-1", "odd:65536-140000", "last", "last:2-4", "even:149999-", "odd"]
+    asks = requests.named_regions(spark, tokens)
+    sequences = records.read_records(lines).join(idx.select("file", "record", "ordinal"), ["file", "record"]).select("ordinal", F.col("sequence").alias("seq"))
+    want = sorted(store.get(idx, sequences, asks).collect())
+    assert sorted(store.get(idx, None, asks, sides=sides).collect()) == want and len(want) == len(tokens)
+    with pytest.raises(Exception, match="index.side_table_missing"):
+        store.get(idx, None, asks).collect()
+    found = extract.resolve(extract.lookup(asks, idx))
+    with pytest.raises(Exception, match="sequence_span_out_of_bounds"):
+        spans.disk_spans(found, sides, 1000).collect()
+    (tmp_path / "fa" / "a.fa").write_text(f">even but longer\n{even}\n")
+    with pytest.raises(Exception, match="pair.region_length_mismatch"):
+        store.get(idx, None, requests.named_regions(spark, ["even:1-60"]), sides=sides).collect()
+
+
+def test_limits_of_named_regions(spark):
+    with pytest.raises(ValueError, match="usage.missing_argument"):
+        requests.named_regions(spark, [])
+    with pytest.raises(ValueError, match="resource.capacity_limit_exceeded"):
+        requests.named_regions(spark, ["a"] * 1025)
