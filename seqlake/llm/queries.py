@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lines, lm, merkle, packing, simhash, topk, toxicity, warc
+from . import bpe, codes, html, lexical, lines, lm, merkle, neighbours, packing, simhash, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(table(spark, sf_dir, "pages"), damaged)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 OP10_SQL = """
 with p as (
   select page_id, url, coalesce(html, '') html, md5(page_id || ' ' || coalesce(url, '')) m from pages
@@ -108,10 +120,41 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
+OP12_SQL = """
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents),
+s as (select count(*) as docs, cast(sum(len(t)) as bigint) as total from d where len(t) > 0),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+p as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, cast(len(t) as bigint) as n, unnest(t) as term from d) group by all),
+w as (select term, cast(floor(1000 * ln(cast(2 * (select docs from s) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from p group by term),
+m as (select item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total))))) as bigint) as score from i join p using (term) join w using (term), s group by all),
+r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls first) as integer) as rank from m where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
+"""
+
+_LEAST = "list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+_NEAR = "(select k, v, n, e, d from (select p.k, p.v, p.n, b.e, {0} as d, row_number() over (partition by p.k, p.v order by {0}, b.e) as j from p join {1} b on p.k = b.k) where j = 1)"
+_MEAN = """(select k, e, list(cast(floor(s / c) as bigint) order by i) as v from (select k, e, i, sum(n * x) as s, sum(n) as c from (select k, e, n, unnest(v) as x, unnest(range(len(v))) as i from a{0}) group by all) group by all
+  union all select k, e, v from b{0} anti join a{0} using (k, e))"""
+OP13_SQL = (
+    """
+with w as (select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c as (select row, vec_id, label, k, v[k * len(v) // 4 + 1 : (k + 1) * len(v) // 4] as v from w, range(4) q(k)),
+p as (select k, v, count(*) as n from c group by all),
+b0 as (select k, row_number() over (partition by k order by vec_id, v) - 1 as e, v from c qualify row_number() over (partition by k order by vec_id, v) <= 256),"""
+    + "".join(f"a{r} as materialized {_NEAR.format(_LEAST, f'b{r}')},\nb{r + 1} as materialized {_MEAN.format(r)},\n" for r in range(4))
+    + f"z as materialized {_NEAR.format(_LEAST, 'b4')},"
+    + """
+o as (select c.row, c.vec_id, c.label, string_agg(lower(lpad(printf('%x', e), 2, '0')), '' order by c.k) as code, cast(sum(d) as bigint) as error from c join z using (k, v) group by all)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(v, ','), ',' order by k, e)) from b4) as codebooks_sha256 from o
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_document_fingerprints": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_warc_fixity": OP10_SQL}
+    return {"op7_document_fingerprints": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_warc_fixity": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_vector_codes": OP13_SQL}
