@@ -2,7 +2,7 @@
 
 ``write_index`` counts the terms of each document where it is read and writes postings (term, document,
 how often, the document's length) to ``BUCKETS`` folders by a hash of the term, in order of terms; a
-bucket is written by segments of ``SEGMENT`` scan tasks, so a frequent term is spread over as many tasks as
+bucket is written by segments of 2 ** ``SEGMENT`` scan tasks, so a frequent term is spread over as many tasks as
 its documents come from. ``search`` joins the items' terms with the postings, so only buckets that
 hold a term are opened, scores each match by whole numbers, sums by item and document and takes
 the first ``k`` by a window. What is joined has been dealt by document first, so that the sums need
@@ -14,12 +14,12 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, tidy
 
-K, BUCKETS, SEGMENT, TABLE_ROWS = 50, 64, 16, 1_000_000
+K, BUCKETS, SEGMENT, TABLE_ROWS = 50, 64, 4, 1_000_000
 
 #: Bytes of a term as they are, A-Z lower-cased; other ASCII is a gap. Bytes beyond ASCII belong to terms.
 FOLD = bytes((c | 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -33,9 +33,11 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def postings(docs: DataFrame, name: str = "doc_id") -> DataFrame:
-    """(segment, row, doc_id, n, first, term, tf) for each term of each document, n being the document's length.
+    """(row, doc_id, term, counts) for each term of each document.
 
-    ``row`` tells documents apart, whatever their ids; ``first`` marks one posting of each.
+    ``row`` tells documents apart, whatever their ids. ``counts`` holds the document's length (from bit
+    32), the term's occurrences (from bit 1) and whether this is the document's first posting: one
+    number, since each column of a row that is shuffled takes eight bytes.
     """
     rows = docs.select(docs[name].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
@@ -52,8 +54,9 @@ def postings(docs: DataFrame, name: str = "doc_id") -> DataFrame:
             begin = np.zeros(len(each), bool)
             begin[np.cumsum([0, *sizes[:-1]])] = True
             place = (task << 36) + row - len(ids) + each
-            arrays = [np.full(len(each), task // SEGMENT, np.int32), place, pa.array(ids, pa.int64()).take(pa.array(each)), np.repeat(np.array(lengths, np.int64), sizes), begin]
-            full = pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), pa.array(words, pa.binary()).cast(pa.string()), pa.array(often, pa.int32())], ["segment", "row", "doc_id", "n", "first", "term", "tf"])
+            counts = np.repeat(np.array(lengths, np.int64), sizes) << 32 | np.array(often, np.int64) << 1 | begin
+            names = pa.array(ids, pa.int64()).take(pa.array(each))
+            full = pa.RecordBatch.from_arrays([pa.array(place), names, pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts)], ["row", "doc_id", "term", "counts"])
             for c in (ids, lengths, sizes, words, often):
                 c.clear()
             return full
@@ -76,17 +79,19 @@ def postings(docs: DataFrame, name: str = "doc_id") -> DataFrame:
         if ids:
             yield batch()
 
-    return rows.mapInArrow(tidy(count), "segment int, row long, doc_id long, n long, first boolean, term string, tf int")
+    return rows.mapInArrow(tidy(count), "row long, doc_id long, term string, counts long")
 
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str) -> None:
     """The postings of a documents table, at ``path``, in folders by bucket. Null and empty texts have none."""
-    dealt = bucketed(postings(docs)).repartition("segment", "bucket").drop("segment")
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    dealt = postings(docs).repartition(F.shiftright("row", 36 + SEGMENT), bucket())
+    fields = {"n": F.shiftright("counts", 32), "first": F.expr("counts & 1 = 1"), "tf": F.expr("(counts & 4294967295) >> 1").cast("int"), "bucket": bucket()}
+    options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#row": "false", "parquet.enable.dictionary#doc_id": "false"}
+    dealt.withColumns(fields).drop("counts").sortWithinPartitions("bucket", "term", "row").write.options(**options).partitionBy("bucket").parquet(path)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +106,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """
     total = index.agg(F.count_if("first").alias("n"), F.sum("tf").alias("terms")).first()
     docs, length = total["n"], total["terms"] or 1
-    asked = bucketed(postings(items, "item_id").select(F.col("doc_id").alias("item_id"), "term").distinct())
+    asked = postings(items, "item_id").select(F.col("doc_id").alias("item_id"), "term").distinct().withColumn("bucket", bucket())
     size = asked.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("item_id", F.lit(-1))).alias("items")).first()
     small = F.broadcast if size["rows"] <= TABLE_ROWS else lambda df: df  # beyond that a shuffle by term
     hits = index.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
@@ -109,10 +114,10 @@ def search(index: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     weights = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("w")).where("w > 0")
     wanted = asked.join(weights, "term").select("term", "item_id", "w")
     deal = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs * size["items"] // SUMS))
-    dealt = hits.select("row", "doc_id", "n", "term", "tf").repartition(deal, "row")
-    m = F.expr(f"100 - 50 + ((50L * n * {docs}L) div {length}L)")
-    score = F.col("w") * F.expr("(1000000000L * tf) div (1000L * tf + 20 * m)")
-    each = dealt.withColumn("m", m).join(small(wanted), "term").select("item_id", "row", "doc_id", score.alias("score"))
+    m = f"(100 - 50 + ((50L * n * {docs}L) div {length}L))"
+    share = F.expr(f"(1000000000L * tf) div (1000L * tf + 20 * {m})")
+    dealt = hits.select("row", "doc_id", "term", share.alias("share")).repartition(deal, "row")
+    each = dealt.join(small(wanted), "term").select("item_id", "row", "doc_id", (F.col("w") * F.col("share")).alias("score"))
     sums = each.groupBy("item_id", "row", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return sums.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
