@@ -25,7 +25,7 @@ RULES = {
 #: Prefixes of accession numbers; fixed values.
 REFSEQ = ("NC_", "NM_", "NR_", "NP_", "NW_", "NG_", "NT_", "NZ_", "XM_", "XR_", "XP_")
 _CONTROL = r"[\x00-\x08\x0a-\x1f]"
-SAMPLE_SYMBOLS, LONGEST_ID, LONG_HEADER, REPAIR_CHUNK = 100_000, 65535, 1024, 65536
+SAMPLE_SYMBOLS, LONGEST_ID, LONG_HEADER, REPAIR_CHUNK, PREVIEW = 100_000, 65535, 1024, 65536, 256
 
 
 def convention(schema: str):
@@ -82,75 +82,111 @@ def records_by_severity(found: DataFrame) -> DataFrame:
     return each.agg(F.count_if("e").alias("records_with_errors"), F.count_if("w").alias("records_with_warnings"))
 
 
+#: Columns of a finding's place: where a report's ``first`` points to.
+PLACE = ["offset", "line", "column", "related", "data"]
+_RELATED, _DATA = "struct<offset: bigint, line: bigint, column: bigint, record: bigint>", "map<string, bigint>"
+
+
+def _place(line, index, related=None, data: dict | None = None):
+    """The place of byte ``index`` of a line's content, ``line`` being a struct of line_offset, line_no and bom.
+
+    A byte order mark counts in offsets and columns, as it stands in the file.
+    """
+    skip = F.when(line["bom"], 3).otherwise(0) + index
+    values = [x for k, v in (data or {}).items() for x in (F.lit(k), v.cast("long"))]
+    return F.struct(
+        (line["line_offset"] + skip).cast("long").alias("offset"), line["line_no"].cast("long").alias("line"), (skip + 1).cast("long").alias("column"),
+        (F.lit(None) if related is None else related).cast(_RELATED).alias("related"), (F.create_map(*values) if values else F.create_map()).cast(_DATA).alias("data"),
+    )
+
+
 def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None, long_header: int = LONG_HEADER) -> DataFrame:
-    """(code, file, record, offset, n): every finding; n counts the rule's unit at that place."""
+    """(code, file, record, offset, line, column, related, data, n): every finding; n counts the rule's unit at that place.
+
+    A finding about bytes points to the first of them in its line, and about an identifier to its
+    first byte; lines and columns count from 1. ``related`` is a duplicate's first definition,
+    ``data`` the numbers that a report gives. Findings about a whole file have record 0.
+    """
     alphabet, allowed = chosen(lines, alphabet)
     text, header, body = F.col("content"), F.col("is_header"), ~F.col("is_header") & (F.col("record") > 0)
     lines = lines.withColumn("id", F.when(header, identifier(F.substring(text, 2, 2**31 - 1))))
-    control, clean = F.regexp_count(text, F.lit(_CONTROL)), symbols(text)
-    rules = {
-        "fasta.content_before_header": (F.col("record") == 0) & text.rlike("[^ \\t\\r]"),
-        "fasta.header_control_byte": F.when(header, control),
-        "fasta.sequence_control_byte": F.when(body, control),
-        "fasta.empty_identifier": F.col("id") == "",
-        "fasta.identifier_too_long": F.length("id") > LONGEST_ID,
-        "fasta.long_header": header & (F.length(text) - 1 > long_header),
-        "format.sequence_whitespace": body & text.rlike("[ \\t]"),
-        "format.blank_sequence_line": body & (text == ""),
-    }
+    control, clean, own = F.regexp_count(text, F.lit(_CONTROL)), symbols(text), F.struct("line_offset", "line_no", "bom")
+    where = lambda pattern: F.regexp_instr(text, F.lit(pattern)) - 1
+    byte = lambda pattern: F.ascii(F.regexp_substr(text, F.lit(pattern)))
+    size = F.length(text)
+    rules = {  # how often, the index of the first byte, numbers of a report
+        "fasta.content_before_header": ((F.col("record") == 0) & text.rlike("[^ \\t\\r]"), where("[^ \\t\\r]"), {"content_bytes": size}),
+        "fasta.header_control_byte": (F.when(header, control), where(_CONTROL), {"byte": byte(_CONTROL)}),
+        "fasta.sequence_control_byte": (F.when(body, control), where(_CONTROL), {"byte": byte(_CONTROL)}),
+        "fasta.empty_identifier": (F.col("id") == "", F.lit(1), {}),
+        "fasta.identifier_too_long": (F.length("id") > LONGEST_ID, F.lit(1), {"observed_bytes": F.length("id"), "limit_bytes": F.lit(LONGEST_ID)}),
+        "fasta.long_header": (header & (size - 1 > long_header), F.lit(0), {"observed_bytes": size - 1, "limit_bytes": F.lit(long_header)}),
+        "format.sequence_whitespace": (body & text.rlike("[ \\t]"), where("[ \\t]"), {"whitespace_bytes": F.regexp_count(text, F.lit("[ \\t]"))}),
+        "format.blank_sequence_line": (body & (text == ""), F.lit(0), {}),
+    }
     if schema:
-        rules["header.convention_mismatch"] = header & ~convention(schema)
+        rules["header.convention_mismatch"] = (header & ~convention(schema), F.lit(0), {})
     if alphabet != "any":
-        rules["sequence.invalid_symbol"] = F.when(body, F.length(clean) - count_of(clean, allowed))
-    each = F.filter(F.array(*(F.struct(F.lit(k).alias("code"), n.cast("long").alias("n")) for k, n in rules.items())), lambda x: x["n"] > 0)
-    by_line = lines.select("file", "record", F.col("line_offset").alias("offset"), F.explode(each).alias("f")).select("f.code", "file", "record", "offset", "f.n")
+        outside = "[^\\x00-\\x20" + "".join(f"\\x{ord(x):02x}" for x in allowed) + "]"
+        rules["sequence.invalid_symbol"] = (F.when(body, F.length(clean) - count_of(clean, allowed)), where(outside), {"byte": byte(outside)})
+    each = F.array(*(F.when(n.cast("long") > 0, F.struct(F.lit(k).alias("code"), n.cast("long").alias("n"), _place(own, at, None, data).alias("p"))) for k, (n, at, data) in rules.items()))
+    by_line = lines.select("file", "record", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.code", "file", "record", "f.p.*", "f.n")
     return by_line.unionByName(repeats(lines)).unionByName(record_findings(lines)).unionByName(file_findings(lines))
 
 
 def repeats(lines: DataFrame) -> DataFrame:
-    """fasta.duplicate_identifier: every header whose id a header before it in its file has."""
-    named = lines.where(F.length("id").between(1, LONGEST_ID)).select("file", "record", "line_offset", "id")
-    firsts = named.groupBy("file", "id").agg(F.min("line_offset").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rows = named.join(firsts, ["file", "id"]).where("line_offset > first")
-    return rows.select(F.lit("fasta.duplicate_identifier").alias("code"), "file", "record", F.col("line_offset").alias("offset"), F.lit(1).cast("long").alias("n"))
+    """fasta.duplicate_identifier: every header whose id a header before it in its file has, which is ``related``."""
+    own = F.struct("line_offset", "line_no", "bom")
+    named = lines.where(F.length("id").between(1, LONGEST_ID)).select("file", "record", "id", _place(own, F.lit(1)).alias("p"))
+    at = F.struct("p.offset", "p.line", "p.column", "record")
+    firsts = named.groupBy("file", "id").agg(F.min(at).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = named.join(firsts, ["file", "id"]).where("record > first.record")
+    return rows.select(F.lit("fasta.duplicate_identifier").alias("code"), "file", "record", "p.offset", "p.line", "p.column", F.col("first").cast(_RELATED).alias("related"), "p.data", F.lit(1).cast("long").alias("n"))
 
 
 def record_findings(lines: DataFrame) -> DataFrame:
     """fasta.empty_record, and format.inconsistent_wrapping once a record, at its first offending base line.
 
-    Lines are combined by width first, so a record comes together as its different widths.
+    Lines are combined by width first. The first line of the second width to occur is the first that
+    differs; it offends unless it is the last base line and narrower.
     """
-    widths = lines.where("record > 0").groupBy("file", "record", "bases").agg(F.min("line_offset").alias("a"), F.max("line_offset").alias("z"), F.min("header_offset").alias("head"))
-    base = F.col("bases") > 0
-    seen = widths.groupBy("file", "record").agg(
-        F.max("bases").alias("most"), F.min("head").alias("head"), F.min_by(F.when(base, F.col("bases")), F.when(base, F.col("a"))).alias("width"),
-        F.max(F.when(base, F.col("z"))).alias("last"), F.collect_list(F.when(base, F.struct("bases", "a"))).alias("all"),
+    line = F.struct("line_offset", "line_no", "bom")
+    widths = lines.where("record > 0").groupBy("file", "record", "bases").agg(F.min(line).alias("a"), F.max("line_offset").alias("z"))
+    own, base = Window.partitionBy("file", "record"), F.col("bases") > 0
+    placed = widths.withColumns({"k": F.row_number().over(own.orderBy(~base, "a.line_offset")), "last": F.max(F.when(base, F.col("z"))).over(own)})
+    seen = placed.groupBy("file", "record").agg(
+        F.max("bases").alias("most"), F.min("a").alias("head"), F.max(F.when(F.col("k") == 1, F.col("bases"))).alias("width"),
+        F.max(F.when((F.col("k") == 2) & base, F.struct("a", "bases", "last"))).alias("odd"),
     )
-    # a line that isn't the last may have no other width; the last may be narrower
-    odd = F.array_min(F.transform(F.filter("all", lambda x: (x["bases"] != F.col("width")) & ((x["a"] < F.col("last")) | (x["bases"] > F.col("width")))), lambda x: x["a"]))
+    offends = (F.col("odd.a.line_offset") < F.col("odd.last")) | (F.col("odd.bases") > F.col("width"))
+    wrapping = _place(F.col("odd.a"), F.lit(0), None, {"expected_width": F.col("width"), "actual_width": F.col("odd.bases")})
     found = F.array(
-        F.struct(F.lit("fasta.empty_record").alias("code"), F.when(F.col("most") == 0, F.col("head")).alias("offset")),
-        F.struct(F.lit("format.inconsistent_wrapping").alias("code"), odd.alias("offset")),
+        F.when(F.col("most") == 0, F.struct(F.lit("fasta.empty_record").alias("code"), _place(F.col("head"), F.lit(0)).alias("p"))),
+        F.when(offends, F.struct(F.lit("format.inconsistent_wrapping").alias("code"), wrapping.alias("p"))),
     )
-    return seen.select("file", "record", F.explode(found).alias("f")).where("f.offset is not null").select("f.code", "file", "record", "f.offset", F.lit(1).cast("long").alias("n"))
+    return seen.select("file", "record", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("f.code", "file", "record", "f.p.*", F.lit(1).cast("long").alias("n"))
 
 
 def file_findings(lines: DataFrame) -> DataFrame:
-    """Findings about a whole file: no records, byte order mark, last line end, mixed line ends."""
-    seen = lines.groupBy("file").agg(
-        F.count_if("is_header").alias("headers"),
-        F.max_by("term", "line_offset").alias("last_term"), F.max("line_offset").alias("last"),
-        F.max("bom").alias("bom"),
-        F.min_by("term", F.when(F.col("term") > 0, F.col("line_offset"))).alias("kind"),
-        F.min(F.when(F.col("term") == 1, F.col("line_offset"))).alias("lf"), F.min(F.when(F.col("term") == 2, F.col("line_offset"))).alias("crlf"),
-    )
-    each = F.array(
-        F.struct(F.lit("fasta.no_records").alias("code"), F.lit(None).cast("long").alias("offset"), (F.col("headers") == 0).alias("x")),
-        F.struct(F.lit("format.leading_bom").alias("code"), F.lit(0).cast("long").alias("offset"), F.col("bom").alias("x")),
-        F.struct(F.lit("format.missing_terminal_newline").alias("code"), F.col("last").alias("offset"), (F.col("last_term") == 0).alias("x")),
-        F.struct(F.lit("format.mixed_line_endings").alias("code"), F.greatest("lf", "crlf").alias("offset"), (F.col("lf").isNotNull() & F.col("crlf").isNotNull()).alias("x")),
-    )
-    return seen.select("file", F.explode(each).alias("f")).where("f.x").select("f.code", "file", F.lit(0).cast("long").alias("record"), "f.offset", F.lit(1).cast("long").alias("n"))
+    """Findings about a whole file: no records, byte order mark, last line end, mixed line ends.
+
+    Line ends are mixed from the first line that ends in the other way on; the place is that line's end,
+    as that of a missing one is the file's.
+    """
+    line = F.struct("line_offset", "line_no", "bom", "content_len", "term")
+    first = lambda term: F.min(F.when(F.col("term") == term, line))
+    seen = lines.groupBy("file").agg(F.count_if("is_header").alias("headers"), F.max(line).alias("last"), F.max("bom").alias("bom"), first(1).alias("lf"), first(2).alias("crlf"))
+    top = F.struct(F.lit(0).alias("line_offset"), F.lit(1).alias("line_no"), F.lit(False).alias("bom"))
+    nowhere = F.struct(F.lit(None).cast("long").alias("line_offset"), F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("boolean").alias("bom"))
+    other = F.greatest("lf", "crlf")
+    rules = {
+        "fasta.no_records": (F.col("headers") == 0, _place(nowhere, F.lit(None).cast("int"))),
+        "format.leading_bom": (F.col("bom"), _place(top, F.lit(0))),
+        "format.missing_terminal_newline": (F.col("last.term") == 0, _place(F.col("last"), F.col("last.content_len"))),
+        "format.mixed_line_endings": (F.col("lf").isNotNull() & F.col("crlf").isNotNull(), _place(other, other["content_len"])),
+    }
+    each = F.array(*(F.when(x, F.struct(F.lit(k).alias("code"), p.alias("p"))) for k, (x, p) in rules.items()))
+    return seen.select("file", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.code", "file", F.lit(0).cast("long").alias("record"), "f.p.*", F.lit(1).cast("long").alias("n"))
 
 
 def by_code(found: DataFrame) -> DataFrame:
@@ -159,6 +195,25 @@ def by_code(found: DataFrame) -> DataFrame:
     return found.groupBy("code").agg(F.sum("n").alias("occurrences"), F.count_distinct(F.when(F.col("record") > 0, F.struct("file", "record"))).alias("records"), F.min("offset").alias("first_offset")).select("code", F.coalesce(severity[F.col("code")], F.lit("error")).alias("severity"), "occurrences", "records", "first_offset")
 
 
+def places(found: DataFrame, lines: DataFrame, preview: int = PREVIEW) -> DataFrame:
+    """One row a file and code: occurrences, records, and its first finding: offset, line, column, record, identifier, related, data.
+
+    ``identifier`` has the first ``preview`` bytes of the record's id and ``identifier_bytes`` its length;
+    record and both are null for findings about a whole file. Findings are combined map-side, and only headers
+    of records that a first finding names are read again for their ids.
+    """
+    at = F.struct("offset", "record", "line", "column", "related")
+    first = F.min(F.struct(F.coalesce("offset", F.lit(0)).alias("_"), at.alias("at")))
+    rows = found.groupBy("file", "code").agg(
+        F.sum("n").alias("occurrences"), F.count_distinct(F.when(F.col("record") > 0, F.col("record"))).alias("records"), first.alias("f"),
+        F.min_by("data", F.coalesce("offset", F.lit(0))).alias("data"),
+    ).select("file", "code", "occurrences", "records", "f.at.*", "data")
+    heads = lines.where("is_header").select("file", "record", identifier(F.substring("content", 2, 2**31 - 1)).alias("id"))
+    named = heads.join(rows.where("record > 0").select("file", "record").distinct(), ["file", "record"], "left_semi")
+    named = named.select("file", "record", F.substring("id", 1, preview).alias("identifier"), F.length("id").cast("long").alias("identifier_bytes"))
+    return rows.join(named, ["file", "record"], "left").withColumn("record", F.when(F.col("record") > 0, F.col("record")))
+
+
 def outcome(summary: DataFrame, strict: bool = False) -> DataFrame:
     """errors, warnings, status: 1 after errors (or warnings if strict), 2 after warnings, else 0."""
     s = summary.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

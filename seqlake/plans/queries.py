@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,30 +252,88 @@ def byte_offset(spark, sf_dir):
     return rows.select("file", (F.col("seq_offset") + F.floor(i / F.col("line_bases")) * F.col("line_bytes") + i % F.col("line_bases")).alias("byte_offset"))
 
 
-_FOUND = LINES + """, f as (
-  select 'format.sequence_whitespace' as code, file, line_offset as "offset", 1 as n from ln where k > 0 and regexp_matches(content, '[ \\t]')
-  union all select 'format.blank_sequence_line', file, line_offset, 1 from ln where k > 0 and content = ''
-  union all select 'fasta.long_header', file, 0, 1 from ln where k = 0 and content_len - 1 > 12
-  union all select 'sequence.invalid_symbol', file, line_offset, content_len - strlen(regexp_replace(content, '[^\\x00-\\x20A-Za-z*-]', '', 'g')) from ln where k > 0
-  union all select 'format.inconsistent_wrapping', file, min(line_offset), 1 from (select *, first_value(bases) over (partition by doc_id order by k) as w, row_number() over (partition by doc_id order by k desc) as back from ln where k > 0 and bases > 0) where (back > 1 and bases <> w) or (back = 1 and bases > w) group by file
-  union all select 'fasta.empty_record', file, 0, 1 from (select file, sum(bases) as s from ln group by file) where s = 0)"""
+#: Findings from bytes alone, given files(file, body) of one character a byte and the longest header; the alphabet is protein.
+_LINES_OF = """piece as (select file, p, i, i < n as lf, bom, cast(sum(length(p) + 1) over (partition by file order by i) - length(p) - 1 as bigint) as line_offset from (
+  select file, unnest(parts) as p, unnest(range(1, len(parts) + 1)) as i, len(parts) as n, starts_with(body, chr(239) || chr(187) || chr(191)) as bom from (select file, body, string_split(body, chr(10)) as parts from files)) where i < n or p <> ''),
+ln as (select *, content[1:1] = '>' as is_header, cast(length(content) as bigint) as len, cast(sum((content[1:1] = '>')::int) over (partition by file order by i) as bigint) as record,
+  cast(length(regexp_replace(content, '[\\x00-\\x20]', '', 'g')) as bigint) as bases from (
+  select file, i, line_offset, lf, case when i = 1 and bom then 3 else 0 end as skip, case when lf and p[-1:] = chr(13) then 2 when lf then 1 else 0 end as term,
+    (case when lf and p[-1:] = chr(13) then p[:-2] else p end)[case when i = 1 and bom then 4 else 1 end:] as content from piece)),
+ch as (select file, i, unnest(range(length(content))) as pos, unicode(unnest(string_split(content, ''))) as b from ln where content <> ''),
+seen as (select file, i, min(pos) filter (b < 32 and b <> 9) as ctl, count(*) filter (b < 32 and b <> 9) as ctls, min(pos) filter (b in (9, 32)) as ws,
+  min(pos) filter (b > 32 and not (b between 65 and 90 or b between 97 and 122 or b in (42, 45))) as bad, count(*) filter (b > 32 and not (b between 65 and 90 or b between 97 and 122 or b in (42, 45))) as bads,
+  min(pos) filter (b not in (9, 13, 32)) as pre from ch group by all),
+hd as (select file, i, line_offset, skip, record, len, regexp_extract(content[2:], '^[^ \\t\\r\\n]*') as id from ln where is_header),
+base as (select *, row_number() over (partition by file, record order by i desc) as back, first_value(bases) over (partition by file, record order by i) as w from ln where record > 0 and not is_header and bases > 0),
+dup as (select *, row_number() over (partition by file, id order by i) as k, first_value(record) over (partition by file, id order by i) as r, first_value(line_offset + skip + 1) over (partition by file, id order by i) as ro, first_value(i) over (partition by file, id order by i) as rl from hd where id <> '' and length(id) <= 65535),
+f as (select file, code, record, line_offset + skip + pos as "offset", i as line, skip + pos + 1 as "column", n, null::bigint as ro, null::bigint as rl, null::bigint as rr from (
+    select file, i, line_offset, skip, record, code, case code when 'fasta.content_before_header' then pre when 'format.sequence_whitespace' then ws when 'sequence.invalid_symbol' then bad when 'format.blank_sequence_line' then 0 else ctl end as pos,
+      case code when 'fasta.content_before_header' then (record = 0 and pre is not null)::int when 'format.sequence_whitespace' then (record > 0 and not is_header and ws is not null)::int when 'sequence.invalid_symbol' then case when record > 0 and not is_header then bads end
+        when 'format.blank_sequence_line' then (record > 0 and content = '')::int when 'fasta.header_control_byte' then case when is_header then ctls end else case when record > 0 and not is_header then ctls end end as n
+    from ln left join seen using (file, i), (values ('fasta.content_before_header'), ('format.sequence_whitespace'), ('sequence.invalid_symbol'), ('format.blank_sequence_line'), ('fasta.header_control_byte'), ('fasta.sequence_control_byte')) c(code)) where n > 0
+  union all select file, code, record, line_offset + skip + pos, i, skip + pos + 1, 1, null, null, null from (
+    select *, case code when 'fasta.long_header' then 0 when 'header.convention_mismatch' then 0 else 1 end as pos from hd, (values ('fasta.long_header'), ('fasta.empty_identifier'), ('fasta.identifier_too_long'), ('header.convention_mismatch')) c(code)
+    where case code when 'fasta.long_header' then len - 1 > {longest} when 'fasta.empty_identifier' then id = '' when 'fasta.identifier_too_long' then length(id) > 65535 else {schema} and id[1:3] not in ('NC_', 'NM_', 'NR_', 'NP_', 'NW_', 'NG_', 'NT_', 'NZ_', 'XM_', 'XR_', 'XP_') end)
+  union all select file, 'fasta.duplicate_identifier', record, line_offset + skip + 1, i, skip + 2, 1, ro, rl, r from dup where k > 1
+  union all select file, 'format.inconsistent_wrapping', record, line_offset + skip, i, skip + 1, 1, null, null, null from base where (back > 1 and bases <> w) or (back = 1 and bases > w) qualify row_number() over (partition by file, record order by i) = 1
+  union all select file, 'fasta.empty_record', record, line_offset + skip, i, skip + 1, 1, null, null, null from hd anti join base using (file, record)
+  union all select file, 'fasta.no_records', 0, null, null, null, 1, null, null, null from (select distinct file from ln) anti join hd using (file)
+  union all select file, 'format.leading_bom', 0, 0, 1, 1, 1, null, null, null from ln where skip = 3
+  union all select file, 'format.missing_terminal_newline', 0, line_offset + skip + len, i, skip + len + 1, 1, null, null, null from ln where not lf
+  union all select file, 'format.mixed_line_endings', 0, line_offset + skip + len, i, skip + len + 1, 1, null, null, null from (select *, min(term) filter (term > 0) over (partition by file order by i) as lo, max(term) filter (term > 0) over (partition by file order by i) as hi from ln) where lo <> hi qualify row_number() over (partition by file order by i) = 1)"""
+_PLACES = """, one as (select *, cast(sum(n) over (partition by file, code) as bigint) as occurrences, row_number() over (partition by file, code order by coalesce("offset", 0)) as j from f),
+many as (select file, code, count(distinct record) filter (record > 0) as records from f group by all)
+select one.file, code, occurrences, records, cast("offset" as bigint) as "offset", cast(line as bigint) as line, cast("column" as bigint) as "column", cast(nullif(one.record, 0) as bigint) as record,
+  case when one.record > 0 then hd.id[1:256] end as identifier, cast(ro as bigint) as related_offset, cast(rl as bigint) as related_line, cast(rr as bigint) as related_record
+from one join many using (file, code) left join hd on one.file = hd.file and one.record = hd.record where j = 1"""
+
+
+def _quoted(data: bytes) -> str:
+    """A file's bytes as SQL text of one character each, long runs by repeat()."""
+    text = data.decode("latin-1").replace("'", "''")
+    return "'" + re.sub(r"(.)\1{99,}", lambda m: f"' || repeat('{m[1]}', {len(m[0])}) || '", text) + "'"
+
+
+_KINDS = ", ".join(f"({kind}, {_quoted(b''.join(raw + (b'', bytes([10]), bytes([13, 10]))[t] for raw, t in zip(*own)))})" for kind, own in enumerate(T.FAULTS))
+_PART_FILES = f"kinds(kind, body) as (values {_KINDS}), files as (select 'part' || p_partkey as file, body from part join kinds on p_partkey % {len(T.FAULTS)} = kind), " + _LINES_OF.format(longest=1024, schema="true")
+#: UTF-8 bytes of the documents as characters of one byte.
+_DOC_FILES = "raw as (select 'doc' || doc_id as file, '>doc' || doc_id || ' ' || lang || ' ' || source || chr(10) || text || chr(10) as t from documents), " + """
+files as (select file, array_to_string(list_transform(string_split(t, ''), lambda c: case when unicode(c) < 128 then c when unicode(c) < 2048 then chr(192 + unicode(c) // 64) || chr(128 + unicode(c) % 64)
+  when unicode(c) < 65536 then chr(224 + unicode(c) // 4096) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64) else chr(240 + unicode(c) // 262144) || chr(128 + unicode(c) // 4096 % 64) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64) end), '') as body from raw), """ + _LINES_OF.format(longest=12, schema="false")
 
 
 def _findings(spark, sf_dir):
     return V.findings(T.lines(spark, sf_dir), "protein", long_header=12)
 
 
-@query("with " + _FOUND + " select code, case when code = 'sequence.invalid_symbol' then 'error' else 'warning' end as severity, cast(sum(n) as bigint) as occurrences, count(distinct file) as records, min(\"offset\") as first_offset from f where n > 0 group by code")
+def _place_rows(found, lines):
+    rows = V.places(found, lines)
+    return rows.select("file", "code", "occurrences", "records", "offset", "line", "column", "record", "identifier", F.col("related.offset").alias("related_offset"), F.col("related.line").alias("related_line"), F.col("related.record").alias("related_record"))
+
+
+@query("with " + _DOC_FILES + _PLACES)
+def findings_places(spark, sf_dir):
+    """Where each rule is first broken in each document's file, in how many records and how often."""
+    return _place_rows(_findings(spark, sf_dir), T.lines(spark, sf_dir))
+
+
+@query("with " + _PART_FILES + _PLACES)
+def fault_places(spark, sf_dir):
+    """The same of files that break every rule, with byte order marks, mixed line ends and duplicates."""
+    return _place_rows(_faulty(spark, sf_dir), T.faulty_lines(spark, sf_dir))
+
+
+@query("with " + _DOC_FILES + " select code, case when code = 'sequence.invalid_symbol' then 'error' else 'warning' end as severity, cast(sum(n) as bigint) as occurrences, count(distinct file) as records, min(\"offset\") as first_offset from f where n > 0 group by code")
 def findings_by_code(spark, sf_dir):
     return V.by_code(_findings(spark, sf_dir))
 
 
-@query("with " + _FOUND + ", s as (select distinct code from f where n > 0) select count(*) filter (code = 'sequence.invalid_symbol') as errors, count(*) filter (code <> 'sequence.invalid_symbol') as warnings, case when count(*) filter (code = 'sequence.invalid_symbol') > 0 then 1 when count(*) > 0 then 2 else 0 end as status from s")
+@query("with " + _DOC_FILES + ", s as (select distinct code from f where n > 0) select count(*) filter (code = 'sequence.invalid_symbol') as errors, count(*) filter (code <> 'sequence.invalid_symbol') as warnings, case when count(*) filter (code = 'sequence.invalid_symbol') > 0 then 1 when count(*) > 0 then 2 else 0 end as status from s")
 def outcome_status(spark, sf_dir):
     return V.outcome(V.by_code(_findings(spark, sf_dir)))
 
 
-@query("with " + _FOUND + " select file, count(distinct code) as codes, cast(sum(n) as bigint) as found from f where n > 0 group by file")
+@query("with " + _DOC_FILES + " select file, count(distinct code) as codes, cast(sum(n) as bigint) as found from f where n > 0 group by file")
 def records_with_findings(spark, sf_dir):
     return _findings(spark, sf_dir).groupBy("file").agg(F.count_distinct("code").alias("codes"), F.sum("n").alias("found"))
 
@@ -287,8 +347,8 @@ def _by_source(spark, sf_dir):
 @query("select source as id, doc_id as \"offset\" from (select source, doc_id, row_number() over (partition by source order by doc_id) as k from documents) where k > 1")
 def duplicate_ids(spark, sf_dir):
     lines = R.assign_records(R.line_facts(_by_source(spark, sf_dir)))
-    found = V.findings(lines, "any").where("code = 'fasta.duplicate_identifier'").select("offset")
-    return found.join(R.headers(lines).select(F.col("header_offset").alias("offset"), "id"), "offset").select("id", "offset")
+    found = V.findings(lines, "any").where("code = 'fasta.duplicate_identifier'").select("record")
+    return found.join(R.headers(lines).select("record", F.col("header_offset").alias("offset"), "id"), "record").select("id", "offset")
 
 
 @query("select doc_id, source as id, min(doc_id) over (partition by source) as first from documents")
@@ -333,7 +393,6 @@ def read_records(spark, sf_dir):
     return rows.select("file", F.decode(F.encode("sequence", "ISO-8859-1"), "UTF-8").alias("sequence"))
 
 
-_FAULTY = "faults(kind, code, n, recs, \"offset\") as (values " + ", ".join(f"({kind}, '{code}', {n}, {recs}, {'null' if at is None else at})" for kind, (_, _, found) in enumerate(T.FAULTS) for code, n, recs, at in found) + f"), hit as (select p_partkey, faults.* from part join faults on p_partkey % {len(T.FAULTS)} = kind)"
 _SEVERE = "case when code like 'fasta.%' and code not in ('fasta.empty_record', 'fasta.long_header') or code = 'sequence.invalid_symbol' then 'error' else 'warning' end"
 
 
@@ -341,13 +400,13 @@ def _faulty(spark, sf_dir):
     return V.findings(T.faulty_lines(spark, sf_dir), "protein", "refseq")
 
 
-@query("with " + _FAULTY + f" select code, {_SEVERE} as severity, cast(sum(n) as bigint) as occurrences, cast(sum(recs) as bigint) as records, cast(min(\"offset\") as bigint) as first_offset from hit group by code")
+@query("with " + _PART_FILES + f" select code, {_SEVERE} as severity, cast(sum(n) as bigint) as occurrences, count(distinct case when record > 0 then file || ' ' || record end) as records, cast(min(\"offset\") as bigint) as first_offset from f group by code")
 def findings_every_rule(spark, sf_dir):
     """Files in which each of the rules is broken."""
     return V.by_code(_faulty(spark, sf_dir))
 
 
-@query("with " + _FAULTY + f" select count(distinct case when {_SEVERE} = 'error' then p_partkey * 10 + least(i, recs) end) as records_with_errors, count(distinct case when {_SEVERE} = 'warning' then p_partkey end) as records_with_warnings from hit, range(1, 3) r(i) where recs > 0")
+@query("with " + _PART_FILES + f" select count(distinct case when {_SEVERE} = 'error' then file || ' ' || record end) as records_with_errors, count(distinct case when {_SEVERE} = 'warning' then file || ' ' || record end) as records_with_warnings from f where record > 0")
 def records_by_severity(spark, sf_dir):
     return V.records_by_severity(_faulty(spark, sf_dir))
 

@@ -182,8 +182,8 @@ def summary(found):
 def test_findings(lines):
     got = summary(validate.findings(lines(b"\xef\xbb\xbf>a desc\r\nAC GT\r\nACG\n\nTTTTTT\t\n>b\n>c\nAC?", 5)))
     assert got == {
-        "format.sequence_whitespace": (2, 1, 12), "format.blank_sequence_line": (1, 1, 23), "format.inconsistent_wrapping": (1, 1, 19), "fasta.empty_record": (1, 1, 32), "format.leading_bom": (1, 0, 0),
-        "format.missing_terminal_newline": (1, 0, 38), "format.mixed_line_endings": (1, 0, 19), "sequence.invalid_symbol": (1, 1, 38),
+        "format.sequence_whitespace": (2, 1, 14), "format.blank_sequence_line": (1, 1, 23), "format.inconsistent_wrapping": (1, 1, 19), "fasta.empty_record": (1, 1, 32), "format.leading_bom": (1, 0, 0),
+        "format.missing_terminal_newline": (1, 0, 41), "format.mixed_line_endings": (1, 0, 22), "sequence.invalid_symbol": (1, 1, 40),
     }
     got = summary(validate.findings(lines(b"junk\n>a\x01\nA\x00C\n>\nAC\n>a\nAC\n"), "dna"))
     assert got["fasta.content_before_header"][0] == got["fasta.header_control_byte"][0] == got["fasta.sequence_control_byte"][0] == got["fasta.empty_identifier"][0] == 1
