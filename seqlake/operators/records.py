@@ -208,5 +208,5 @@ def read_fai(spark, path: str) -> DataFrame:
     fits = [F.when(n <= 2**63 - 1, n).cast("long").alias(c) for n, c in zip(number, names, strict=True)]
     error = F.when(missing, "index.fai.field_missing").when(odd, "index.fai.invalid_integer").when(wide, "index.fai.integer_out_of_range")
     out = out.select((F.col("ahead") + F.col("own") - 1).alias("ordinal"), F.get("f", F.lit(0)).alias("id"), *fits, F.lit(True).alias("uniform"), error.alias("error"))
-    zero = F.when(F.col("seq_len") == 0, "index.zero_sequence_length").when((F.col("line_bases") == 0) | (F.col("line_bytes") <= F.col("line_bases")), "index.invalid_line_geometry")
+    zero = F.when(F.col("seq_len") == 0, "index.zero_sequence_length").when((F.col("line_bases") == 0) | (F.col("line_bytes") < F.col("line_bases")), "index.invalid_line_geometry")
     return out.withColumn("error", F.coalesce("error", zero))

@@ -37,7 +37,7 @@ def disk_spans(rows: DataFrame, sides: DataFrame | None = None, size: int | None
     place = lambda i: F.col("seq_offset") + F.floor(i / F.col("line_bases")) * F.col("line_bytes") + i % F.col("line_bases")
     zero = F.lit(0).cast("long")
     if sides is None:
-        missing = F.raise_error(F.lit("index.side_table_missing"))
+        missing = F.raise_error(F.lit("index.side_table_empty"))
         out = rows.withColumn("byte_start", F.when(F.col("uniform"), place(F.col("from_base"))).otherwise(missing.cast("long"))).withColumns({"byte_end": place(F.col("to_base") - 1) + 1, "leading": zero, "trailing": zero})
     else:
         even = rows.where("uniform").withColumns({"byte_start": place(F.col("from_base")), "byte_end": place(F.col("to_base") - 1) + 1, "leading": zero, "trailing": zero})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.fasta import files, info, located
@@ -33,11 +33,12 @@ def write_index(index: DataFrame, source: str, path: str, sides: DataFrame | Non
     index.sparkSession.createDataFrame([before]).coalesce(1).write.parquet(f"{path}/identity")
 
 
-def open_index(spark: SparkSession, source: str, path: str | None = None) -> DataFrame:
+def open_index(spark: SparkSession, source: str, path: str | None = None, check: bool = True) -> DataFrame:
     """The index of a source: at ``path``, or beside it as ``.zidx``, or else from its ``.fai``.
 
     A Parquet index that doesn't match the source raises and is never passed over; a ``.fai`` older
-    than its source raises too.
+    than its source raises too. So does the first row, in order of the source, that ``integrity`` finds wrong,
+    by its side table too, unless ``check`` is false.
     """
     chosen = path or (f"{source}.zidx" if info(f"{source}.zidx").type.name != "NotFound" else f"{source}.fai")
     kind = info(chosen).type.name
@@ -48,14 +49,21 @@ def open_index(spark: SparkSession, source: str, path: str | None = None) -> Dat
         for key, code in (("size", "index.source_size_mismatch"), ("mtime_ns", "index.source_mtime_mismatch")):
             if stored[key] != now[key]:
                 raise ValueError(f"{code}: {stored[key]}, now {now[key]}")
-        return spark.read.parquet(f"{chosen}/rows")
+        return _checked(spark.read.parquet(f"{chosen}/rows"), source, open_sides(spark, chosen), check)
     if info(chosen).mtime_ns < info(source).mtime_ns:
         raise ValueError(f"index.older_than_source: {chosen}")
     rows = records.read_fai(spark, chosen)
     bad = rows.where("error is not null").first()
     if bad:
         raise ValueError(f"{bad['error']}: {bad['id']}")
-    return rows.drop("error").withColumns({"file": F.lit(source), "record": F.col("ordinal") + 1})
+    return _checked(rows.drop("error").withColumns({"file": F.lit(source), "record": F.col("ordinal") + 1}), source, None, check)
+
+
+def _checked(index: DataFrame, source: str, sides: DataFrame | None, check: bool) -> DataFrame:
+    bad = integrity(index, source, sides).orderBy("file", "record").first() if check else None
+    if bad:
+        raise ValueError(f"{bad['error']}: {bad['id']}" + (f", line {bad['entry']} of its side table" if bad["entry"] else "") + f": {bad['value']}, {bad['limit']}")
+    return index
 
 
 def open_sides(spark: SparkSession, path: str) -> DataFrame | None:
@@ -63,14 +71,76 @@ def open_sides(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/sides") if info(f"{path}/sides").type.name == "Directory" else None
 
 
-def integrity(index: DataFrame, size: int) -> DataFrame:
-    """(id, error) of rows whose geometry can't be: outside a file of ``size`` bytes, or lines without symbols."""
-    span = F.col("seq_offset") + F.floor((F.col("seq_len") - 1) / F.col("line_bases")) * F.col("line_bytes") + (F.col("seq_len") - 1) % F.col("line_bases") + 1
-    error = (
-        F.when(F.col("seq_len") < 1, "index.zero_sequence_length").when((F.col("line_bases") < 1) | (F.col("line_bytes") <= F.col("line_bases")), "index.invalid_line_geometry")
-        .when(F.col("seq_offset") >= size, "index.sequence_offset_out_of_bounds").when(span > size, "index.sequence_span_out_of_bounds")
-    )
-    return index.select("id", error.alias("error")).where("error is not null")
+def sized(index: DataFrame, source: str | int) -> DataFrame:
+    """``index`` with ``size``, that of each row's file: of a source's files by name, or one size for all."""
+    if isinstance(source, int):
+        return index.withColumn("size", F.lit(source).cast("long"))
+    rows = [(name, size) for name, size, _ in files(source)]
+    return index.join(index.sparkSession.createDataFrame(rows, "file string, size long"), "file", "left")
+
+
+def integrity(index: DataFrame, source: str | int, sides: DataFrame | None = None) -> DataFrame:
+    """(file, record, id, error, entry, value, limit) of index rows that can't be, each with its first error.
+
+    Uniform rows must have symbols that begin and end within their file, in lines of at least as many
+    bytes as symbols. Those of any other row's side table, taken by base_start, must follow one another
+    without a gap, lie in order within the file, begin where the row says and have as many symbols as it;
+    ``entry`` is the place of the line that doesn't, from 1, ``value`` what it has and ``limit`` what it should.
+    Without ``sides`` rows that need them have none. Neighbours meet in windows over ``SPAN`` symbols, with
+    a carry from span to span, so a record of any length is checked in parts.
+    """
+    return errors(sized(index, source), sides)
+
+
+def errors(rows: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """``integrity`` of index rows that have their file's ``size``."""
+    start = [(F.col("seq_len") < 1, "index.zero_sequence_length", "seq_len", F.lit(1)), (F.coalesce(F.col("seq_offset") >= F.col("size"), F.lit(True)), "index.sequence_offset_out_of_bounds", "seq_offset", "size")]
+    end = F.col("seq_offset") + F.floor((F.col("seq_len") - 1) / F.col("line_bases")) * F.col("line_bytes") + (F.col("seq_len") - 1) % F.col("line_bases") + 1
+    even = [*start, (_odd("line_bases", "line_bytes"), "index.invalid_line_geometry", "line_bytes", "line_bases"), (end > F.col("size"), "index.sequence_span_out_of_bounds", end, "size")]
+    keep = ["file", "record", "id", "e.*"]
+    found = rows.where("uniform").withColumn("e", _first_error(even, F.lit(None))).where("e is not null").select(*keep)
+    others = rows.where("not uniform").select("file", "record", "id", "seq_len", "seq_offset", "size", _first_error(start, F.lit(None)).alias("own"))
+    if sides is None:
+        sides = rows.sparkSession.createDataFrame([], "file string, record long, base_start long, byte_offset long, line_bytes long, line_bases long")
+    joined = others.join(side_errors(sides, others), ["file", "record"], "left")
+    last = [(F.col("n").isNull(), "index.side_table_empty", F.lit(0), F.lit(1)), (F.col("bases") != F.col("seq_len"), "index.side_sequence_length_mismatch", "bases", "seq_len")]
+    return found.unionByName(joined.withColumn("e", F.coalesce("own", "first", _first_error(last, F.lit(None)))).where("e is not null").select(*keep))
+
+
+#: Symbols of a record whose side table lines one window holds.
+SPAN = 1 << 22
+
+
+def _odd(bases: str, size: str):
+    return (F.col(bases) < 1) | (F.col(size) < 1) | (F.col(size) < F.col(bases))
+
+
+def _first_error(rules: list, entry):
+    """The first of (condition, code, value, limit) that holds, as a struct; null if none does."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    each = [F.when(c, F.struct(F.lit(code).alias("error"), entry.cast("long").alias("entry"), col(value).cast("long").alias("value"), col(limit).cast("long").alias("limit"))) for c, code, value, limit in rules]
+    return F.coalesce(*each)
+
+
+def side_errors(sides: DataFrame, rows: DataFrame) -> DataFrame:
+    """(file, record, n, bases, first): lines and symbols of side tables, and the first line's error that is wrong, of records in ``rows``."""
+    key, line = ["file", "record"], ["base_start", "byte_offset"]
+    each = sides.join(rows.select(*key, "seq_offset", "size"), key).withColumns({"_part": F.floor(F.col("base_start") / SPAN), "_end": F.col("byte_offset") + F.col("line_bytes")})
+    own = Window.partitionBy(*key, "_part").orderBy(*line)
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy(*key, "_part").agg(F.count("*").alias("n"), F.sum("line_bases").alias("s"), F.max_by("_end", F.struct(*line)).alias("z"))
+    carry = parts.select(*key, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"), F.last("z").over(before).alias("_z"))
+    local = each.withColumns({"_k": F.row_number().over(own), "_sum": F.sum("line_bases").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("line_bases"), "_last": F.lag("_end").over(own)})
+    at = local.join(carry, [*key, "_part"]).withColumns({"entry": F.col("_n") + F.col("_k"), "expected": F.col("_s") + F.col("_sum"), "least": F.coalesce("_last", "_z")})
+    first = F.col("entry") == 1
+    error = _first_error([
+        (F.col("base_start") != F.col("expected"), "index.side_base_start_mismatch", "base_start", "expected"),
+        (_odd("line_bases", "line_bytes"), "index.side_line_geometry_invalid", "line_bytes", "line_bases"),
+        (F.col("_end") > F.col("size"), "index.sequence_span_out_of_bounds", "_end", "size"),
+        (first & (F.col("byte_offset") != F.col("seq_offset")), "index.side_first_offset_mismatch", "byte_offset", "seq_offset"),
+        (~first & (F.col("byte_offset") < F.col("least")), "index.side_line_order_invalid", "byte_offset", "least"),
+    ], F.col("entry"))
+    return at.withColumn("e", error).groupBy(*key).agg(F.count("*").alias("n"), F.sum("line_bases").alias("bases"), F.min_by("e", F.when(F.col("e").isNotNull(), F.col("entry"))).alias("first"))
 
 
 def write_text(rows: DataFrame, path: str, *order: str, source: str | None = None) -> None:

@@ -220,29 +220,61 @@ def outcome(summary: DataFrame, strict: bool = False) -> DataFrame:
     return s.withColumn("status", F.when(F.col("errors") > 0, 1).when(F.col("warnings") > 0, 1 if strict else 2).otherwise(0))
 
 
-def compare_index(index: DataFrame, other: DataFrame) -> DataFrame:
-    """(code, id, occurrence): where a file's index and another differ; the k-th record of an id meets the k-th entry.
+def paired(index: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, occurrence, a, b, omitted): the k-th record of an id in a file's index beside the k-th entry of another.
 
-    Both have id, ordinal, seq_len, seq_offset, line_bases, line_bytes and uniform.
+    Both have id, ordinal, file, record, seq_len, seq_offset, line_bases, line_bytes and uniform. A record without
+    an entry is ``omitted`` if the other index has its id: it leaves out later duplicates.
     """
     fields = ["seq_len", "seq_offset", "line_bases", "line_bytes", "uniform"]
     nth = Window.partitionBy("id").orderBy("ordinal")
-    a, b = (x.select("id", F.row_number().over(nth).alias("occurrence"), F.struct(*fields).alias(n)) for x, n in ((index, "a"), (other, "b")))
-    both = a.join(b, ["id", "occurrence"], "full")
+    more = lambda x: [c if c in x.columns else F.lit(None).alias(c) for c in ("file", "record")]
+    a, b = (x.select("id", F.row_number().over(nth).alias("occurrence"), F.struct(*fields, *more(x)).alias(n)) for x, n in ((index, "a"), (other, "b")))
+    known = F.max(F.col("b").isNotNull()).over(Window.partitionBy("id"))
+    return a.join(b, ["id", "occurrence"], "full").withColumn("omitted", F.col("b").isNull() & known)
+
+
+def compare_index(index: DataFrame, other: DataFrame, sides: DataFrame | None = None, other_sides: DataFrame | None = None) -> DataFrame:
+    """(code, id, occurrence, line): where a file's index and another differ, by ``paired``.
+
+    With side tables of both, those of records whose layout agrees are compared as well; ``line`` is the first that
+    differs, from 1. Records that the other index leaves out as later duplicates are no difference.
+    """
+    both = paired(index, other)
     geometry = (F.col("a.uniform") != F.col("b.uniform")) | (F.col("a.uniform") & ((F.col("a.line_bases") != F.col("b.line_bases")) | (F.col("a.line_bytes") != F.col("b.line_bytes"))))
     codes = F.array(
-        F.when(F.col("b").isNull(), "pair.record_missing_from_index"), F.when(F.col("a").isNull(), "pair.record_missing_from_fasta"),
+        F.when(F.col("b").isNull() & ~F.col("omitted"), "pair.record_missing_from_index"), F.when(F.col("a").isNull(), "pair.record_missing_from_fasta"),
         F.when(F.col("a.seq_len") != F.col("b.seq_len"), "pair.sequence_length_mismatch"), F.when(F.col("a.seq_offset") != F.col("b.seq_offset"), "pair.sequence_offset_mismatch"),
         F.when(geometry, "pair.line_geometry_mismatch"),
     )
-    return both.select("id", "occurrence", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+    found = both.select("id", "occurrence", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"), F.lit(None).cast("long").alias("line"))
+    if sides is None or other_sides is None:
+        return found
+    same = both.where("not a.uniform and not b.uniform").select("id", "occurrence", "a.file", "a.record", F.col("b.file").alias("_file"), F.col("b.record").alias("_record"))
+    moved = other_sides.join(same.select(F.col("_file").alias("file"), F.col("_record").alias("record"), F.struct("file", "record").alias("to")), ["file", "record"])
+    moved = moved.select("to.file", "to.record", "base_start", "byte_offset", "line_bytes", "line_bases")
+    differ = compare_sides(sides.join(same, ["file", "record"], "left_semi"), moved)
+    return found.unionByName(same.join(differ, ["file", "record"]).select("id", "occurrence", F.lit("pair.side_table_mismatch").alias("code"), "line"))
+
+
+def compared(index: DataFrame, other: DataFrame) -> DataFrame:
+    """One row of entries (of the other index), matched, and omitted_duplicates (records that it leaves out)."""
+    some = lambda c: F.count_if(c)
+    return paired(index, other).agg(some(F.col("b").isNotNull()).alias("entries"), some(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"), some("omitted").alias("omitted_duplicates"))
 
 
 def compare_sides(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(record, base_start): the first line at which two side tables of the same record differ."""
-    cols = ["byte_offset", "line_bytes", "line_bases"]
-    a, b = (x.select("record", "base_start", F.struct(*cols).alias(n)) for x, n in ((one, "a"), (two, "b")))
-    return a.join(b, ["record", "base_start"], "full").where("not (a <=> b)").groupBy("record").agg(F.min("base_start").alias("base_start"))
+    """(file, record, line, base_start): the first line, from 1, at which two side tables of a record differ or one ends.
+
+    Lines meet by base_start. Up to the first difference both have the same ones, so its number is
+    one more than the lines before it; they are counted map-side.
+    """
+    cols, key = ["byte_offset", "line_bytes", "line_bases"], ["file", "record"]
+    a, b = (x.select(*key, "base_start", F.struct(*cols).alias(n)) for x, n in ((one, "a"), (two, "b")))
+    met = a.join(b, [*key, "base_start"], "full")
+    first = met.where("not (a <=> b)").groupBy(*key).agg(F.min("base_start").alias("base_start"))
+    before = a.join(first.withColumnRenamed("base_start", "_first"), key).where("base_start < _first").groupBy(*key).agg(F.count("*").alias("n"))
+    return first.join(before, key, "left").select(*key, (F.coalesce("n", F.lit(0)) + 1).alias("line"), "base_start")
 
 
 def repaired(lines: DataFrame, width: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import IUPAC, complement, count_of, fixed, is_nucleotide, orient, wrap
@@ -13,6 +13,7 @@ from ..operators import records as R
 from ..operators import requests as Q
 from ..operators import spans as P
 from ..operators import stats as S
+from ..operators import store as K
 from ..operators import validate as V
 from . import virtual as T
 
@@ -314,7 +315,8 @@ def _place_rows(found, lines):
 @query("with " + _DOC_FILES + _PLACES)
 def findings_places(spark, sf_dir):
     """Where each rule is first broken in each document's file, in how many records and how often."""
-    return _place_rows(_findings(spark, sf_dir), T.lines(spark, sf_dir))
+    lines = T.kept(T.lines(spark, sf_dir))
+    return _place_rows(V.findings(lines, "protein", long_header=12), lines)
 
 
 @query("with " + _PART_FILES + _PLACES)
@@ -369,10 +371,11 @@ def schema_rule(spark, sf_dir):
     return rows.withColumns({"uniprot": V.convention("uniprot"), "refseq": V.convention("refseq")})
 
 
-@query("with d as (select doc_id, source as id, row_number() over (partition by source order by doc_id) as k, cast(n_chars as bigint) as n from documents), b as (select doc_id, source as id, row_number() over (partition by source order by doc_id) as k, cast(n_chars as bigint) + case when doc_id % 5 = 0 then 1 else 0 end as n from documents where doc_id % 9 > 0) select coalesce(d.id, b.id) as id, cast(coalesce(d.k, b.k) as bigint) as occurrence, case when b.id is null then 'pair.record_missing_from_index' when d.id is null then 'pair.record_missing_from_fasta' else 'pair.sequence_length_mismatch' end as code from d full join b on d.id = b.id and d.k = b.k where b.id is null or d.id is null or d.n <> b.n")
+@query("with d as (select doc_id, case when doc_id % 50 = 7 then 'x' || doc_id else source end as id, cast(n_chars as bigint) as n from documents), b as (select doc_id, id, row_number() over (partition by id order by doc_id) as k, n + case when doc_id % 5 = 0 then 1 else 0 end as n from d where doc_id % 9 > 0), a as (select *, row_number() over (partition by id order by doc_id) as k from d) select coalesce(a.id, b.id) as id, cast(coalesce(a.k, b.k) as bigint) as occurrence, case when b.id is null then 'pair.record_missing_from_index' when a.id is null then 'pair.record_missing_from_fasta' else 'pair.sequence_length_mismatch' end as code from a full join b on a.id = b.id and a.k = b.k where (b.id is null and a.id not in (select id from b)) or a.id is null or a.n <> b.n")
 def index_compare(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents")
-    own = d.select(F.col("source").alias("id"), F.col("doc_id").alias("ordinal"), F.col("n_chars").cast("long").alias("seq_len"), F.lit(0).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.lit(True).alias("uniform"))
+    name = F.expr("case when doc_id % 50 = 7 then 'x' || doc_id else source end").alias("id")
+    own = d.select(name, F.col("doc_id").alias("ordinal"), F.col("n_chars").cast("long").alias("seq_len"), F.lit(0).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.lit(True).alias("uniform"))
     other = own.where("ordinal % 9 > 0").withColumn("seq_len", F.expr("seq_len + case when ordinal % 5 = 0 then 1 else 0 end"))
     return V.compare_index(own, other).select("id", F.col("occurrence").cast("long").alias("occurrence"), "code")
 
@@ -431,7 +434,7 @@ _ASKED = _SIDES + ", " + REG + """, ask as (select request, rec.*, coalesce(star
   from ask join w a on a.file = ask.file and a.s <= f and f < a.s + a.bases join w z on z.file = ask.file and z.s < t and t <= z.s + z.bases""")
 def disk_spans(spark, sf_dir):
     """Where in the documents' files the symbols of regions stand."""
-    lines = T.lines(spark, sf_dir)
+    lines = T.kept(T.lines(spark, sf_dir))
     idx = R.index(lines).withColumn("ordinal", F.substring("id", 4, 20).cast("long"))
     asked = X.resolve(X.lookup(Q.parse_regions(T.regions(spark, sf_dir)), idx)).where("error is null")
     return P.disk_spans(asked, R.side_table(lines)).select("request", "byte_start", "byte_end", "leading", "trailing")
@@ -440,19 +443,19 @@ def disk_spans(spark, sf_dir):
 _ASCII = "docs as (select 'doc' || doc_id as id, lang, string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), chr(10)) as parts, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '[\\x00-\\x20]', '', 'g') as seq from documents), idx as (select *, cast(length(seq) as bigint) as seq_len from docs where seq <> '')"
 
 
-_FIELDS = """own as (select doc_id, source || doc_id % 3 as id, row_number() over (partition by source || doc_id % 3 order by doc_id) as k, doc_id % 4 > 0 as uniform, n_chars from documents),
+_FIELDS = """own as (select doc_id, case when doc_id % 40 = 1 then 'y' || doc_id else source || doc_id % 3 end as id, row_number() over (partition by case when doc_id % 40 = 1 then 'y' || doc_id else source || doc_id % 3 end order by doc_id) as k, doc_id % 4 > 0 as uniform, n_chars from documents),
 other as (select doc_id, source || case when doc_id % 13 = 0 then 3 else doc_id % 3 end as id, row_number() over (partition by source || case when doc_id % 13 = 0 then 3 else doc_id % 3 end order by doc_id) as k, doc_id % 4 > 0 and doc_id % 17 > 0 as uniform, n_chars from documents),
 pair as (select coalesce(a.id, b.id) as id, coalesce(a.k, b.k) as occurrence, a.id is null as no_a, b.id is null as no_b, a.doc_id as i, b.doc_id as j, a.n_chars as n, b.n_chars + (b.doc_id % 5 = 0)::int as m, a.uniform as u, b.uniform as v from own a full join other b on a.id = b.id and a.k = b.k)"""
 
 
 @query("with " + _FIELDS + """ select id, cast(occurrence as bigint) as occurrence, code from pair, (values ('pair.record_missing_from_index'), ('pair.record_missing_from_fasta'), ('pair.sequence_length_mismatch'), ('pair.sequence_offset_mismatch'), ('pair.line_geometry_mismatch')) c(code)
-  where case code when 'pair.record_missing_from_index' then no_b when 'pair.record_missing_from_fasta' then no_a when 'pair.sequence_length_mismatch' then n <> m when 'pair.sequence_offset_mismatch' then i % 50 <> j % 50 + (j % 7 = 0)::int else u <> v or u and j % 11 = 0 end""")
+  where case code when 'pair.record_missing_from_index' then no_b and id not in (select id from other) when 'pair.record_missing_from_fasta' then no_a when 'pair.sequence_length_mismatch' then n <> m when 'pair.sequence_offset_mismatch' then i % 50 <> j % 50 + (j % 7 = 0)::int else u <> v or u and j % 11 = 0 end""")
 def index_compare_fields(spark, sf_dir):
     """An index against one with other ids, lengths, offsets and line widths: each of the codes of a pair occurs."""
     d = T.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "ordinal")
     name = lambda k: F.concat("source", k.cast("string"))
     flag = lambda c: F.expr(c).cast("int")
-    own = d.select(name(F.col("ordinal") % 3).alias("id"), "ordinal", F.col("n_chars").alias("seq_len"), (F.col("ordinal") % 50).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.expr("ordinal % 4 > 0").alias("uniform"))
+    own = d.select(F.expr("case when ordinal % 40 = 1 then 'y' || ordinal else source || ordinal % 3 end").alias("id"), "ordinal", F.col("n_chars").alias("seq_len"), (F.col("ordinal") % 50).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.expr("ordinal % 4 > 0").alias("uniform"))
     other = d.select(
         name(F.when(F.col("ordinal") % 13 == 0, 3).otherwise(F.col("ordinal") % 3)).alias("id"), "ordinal", (F.col("n_chars") + flag("ordinal % 5 = 0")).alias("seq_len"),
         (F.col("ordinal") % 50 + flag("ordinal % 7 = 0")).alias("seq_offset"), (60 - flag("ordinal % 11 = 0")).alias("line_bases"), F.lit(61).alias("line_bytes"), F.expr("ordinal % 4 > 0 and ordinal % 17 > 0").alias("uniform"),
@@ -474,16 +477,77 @@ def positional_read(spark, sf_dir):
     return X.extract(asked, P.read_chunks(P.chunks_asked(asked), sides)).select("request", "name", "bases")
 
 
+def _moved(sides, lines):
+    """Side tables of which each third physical line was moved by a byte."""
+    ln = lines.select("file", F.col("line_offset").alias("byte_offset"), (F.col("line_no") - 1).alias("at"))
+    return sides.join(ln, ["file", "byte_offset"]).withColumn("byte_offset", F.col("byte_offset") + F.when(F.col("at") % 3 == 2, 1).otherwise(0)).drop("at")
+
+
 @query("with " + _SIDES + " select w.file, min(cast(s as bigint)) as base_start from w join rec using (file) where not uniform and k % 3 = 2 group by w.file")
 def side_compare(spark, sf_dir):
-    """Side tables of which each third line was moved: the first line that differs."""
-    own = R.side_table(T.lines(spark, sf_dir))
-    ln = T.lines(spark, sf_dir).select("file", F.col("line_offset").alias("byte_offset"), (F.col("line_no") - 1).alias("at"))
-    moved = own.join(ln, ["file", "byte_offset"]).withColumn("byte_offset", F.col("byte_offset") + F.when(F.col("at") % 3 == 2, 1).otherwise(0))
-    pair = [x.withColumn("record", F.col("file")) for x in (own, moved)]
-    return V.compare_sides(*pair).select(F.col("record").alias("file"), "base_start")
+    """The first line that differs from a side table of which each third line was moved."""
+    lines = T.kept(T.lines(spark, sf_dir))
+    own = T.kept(R.side_table(lines))
+    return V.compare_sides(own, _moved(own, lines)).select("file", "base_start")
+
+
+_NUMBERED = _SIDES + ", z as (select w.*, row_number() over (partition by file order by k) as entry, seq_offset, seq_len, sum(content_len + 1) over (partition by file) + min(line_offset) over (partition by file) as body from w join rec using (file))"
 
 
+@query("with " + _NUMBERED + """, ia as (select *, substr(file, 4)::bigint as d from rec), ib as (select *, seq_len + (d % 5 = 0)::int as n, seq_offset + (d % 7 = 0)::int as o, uniform and d % 17 > 0 as u from ia where d % 9 > 0)
+select ia.file as id, code, cast(case when code = 'pair.side_table_mismatch' then (select min(entry) from z where z.file = ia.file and k % 3 = 2) end as bigint) as line from ia left join ib using (file),
+  (values ('pair.record_missing_from_index'), ('pair.sequence_length_mismatch'), ('pair.sequence_offset_mismatch'), ('pair.line_geometry_mismatch'), ('pair.side_table_mismatch')) c(code)
+where case code when 'pair.record_missing_from_index' then ib.file is null when 'pair.sequence_length_mismatch' then n <> ia.seq_len when 'pair.sequence_offset_mismatch' then o <> ia.seq_offset when 'pair.line_geometry_mismatch' then u <> ia.uniform
+  else not ia.uniform and not u and exists (from z where z.file = ia.file and k % 3 = 2) end""")
+def index_compare_sides(spark, sf_dir):
+    """The documents' index and side tables against damaged ones, with the first side table line that differs."""
+    lines = T.kept(T.lines(spark, sf_dir))
+    d = F.substring("id", 4, 20).cast("long")
+    own, sides = R.index(lines).withColumn("ordinal", d), T.kept(R.side_table(lines))
+    other = own.where(d % 9 > 0).withColumns({"seq_len": F.col("seq_len") + (d % 5 == 0).cast("int"), "seq_offset": F.col("seq_offset") + (d % 7 == 0).cast("int"), "uniform": F.col("uniform") & (d % 17 > 0)})
+    return V.compare_index(own, other, sides, _moved(sides, lines)).select("id", "code", "line")
+
+
+@query("with d as (select case when doc_id % 50 = 7 then 'x' || doc_id else source end as id, doc_id from documents), b as (select * from d where doc_id % 9 > 0), n as (select id, count(*) filter (doc_id % 9 > 0) as b, count(*) as a from d group by id) select cast(sum(b) as bigint) as entries, cast(sum(b) as bigint) as matched, cast(sum(case when b > 0 then a - b else 0 end) as bigint) as omitted_duplicates from n")
+def index_counts(spark, sf_dir):
+    """How many entries of an index meet records, and how many records it leaves out as later duplicates."""
+    d = T.table(spark, sf_dir, "documents")
+    name = F.expr("case when doc_id % 50 = 7 then 'x' || doc_id else source end").alias("id")
+    own = d.select(name, F.col("doc_id").alias("ordinal"), F.lit(1).alias("seq_len"), F.lit(0).alias("seq_offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), F.lit(True).alias("uniform"))
+    return V.compared(own, own.where("ordinal % 9 > 0"))
+
+
+@query("with " + _NUMBERED + """, rows as (select file, substr(file, 4)::bigint % 24 as m, max(z.seq_offset) as seq_offset, max(z.seq_len) as seq_len, max(body) as size from z group by file),
+idx as (select file, m, m % 2 = 0 as uniform, size, case m when 0 then 0 when 8 then size when 11 then seq_len + 1 when 15 then 0 else seq_len end as seq_len, case m when 2 then size + 5 when 17 then size else seq_offset end as seq_offset, case m when 4 then 0 else 60 end as line_bases, case m when 6 then 59 else 61 end as line_bytes from rows),
+t as (select z.file, entry, idx.m as kind, idx.size, s + case when idx.m = 1 and entry = 3 then 1 else 0 end as bs, case when idx.m = 3 and entry = 2 then bases - 1 else content_len + 1 end as lb, bases, idx.seq_offset, idx.seq_len,
+  line_offset + case when idx.m = 5 and entry = 2 then z.body when idx.m = 7 and entry = 1 then -1 when idx.m = 9 and entry = 2 then -2 else 0 end as bo from z join idx using (file) where not idx.uniform and idx.m <> 13),
+q as (select *, sum(bases) over (w rows between unbounded preceding and current row) - bases as want, lag(bo + lb) over w as least from t window w as (partition by file order by bs)),
+e as (select file, entry, case when bs <> want then 'index.side_base_start_mismatch' when lb < 1 or bases < 1 or lb < bases then 'index.side_line_geometry_invalid' when bo + lb > size then 'index.sequence_span_out_of_bounds' when entry = 1 and bo <> seq_offset then 'index.side_first_offset_mismatch' when entry > 1 and bo < least then 'index.side_line_order_invalid' end as error from q),
+s as (select file, arg_min(error, entry) filter (error is not null) as error, min(entry) filter (error is not null) as entry, (select sum(bases) from t where t.file = e.file) as total from e group by file)
+select file, coalesce(error0, error) as error, cast(case when error0 is null then entry end as bigint) as entry from (select idx.file, s.error as error1, s.entry,
+  case when seq_len < 1 then 'index.zero_sequence_length' when seq_offset >= size then 'index.sequence_offset_out_of_bounds' when uniform and (line_bases < 1 or line_bytes < line_bases) then 'index.invalid_line_geometry'
+    when uniform and seq_offset + (seq_len - 1) // line_bases * line_bytes + (seq_len - 1) % line_bases + 1 > size then 'index.sequence_span_out_of_bounds' end as error0,
+  coalesce(s.error, case when not uniform and s.file is null then 'index.side_table_empty' when not uniform and total <> seq_len then 'index.side_sequence_length_mismatch' end) as error from idx left join s using (file)) where coalesce(error0, error) is not null""")
+def index_damage(spark, sf_dir):
+    """An index and side tables damaged in each way that opening it must notice."""
+    lines = T.kept(T.lines(spark, sf_dir))
+    base = R.positions(lines).where("not is_header and bases > 0")
+    m = F.substring("file", 4, 20).cast("long") % 24
+    rows = base.groupBy("file", "record").agg(F.min("line_offset").alias("seq_offset"), F.sum("bases").alias("seq_len"), F.max(F.col("line_offset") + F.col("actual_bytes")).alias("size"))
+    pick = lambda other, **by: F.expr("case m " + " ".join(f"when {k[1:]} then {v}" for k, v in by.items()) + f" else {other} end")
+    idx = rows.withColumns({"id": F.col("file"), "m": m}).withColumns({
+        "uniform": m % 2 == 0, "line_bases": pick("60", _4="0"), "line_bytes": pick("61", _6="59"),
+        "seq_len": pick("seq_len", _0="0", _8="size", _11="seq_len + 1", _15="0"), "seq_offset": pick("seq_offset", _2="size + 5", _17="size"),
+    })
+    entry = F.row_number().over(Window.partitionBy("file").orderBy("base_start"))
+    body = F.max(F.col("line_offset") + F.col("actual_bytes")).over(Window.partitionBy("file"))
+    sides = base.select("file", "record", "base_start", F.col("line_offset").alias("byte_offset"), F.col("actual_bytes").alias("line_bytes"), F.col("bases").alias("line_bases"), entry.alias("entry"), body.alias("body"), m.alias("m"))
+    sides = sides.where("m % 2 = 1 and m <> 13").withColumns({
+        "base_start": F.expr("base_start + case when m = 1 and entry = 3 then 1 else 0 end"), "line_bytes": F.expr("case when m = 3 and entry = 2 then line_bases - 1 else line_bytes end"),
+        "byte_offset": F.expr("byte_offset + case when m = 5 and entry = 2 then body when m = 7 and entry = 1 then -1 when m = 9 and entry = 2 then -2 else 0 end"),
+    }).select("file", "record", "base_start", "byte_offset", "line_bytes", "line_bases")
+    return K.errors(idx.drop("m"), sides).select("file", "error", "entry")
+
 
 def queries() -> dict:
     return dict(QUERIES)

@@ -55,6 +55,13 @@ def folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/seqlake-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a new shared folder and read back, where several results are derived from it."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
     """The documents as FASTA files, their index and its side tables, written and read through the source and the store.
 
@@ -63,7 +70,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]
     path = folder(spark)
     head = F.concat(F.lit(">doc"), F.col("doc_id"), F.lit(" "), F.col("lang"), F.lit("\n"))
     table(spark, sf_dir, "documents").select(F.concat(head, F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).write.text(path, lineSep="\n")
-    parts = records.assign_records(records.line_facts(read_lines(spark, path)))
+    parts = kept(records.assign_records(records.line_facts(read_lines(spark, path))))
     store.write_index(records.across_files(records.index(parts)), path, path + ".zidx", records.side_table(parts))
     return path, store.open_index(spark, path), store.open_sides(spark, path + ".zidx")
 

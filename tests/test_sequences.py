@@ -15,7 +15,7 @@ def lines(spark, tmp_path):
     def make(data: bytes, split: int = 1 << 20):
         path = tmp_path / f"{random.random()}.fa"
         path.write_bytes(data)
-        return records.assign_records(records.line_facts(read_lines(spark, str(path), split_bytes=split)))
+        return records.assign_records(records.line_facts(read_lines(spark, str(path), split_bytes=split))).cache()
 
     return make
 
@@ -187,11 +187,44 @@ def test_findings(lines):
     }
     got = summary(validate.findings(lines(b"junk\n>a\x01\nA\x00C\n>\nAC\n>a\nAC\n"), "dna"))
     assert got["fasta.content_before_header"][0] == got["fasta.header_control_byte"][0] == got["fasta.sequence_control_byte"][0] == got["fasta.empty_identifier"][0] == 1
-    assert summary(validate.findings(lines(b">a\nAC\n>b\nAC\n>a\nAC\n>a\nAC\n"), "dna")) == {"fasta.duplicate_identifier": (2, 2, 12)}
+    assert summary(validate.findings(lines(b">a\nAC\n>b\nAC\n>a\nAC\n>a\nAC\n"), "dna")) == {"fasta.duplicate_identifier": (2, 2, 13)}
     clean = validate.by_code(validate.findings(lines(SIMPLE)))
     assert clean.count() == 0 and validate.outcome(clean).first().status == 0
 
 
+def placed(lines, *args):
+    """code: occurrences, records, offset, line, column and record of the first finding, its identifier."""
+    rows = validate.places(validate.findings(lines, *args), lines).collect()
+    return {r.code: (r.occurrences, r.records, r.offset, r.line, r.column, r.record, r.identifier) for r in rows}, {r.code: r for r in rows}
+
+
+@pytest.mark.parametrize("split", [25])
+def test_places(lines, split):
+    got, rows = placed(lines(b"\xef\xbb\xbfjunk\n>a desc\nACGT\n>a\x01x\r\n>a\nAC\n>\n>NC_1 a long description\nACGT", split), "auto", "refseq", 20)
+    assert got == {
+        "fasta.content_before_header": (1, 0, 3, 1, 4, None, None), "fasta.header_control_byte": (1, 1, 23, 4, 3, 2, "a\x01x"), "fasta.empty_record": (2, 2, 21, 4, 1, 2, "a\x01x"),
+        "fasta.empty_identifier": (1, 1, 34, 7, 2, 4, ""), "fasta.duplicate_identifier": (1, 1, 28, 5, 2, 3, "a"), "fasta.long_header": (1, 1, 35, 8, 1, 5, "NC_1"),
+        "header.convention_mismatch": (4, 4, 8, 2, 1, 1, "a"), "format.leading_bom": (1, 0, 0, 1, 1, None, None), "format.missing_terminal_newline": (1, 0, 64, 9, 5, None, None),
+        "format.mixed_line_endings": (1, 0, 25, 4, 5, None, None),
+    }
+    assert tuple(rows["fasta.duplicate_identifier"].related) == (9, 2, 2, 1)
+    assert rows["fasta.header_control_byte"].data == {"byte": 1} and rows["fasta.long_header"].data == {"observed_bytes": 23, "limit_bytes": 20} and rows["fasta.content_before_header"].data == {"content_bytes": 4}
+    got, rows = placed(lines(b">s1\nACGTACGT\nAC GT\tAC\n\nAC?G\x00T\n>s2\nACGTACGT\nACGTACGTAC\n  \nA*\x7f\n", split))
+    assert got == {
+        "fasta.sequence_control_byte": (1, 1, 27, 5, 5, 1, "s1"), "sequence.invalid_symbol": (3, 2, 25, 5, 3, 1, "s1"), "format.sequence_whitespace": (2, 2, 15, 3, 3, 1, "s1"),
+        "format.blank_sequence_line": (1, 1, 22, 4, 1, 1, "s1"), "format.inconsistent_wrapping": (2, 2, 13, 3, 1, 1, "s1"),
+    }
+    assert rows["format.sequence_whitespace"].data == {"whitespace_bytes": 2} and rows["format.inconsistent_wrapping"].data == {"expected_width": 8, "actual_width": 6} and rows["sequence.invalid_symbol"].data == {"byte": 63}
+    assert placed(lines(b"  \n", split))[0] == {"fasta.no_records": (1, 0, None, None, None, None, None)}
+
+
+def test_places_of_long_identifiers(lines):
+    _, rows = placed(lines(b"\xef\xbb\xbf>" + b"x" * 300 + b"\nAC\n>" + b"x" * 300 + b"\nAC\n>" + b"y" * 70000 + b"\nAC\n"), "any")
+    twice, long = rows["fasta.duplicate_identifier"], rows["fasta.identifier_too_long"]
+    assert (tuple(twice.related), twice.identifier, twice.identifier_bytes) == ((4, 1, 5, 1), "x" * 256, 300)
+    assert (long.record, long.identifier_bytes, long.data) == (3, 70000, {"observed_bytes": 70000, "limit_bytes": 65535})
+
+
 def test_conventions(spark):
     ids = spark.createDataFrame([("sp|P1|X",), ("tr||X",), ("db|P|",), ("NC_1",), ("AB_1",)], "id string")
     assert [tuple(r) for r in ids.select(validate.convention("uniprot"), validate.convention("refseq")).collect()] == [(True, False), (False, False), (False, False), (False, True), (False, False)]
@@ -212,7 +245,7 @@ def test_repair(lines):
 def test_compare_index(lines):
     a, b = records.index(lines(b">a\nACGT\n>b\nAC\n>a\nACG\n")), records.index(lines(b">a\nACGT\n>b\nACG\n>c\nAC\n"))
     got = {(r.id, r.occurrence, r.code) for r in validate.compare_index(a, b).collect()}
-    assert got == {("a", 2, "pair.record_missing_from_index"), ("b", 1, "pair.sequence_length_mismatch"), ("b", 1, "pair.line_geometry_mismatch"), ("c", 1, "pair.record_missing_from_fasta")}
+    assert got == {("b", 1, "pair.sequence_length_mismatch"), ("b", 1, "pair.line_geometry_mismatch"), ("c", 1, "pair.record_missing_from_fasta")}
 
 
 def test_chunks_of_any_record(lines):

@@ -100,7 +100,7 @@ def test_fai_index(spark, tmp_path, source, lines):
     idx = store.open_index(spark, source)
     assert [(r.ordinal, r.id, r.seq_len) for r in idx.orderBy("ordinal").collect()] == [(0, "seq1", 24), (1, "seq2", 12), (2, "seq1", 2)]
     assert validate.compare_index(records.index(lines), idx).count() == 0
-    for row, code in (("a\t1\t2", "field_missing"), ("a\t1\tx\t3\t4", "invalid_integer"), ("a\t1\t99999999999999999999\t3\t4", "integer_out_of_range"), ("a\t0\t5\t1\t2", "zero_sequence"), ("a\t1\t5\t3\t3", "invalid_line_geometry")):
+    for row, code in (("a\t1\t2", "field_missing"), ("a\t1\tx\t3\t4", "invalid_integer"), ("a\t1\t99999999999999999999\t3\t4", "integer_out_of_range"), ("a\t0\t5\t1\t2", "zero_sequence"), ("a\t1\t5\t3\t2", "invalid_line_geometry")):
         (tmp_path / "y.fai").write_text(row + "\n")
         assert code in records.read_fai(spark, str(tmp_path / "y.fai")).first().error
 
@@ -135,7 +135,7 @@ def test_positional_reads(spark, tmp_path):
     sequences = records.read_records(lines).join(idx.select("file", "record", "ordinal"), ["file", "record"]).select("ordinal", F.col("sequence").alias("seq"))
     want = sorted(store.get(idx, sequences, asks).collect())
     assert sorted(store.get(idx, None, asks, sides=sides).collect()) == want and len(want) == len(tokens)
-    with pytest.raises(Exception, match="index.side_table_missing"):
+    with pytest.raises(Exception, match="index.side_table_empty"):
         store.get(idx, None, asks).collect()
     found = extract.resolve(extract.lookup(asks, idx))
     with pytest.raises(Exception, match="sequence_span_out_of_bounds"):
@@ -150,3 +150,46 @@ def test_limits_of_named_regions(spark):
         requests.named_regions(spark, [])
     with pytest.raises(ValueError, match="resource.capacity_limit_exceeded"):
         requests.named_regions(spark, ["a"] * 1025)
+
+
+def test_damaged_side_tables(spark, tmp_path, monkeypatch):
+    """Opening an index raises at the first line of a side table that can't be, whatever spans its lines are dealt to."""
+    source = str(tmp_path / "x.fa")
+    with open(source, "w") as f:
+        f.write(">a\n" + "".join("ACGT" * (k % 3 + 1) + "\n" for k in range(30)) + ">b\nAC\n")
+    lines = records.assign_records(records.line_facts(read_lines(spark, source, split_bytes=50))).cache()
+    idx, sides = records.index(lines).cache(), records.side_table(lines).cache()
+    assert store.integrity(idx, source, sides).count() == 0 and sides.count() == 30
+    assert [r.error for r in store.integrity(idx, source).collect()] == ["index.side_table_empty"]
+    cases = [  # the line at a base_start, what is wrong with it, and what is found
+        (28, "base_start", "base_start + 1", "side_base_start_mismatch", 5, 29, 28), (24, "line_bytes", "3", "side_line_geometry_invalid", 4, 3, 4),
+        (24, "byte_offset", "9999", "sequence_span_out_of_bounds", 4, 10004, os.path.getsize(source)), (0, "byte_offset", "4", "side_first_offset_mismatch", 1, 4, 3),
+        (24, "byte_offset", "byte_offset - 1", "side_line_order_invalid", 4, 29, 30), (228, "line_bases", "9", "side_sequence_length_mismatch", None, 237, 240),
+    ]
+    monkeypatch.setattr(store, "SPAN", 16)
+    for at, column, then, *want in cases:
+        bad = sides.withColumn(column, F.expr(f"case when base_start = {at} then {then} else {column} end").cast("long"))
+        assert [(r.error, r.entry, r.value, r.limit) for r in store.integrity(idx, source, bad).collect()] == [("index." + want[0], *want[1:])], column
+    store.write_index(idx, source, source + ".zidx", sides.where("base_start > 0"))
+    with pytest.raises(ValueError, match="index.side_base_start_mismatch: a, line 1 of its side table: 4, 0"):
+        store.open_index(spark, source)
+    assert store.open_index(spark, source, check=False).count() == 2
+
+
+def test_comparison_with_side_tables(spark, tmp_path):
+    def read(name, text):
+        (tmp_path / name).write_text(text)
+        lines = records.assign_records(records.line_facts(read_lines(spark, str(tmp_path / name)))).cache()
+        return records.index(lines).cache(), records.side_table(lines).cache()
+
+    one = read("x.fa", ">a\nAC\nACG\nA\n>b\nAC\n>a\nACGT\n>c\nA\nAC\n")
+    two = read("y.fa", ">a\nAC\nAC\nAC\n>b\nAC\n>c\nA\nAC\n>d\nA\n")
+    three = read("z.fa", ">a\nAC\nACG\nA\n>b\nAC\n>c\nA\nAC\nA\n")
+    found = lambda a, b: sorted((r.id, r.occurrence, r.code, r.line) for r in validate.compare_index(a[0], b[0], a[1], b[1]).collect())
+    assert found(one, one) == []
+    assert found(one, two) == [("a", 1, "pair.line_geometry_mismatch", None), ("c", 1, "pair.sequence_offset_mismatch", None), ("c", 1, "pair.side_table_mismatch", 1), ("d", 1, "pair.record_missing_from_fasta", None)]
+    assert ("c", 1, "pair.side_table_mismatch", 1) in found(one, three) and ("c", 1, "pair.sequence_length_mismatch", None) in found(one, three)
+    moved = one[1].withColumn("byte_offset", F.expr("case when base_start = 2 then byte_offset + 1 else byte_offset end"))
+    assert found(one, (one[0], moved)) == [("a", 1, "pair.side_table_mismatch", 2)]
+    assert found(one, (one[0], one[1].where("base_start < 5"))) == [("a", 1, "pair.side_table_mismatch", 3)]
+    assert validate.compared(one[0], two[0]).first().asDict() == {"entries": 4, "matched": 3, "omitted_duplicates": 1}
