@@ -91,21 +91,26 @@ class _Reader(DataSourceReader):
         return out or [_Range("", 0, 0, 0)]
 
     def read(self, part):
-        import pyarrow as pa
-
-        if not part.file:
-            return
-        names = ["file", "split", "line_offset", "raw", "term"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-        rows: list = []
-        with open_at(part.file) as f:
-            for at, raw, term in owned_lines(f, part.start, part.stop):
-                rows.append((part.file, part.split, at, raw, term))
-                if len(rows) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        yield from read_range(part)
+
+
+def read_range(part: _Range):
+    """Arrow batches of the lines that start in a range."""
+    import pyarrow as pa
+
+    if not part.file:
+        return
+    names = ["file", "split", "line_offset", "raw", "term"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    rows: list = []
+    with open_at(part.file) as f:
+        for at, raw, term in owned_lines(f, part.start, part.stop):
+            rows.append((part.file, part.split, at, raw, term))
+            if len(rows) == 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class FastaLines(DataSource):

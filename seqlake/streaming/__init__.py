@@ -1,10 +1,16 @@
-"""Streams of requests against a static index."""
+"""Streams: requests against a static index, FASTA that grows, and duplicates by keyed state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import extract, requests
+from ..functions import identifier
+from ..operators import extract, records, requests
+from ..operators.validate import LONGEST_ID
 
 
 def resolve_bed(lines: DataFrame, index: DataFrame, stranded: bool = False) -> DataFrame:
@@ -16,3 +22,54 @@ def resolve_bed(lines: DataFrame, index: DataFrame, stranded: bool = False) -> D
     known = extract.first_of_each(index).withColumnRenamed("id", "name")
     found = extract.resolve(rows.withColumnRenamed("error", "bad").join(known, "name", "left"))
     return found.selectExpr("value", "name", "from_base", "to_base", "display_end", "reverse", "coalesce(bad, error) as error")
+
+
+def land(lines: DataFrame, path: str, checkpoint: str):
+    """Append a stream of lines to a table of Parquet, each once; ``landed`` reads what is there.
+
+    Gives the query's writer: choose a trigger and start it.
+    """
+    return lines.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def landed(spark, path: str) -> DataFrame:
+    """The lines landed so far, with their records: what a batch over the same bytes gives."""
+    return records.assign_records(records.line_facts(spark.read.parquet(path)))
+
+
+class _Definitions(StatefulProcessor):
+    """Holds where the id of a file was first defined, and passes on every later header with that id."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "offset long")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import pandas as pd
+
+        known = self.first.get()
+        if known is None:  # the least offset may come last
+            at = pd.concat([frame["offset"] for frame in rows]).sort_values()
+            known = (int(at.iloc[0]),)
+            self.first.update(known)
+            later = iter([at.iloc[1:]])
+        else:
+            later = (frame["offset"] for frame in rows)
+        for at in later:
+            if len(at):
+                yield pd.DataFrame({"file": key[0], "id": key[1], "offset": at.to_numpy(), "first_offset": known[0]})
+
+    def close(self) -> None:
+        pass
+
+
+def duplicates(lines: DataFrame) -> DataFrame:
+    """(file, id, offset, first_offset) of every header in a stream of lines whose id its file had before, as it comes.
+
+    Offsets are those of the ids' first bytes. State is one number for each id of a file, keyed by both and
+    spread over all state partitions. It needs the RocksDB state store. Lines of a file must come in
+    order, batch by batch, as ``sources.growing`` gives them. Of the batch in which an id comes first the task
+    holds its offsets, eight bytes each, to find the least; later batches are passed on as they come.
+    """
+    heads = records.line_facts(lines).where("is_header").select("file", identifier(F.substring("content", 2, 2**31 - 1)).alias("id"), (F.col("line_offset") + F.when(F.col("bom"), 4).otherwise(1)).alias("offset"))
+    named = heads.where(F.length("id").between(1, LONGEST_ID))
+    return named.groupBy("file", "id").transformWithStateInPandas(_Definitions(), "file string, id string, offset long, first_offset long", "Append", "none")
