@@ -37,8 +37,8 @@ def convention(schema: str):
     return F.substring("id", 1, 3).isin("sp|", "tr|", "db|") & (bar >= 2) & (bar < F.length(rest))
 
 
-def sampled_type(lines: DataFrame) -> str:
-    """'nucleotide' or 'protein' from the first ``SAMPLE_SYMBOLS`` symbols of a data set, file by file."""
+def sampled(lines: DataFrame) -> tuple[str, int]:
+    """'nucleotide' or 'protein', and how many symbols say so, from the first ``SAMPLE_SYMBOLS`` symbols of a data set, file by file."""
     body = lines.where("not is_header and record > 0 and bases > 0")
     sizes = body.groupBy("file", "split").agg(F.sum("bases").alias("n"))
     before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,13 +46,13 @@ def sampled_type(lines: DataFrame) -> str:
     own = Window.partitionBy("file", "split").orderBy("line_offset").rowsBetween(Window.unboundedPreceding, 0)
     rows = body.join(F.broadcast(start), ["file", "split"]).withColumn("left", SAMPLE_SYMBOLS - (F.col("ahead") + F.sum("bases").over(own) - F.col("bases"))).where("left > 0")
     head = F.substring(symbols(F.col("content")), F.lit(1), F.least(F.col("left"), F.col("bases")).cast("int"))
-    got = rows.agg(F.sum(count_of(head, IUPAC)).alias("i"), F.sum(F.length(head)).alias("n")).select(is_nucleotide(F.coalesce("i", F.lit(0)), F.coalesce("n", F.lit(0))).alias("x")).first()
-    return "nucleotide" if got["x"] else "protein"
+    got = rows.agg(F.sum(count_of(head, IUPAC)).alias("i"), F.sum(F.length(head)).alias("n")).select(is_nucleotide(F.coalesce("i", F.lit(0)), F.coalesce("n", F.lit(0))).alias("x"), F.coalesce("n", F.lit(0)).alias("n")).first()
+    return "nucleotide" if got["x"] else "protein", got["n"]
 
 
 def chosen(lines: DataFrame, alphabet: str) -> tuple[str, str]:
     """An alphabet's name, 'auto' decided by the lines, and its letters."""
-    name = sampled_type(lines) if alphabet == "auto" else alphabet
+    name = sampled(lines)[0] if alphabet == "auto" else alphabet
     return name, ALPHABETS.get(name, name)
 
 
@@ -100,12 +100,13 @@ def _place(line, index, related=None, data: dict | None = None):
     )
 
 
-def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None, long_header: int = LONG_HEADER) -> DataFrame:
+def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None, long_header: int = LONG_HEADER, name_budget: int | None = None) -> DataFrame:
     """(code, file, record, offset, line, column, related, data, n): every finding; n counts the rule's unit at that place.
 
     A finding about bytes points to the first of them in its line, and about an identifier to its
     first byte; lines and columns count from 1. ``related`` is a duplicate's first definition,
-    ``data`` the numbers that a report gives. Findings about a whole file have record 0.
+    ``data`` the numbers that a report gives. Findings about a whole file have record 0. With a
+    ``name_budget`` duplicates are looked for up to the record that ``names_stopped`` gives.
     """
     alphabet, allowed = chosen(lines, alphabet)
     text, header, body = F.col("content"), F.col("is_header"), ~F.col("is_header") & (F.col("record") > 0)
@@ -131,16 +132,38 @@ def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None
         rules["sequence.invalid_symbol"] = (F.when(body, F.length(clean) - count_of(clean, allowed)), where(outside), {"byte": byte(outside)})
     each = F.array(*(F.when(n.cast("long") > 0, F.struct(F.lit(k).alias("code"), n.cast("long").alias("n"), _place(own, at, None, data).alias("p"))) for k, (n, at, data) in rules.items()))
     by_line = lines.select("file", "record", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.code", "file", "record", "f.p.*", "f.n")
-    return by_line.unionByName(repeats(lines)).unionByName(record_findings(lines)).unionByName(file_findings(lines))
+    return by_line.unionByName(repeats(lines, name_budget)).unionByName(record_findings(lines)).unionByName(file_findings(lines))
 
 
-def repeats(lines: DataFrame) -> DataFrame:
-    """fasta.duplicate_identifier: every header whose id a header before it in its file has, which is ``related``."""
+def _definitions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers that take part in the search for duplicates, and the first of each id of a file with how many there are."""
     own = F.struct("line_offset", "line_no", "bom")
-    named = lines.where(F.length("id").between(1, LONGEST_ID)).select("file", "record", "id", _place(own, F.lit(1)).alias("p"))
+    named = lines.where(F.col("is_header")).withColumn("id", identifier(F.substring("content", 2, 2**31 - 1))).where(F.length("id").between(1, LONGEST_ID))
+    named = named.select("file", "split", "record", "id", _place(own, F.lit(1)).alias("p"))
     at = F.struct("p.offset", "p.line", "p.column", "record")
-    firsts = named.groupBy("file", "id").agg(F.min(at).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rows = named.join(firsts, ["file", "id"]).where("record > first.record")
+    return named, named.groupBy("file", "id").agg(F.min(F.struct(at.alias("at"), "split")).alias("f"), F.count("*").alias("k")).select("file", "id", F.col("f.at").alias("first"), "f.split", "k")
+
+
+def names_stopped(lines: DataFrame, budget: int) -> DataFrame:
+    """(file, stopped_at_record) of files whose different ids have more than ``budget`` bytes: the record whose id is too much.
+
+    Bytes of ids are summed at their first definitions, in each split and from split to split.
+    """
+    _, firsts = _definitions(lines)
+    rows = firsts.select("file", "split", F.col("first.record").alias("record"), F.length("id").cast("long").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("file", "split").agg(F.sum("n").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = Window.partitionBy("file", "split").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
+    total = rows.withColumn("own", F.sum("n").over(own)).join(carry, ["file", "split"])
+    return total.where(F.col("ahead") + F.col("own") > budget).groupBy("file").agg(F.min("record").alias("stopped_at_record"))
+
+
+def repeats(lines: DataFrame, name_budget: int | None = None) -> DataFrame:
+    """fasta.duplicate_identifier: every header whose id a header before it in its file has, which is ``related``."""
+    named, firsts = _definitions(lines)
+    rows = named.join(firsts.where("k > 1").select("file", "id", "first"), ["file", "id"]).where("record > first.record")
+    if name_budget is not None:
+        rows = rows.join(names_stopped(lines, name_budget), "file", "left").where("stopped_at_record is null or record < stopped_at_record")
     return rows.select(F.lit("fasta.duplicate_identifier").alias("code"), "file", "record", "p.offset", "p.line", "p.column", F.col("first").cast(_RELATED).alias("related"), "p.data", F.lit(1).cast("long").alias("n"))
 
 

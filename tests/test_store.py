@@ -81,7 +81,16 @@ def test_reports(lines, sequences):
     assert (report["records_with_errors"], report["records_with_warnings"], report["invalid_symbols"]) == (1, 0, [])
     back = json.loads(reports.validation_json(report))
     assert back["findings"] == {"errors": "1", "warnings": "0", "error_codes": "1", "warning_codes": "0"} and back["policy"]["strict"] is False
-    assert reports.validation_text(report).endswith("outcome: invalid\n")
+    assert reports.validation_text(report, "x.fa") == (
+        "INVALID x.fa: 1 error in 1 code, 0 warnings in 0 codes; 1 of 3 records with errors, 0 with warnings\n"
+        'error [fasta.duplicate_identifier] 1 record; first at line 6 column 2, record 3 "seq1": Identifier duplicates an earlier record. First defined at line 1 column 2.\n'
+        f"complete: examined {len(DATA)} bytes, 7 lines, 3 records, 38 symbols; nucleotide alphabet chosen from 38 symbols\n"
+    )
+    assert back["codes"][0]["first"] == {
+        "offset": str(DATA.rindex(b">") + 1), "line": "6", "column": "2", "record": "3", "identifier": {"encoding": "utf8", "value": "seq1", "truncated": False, "original_bytes": "4"},
+        "related": {"offset": "1", "line": "1", "column": "2", "record": "1"}, "data": {},
+    }
+    assert [reports.category(c) for c in ("request.sequence_not_found", "index.side_table_empty", "input.changed", "index.nonuniform_fai", "pair.side_table_mismatch", "header.convention_mismatch")] == ["requests", "index_integrity", "source_stability", "index_compatibility", "index_match", "identifiers"]
     assert reports.opaque(b"a\xff" * 200) == {"encoding": "base64", "value": base64.b64encode(b"a\xff" * 128).decode(), "truncated": True, "original_bytes": "400"}
     assert json.loads(reports.failure_json("request.sequence_not_found", "unknown", name=b"x"))["details"]["name"]["value"] == "x"
     with pytest.raises(ValueError, match="pair.total_length_mismatch"):
@@ -193,3 +202,20 @@ def test_comparison_with_side_tables(spark, tmp_path):
     assert found(one, (one[0], moved)) == [("a", 1, "pair.side_table_mismatch", 2)]
     assert found(one, (one[0], one[1].where("base_start < 5"))) == [("a", 1, "pair.side_table_mismatch", 3)]
     assert validate.compared(one[0], two[0]).first().asDict() == {"entries": 4, "matched": 3, "omitted_duplicates": 1}
+
+
+REPORTS = [
+    (b">empty_rec\n", {}, ["WARNINGS in: 0 errors in 0 codes, 1 warning in 1 code; 0 of 1 record with errors, 1 with warnings", 'warning [fasta.empty_record] 1 record; first at line 1 column 1, record 1 "empty_rec": FASTA record contains no sequence symbols.', "complete: examined 11 bytes, 1 line, 1 record, 0 symbols; nucleotide alphabet chosen from 0 symbols"]),
+    (b"not FASTA\n", {}, ["INVALID in: 2 errors in 2 codes, 0 warnings in 0 codes; 0 of 0 records with errors, 0 with warnings", "error [fasta.no_records]: No FASTA records were found.", "error [fasta.content_before_header] 1 line; first at line 1 column 1: Content appears before the first FASTA header. content_bytes=9", "complete: examined 10 bytes, 1 line, 0 records, 0 symbols; nucleotide alphabet chosen from 0 symbols"]),
+    (b">a\x01\nA\x00?\nACG", {"alphabet": "dna"}, ["INVALID in: 3 errors in 3 codes, 2 warnings in 2 codes; 1 of 1 record with errors, 1 with warnings", 'error [fasta.header_control_byte] 1 byte in 1 record; first at line 1 column 3, record 1 "a\\x01": Header contains a prohibited control byte. byte=0x01 grammar=controls_except_tab', 'error [fasta.sequence_control_byte] 1 byte in 1 record; first at line 2 column 2, record 1 "a\\x01": Sequence contains a prohibited control byte. byte=0x00 grammar=controls_except_tab', 'error [sequence.invalid_symbol] 1 byte in 1 record; first at line 2 column 3, record 1 "a\\x01": Sequence byte is outside the selected alphabet. byte=0x3f', 'warning [format.inconsistent_wrapping] 1 record; first at line 3 column 1, record 1 "a\\x01": Sequence line width differs from the record\'s wrap width. expected_width=2 actual_width=3', "warning [format.missing_terminal_newline] at line 3 column 4: Nonempty file has no terminal newline.", "complete: examined 11 bytes, 3 lines, 1 record, 5 symbols; dna alphabet"]),
+    (b">ab\nAC\n>" + b"x" * 40 + b"\nAC\n>ab\nAC\n", {"name_budget": 41, "long_header": 30}, ["INCOMPLETE in: 0 errors in 0 codes, 1 warning in 1 code; 0 of 3 records with errors, 1 with warnings", 'warning [fasta.long_header] 1 record; first at line 3 column 1, record 2 "' + "x" * 32 + '" (40 bytes): Header exceeds the selected length limit. observed_bytes=40 limit_bytes=30', "incomplete: examined 59 bytes, 6 lines, 3 records, 6 symbols; nucleotide alphabet chosen from 6 symbols; duplicate check stopped at record 2 at its 41-byte name budget"]),
+]
+
+
+@pytest.mark.parametrize("data, options, want", REPORTS)
+def test_report_text(spark, tmp_path, data, options, want):
+    (tmp_path / "x.fa").write_bytes(data)
+    lines = records.assign_records(records.line_facts(read_lines(spark, str(tmp_path / "x.fa")))).cache()
+    report = reports.validation(lines, **options)
+    assert reports.validation_text(report, "in").splitlines() == want
+    assert json.loads(reports.validation_json(report))["outcome"] == want[0].split(" ")[0].lower().replace("ok", "clean")
