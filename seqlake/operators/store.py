@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.fasta import files, info, located
+from ..sources.sink import distinct_from, write_committed
 from . import extract, records, spans
 
 
@@ -24,6 +24,7 @@ def _real(path: str) -> str:
 
 def write_index(index: DataFrame, source: str, path: str, sides: DataFrame | None = None) -> None:
     """The index as Parquet, with its side tables, beside a row of its source's identity; a source that changes meanwhile raises."""
+    distinct_from(source, path)
     before = identity(source)
     index.write.parquet(f"{path}/rows")
     if sides is not None:
@@ -143,14 +144,12 @@ def side_errors(sides: DataFrame, rows: DataFrame) -> DataFrame:
     return at.withColumn("e", error).groupBy(*key).agg(F.count("*").alias("n"), F.sum("line_bases").alias("bases"), F.min_by("e", F.when(F.col("e").isNotNull(), F.col("entry"))).alias("first"))
 
 
-def write_text(rows: DataFrame, path: str, *order: str, source: str | None = None) -> None:
-    """Column ``value`` as text in order of ``order``, published by a rename; never over its own source."""
-    if source and _real(source) == _real(path):
-        raise ValueError("repair.output_is_input")
-    staged = f"{path}.{uuid.uuid4().hex}"
-    rows.orderBy(*order).select("value").write.text(staged, lineSep="\n")
-    system, name = located(path)
-    system.move(located(staged)[1], name)
+def write_text(rows: DataFrame, path: str, *order: str, source: str | None = None, overwrite: bool = False) -> None:
+    """Column ``value`` as text in order of ``order``, by ``sources.sink``: as a whole or not at all.
+
+    Never over or into its own source, nor if that changes meanwhile.
+    """
+    write_committed(rows, path, *order, source=source, overwrite=overwrite)
 
 
 class SequenceStore:

@@ -219,3 +219,34 @@ def test_report_text(spark, tmp_path, data, options, want):
     report = reports.validation(lines, **options)
     assert reports.validation_text(report, "in").splitlines() == want
     assert json.loads(reports.validation_json(report))["outcome"] == want[0].split(" ")[0].lower().replace("ok", "clean")
+
+
+def test_committed_text(spark, tmp_path, source):
+    """A folder of ordered parts appears as a whole; nothing is left of a write that fails or whose source changes."""
+    rows = spark.range(2000, numPartitions=5).withColumn("value", F.concat(F.lit("v"), F.col("id")))
+    out = tmp_path / "out"
+    text = lambda: "".join((out / p).read_text() for p in sorted(os.listdir(out)) if p.startswith("part-"))
+    store.write_text(rows.repartition(7), str(out), "id", source=source)
+    assert text() == "".join(f"v{k}\n" for k in range(2000)) and (out / "_SUCCESS").exists()
+    with pytest.raises(Exception, match="io.create_failed"):
+        store.write_text(rows, str(out), "id")
+    store.write_text(rows.limit(3), str(out), "id", overwrite=True)
+    assert text() == "v0\nv1\nv2\n"
+    for bad in (source, f"{tmp_path}/./x.fa", str(tmp_path)):
+        with pytest.raises(Exception, match="output_is_input"):
+            store.write_text(rows, bad, "id", source=source, overwrite=True)
+    failing = rows.withColumn("value", F.when(F.col("id") == 1500, F.raise_error(F.lit("broken"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="broken"):
+        store.write_text(failing, str(out), source=source, overwrite=True)
+
+    def touch(frames):
+        for frame in frames:
+            with open(source, "ab") as f:
+                f.write(b"A")
+            yield frame
+
+    with pytest.raises(Exception, match="input.changed"):
+        store.write_text(rows.limit(9).mapInPandas(touch, rows.schema), str(out), source=source, overwrite=True)
+    assert text() == "v0\nv1\nv2\n" and sorted(p for p in os.listdir(tmp_path) if "out" in p) == ["out"]
+    with pytest.raises(ValueError, match="output_is_input"):
+        store.write_index(rows, source, source)
