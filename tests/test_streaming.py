@@ -1,8 +1,10 @@
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from seqlake import streaming
-from seqlake.operators import records, validate
+from seqlake.operators import extract, records, validate
 from seqlake.sources.fasta import read_lines
 from seqlake.sources.growing import complete, stream_lines
 
@@ -53,3 +55,35 @@ def test_duplicates_by_state(spark, tmp_path):
     lines = records.assign_records(records.line_facts(read_lines(spark, str(path))))
     want = validate.findings(lines, "any").where("code = 'fasta.duplicate_identifier'").select("offset", F.col("related.offset").alias("first_offset"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "dup")).select("offset", "first_offset").collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.fixture(scope="module")
+def store(spark):
+    seqs = [("s1", "ACGTACGTAC"), ("s2", "GGGGCCCC"), ("s2", "TTTT"), ("prot", "MKVLEEFPQ")]
+    df = spark.createDataFrame([(k, i, s, len(s)) for k, (i, s) in enumerate(seqs)], "ordinal long, id string, seq string, seq_len long")
+    return df.drop("seq").cache(), extract.chunks(df.select("ordinal", "seq"), extract.CHUNK).cache()
+
+
+@pytest.mark.parametrize(
+    "kind, parts, want, error",
+    [
+        ("bed", [b"s1\t0\t4\tx\t0\t-\n# note\ns2\t2\t9", b"9\ns1\t1\t2\nnone\t0\t1\ns1\t0\t1\n"], ">s1:1-4\nACGT\n>s2:3-99\nGGCCCC\n>s1:2-2\nC\n", "request.sequence_not_found"),
+        ("names", [b"s2\n", b"\ns1\r\nprot\n"], ">s2\nGGGGCCCC\n>s1\nACGTACGTAC\n>prot\nMKVLEEFPQ\n", None),
+        ("regions", [b"s1:3-5\ns1:0-2\n", b"s2\n"], ">s1:3-5\nGTA\n", "request.start_before_one"),
+    ],
+)
+def test_answers(spark, tmp_path, store, kind, parts, want, error):
+    """Answers come in order, batch by batch; those before an error are published, also after a restart, and none after it."""
+    path, out = tmp_path / "asks", tmp_path / "out"
+    failed = None
+    for part in [*parts, b""]:
+        with open(path, "ab") as f:
+            f.write(part)
+        lines = stream_lines(spark, str(path))
+        try:
+            run(streaming.answer(lines, *store, str(out), str(tmp_path / "c"), kind, stranded=True))
+        except Exception as e:
+            failed = str(e)
+    text = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/batch-*/part-*")))
+    assert text == want
+    assert error in failed if error else failed is None
