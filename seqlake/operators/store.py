@@ -26,7 +26,7 @@ def write_index(index: DataFrame, source: str, path: str, sides: DataFrame | Non
     """The index as Parquet, with its side tables, beside a row of its source's identity; a source that changes meanwhile raises."""
     distinct_from(source, path)
     before = identity(source)
-    index.write.parquet(f"{path}/rows")
+    index.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/rows")  # lookups skip the ranges that hold none of their ids
     if sides is not None:
         sides.write.parquet(f"{path}/sides")
     if identity(source) != before:
@@ -152,6 +152,24 @@ def write_text(rows: DataFrame, path: str, *order: str, source: str | None = Non
     write_committed(rows, path, *order, source=source, overwrite=overwrite)
 
 
+#: Names that a lookup hands to the scan as a filter; more are joined.
+MOST_NAMES = 1024
+
+
+def named(index: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """The index rows of the ids in ``names``.
+
+    Of up to ``MOST_NAMES`` different ones the least and the greatest, and where they are few each, reach the
+    scan as filters, and a stored index, which is in order of ids, is read only where it may have
+    them. Others are joined.
+    """
+    ids = names.select(F.col(name).alias("id")).distinct()
+    some = [r["id"] for r in ids.limit(MOST_NAMES + 1).collect()]
+    if len(some) > MOST_NAMES:
+        return index.join(ids, "id", "left_semi")
+    return index.where(F.col("id").isin(*some)) if some else index.limit(0)
+
+
 class SequenceStore:
     """Lookups over an index (id, ordinal, seq_len) and sequences (ordinal, seq), cut into chunks."""
 
@@ -201,7 +219,7 @@ def get(index: DataFrame, sequences: DataFrame | None, requests: DataFrame, *, r
         raise ValueError("usage.option_requires")
     minus = F.col("reverse") if strand else F.lit(False)
     asks = requests.withColumns({"reverse": minus != F.lit(rc or reverse_only), "complement": minus != F.lit(rc or complement_only)})
-    known = index.join(asks.select(F.col("name").alias("id")), "id", "left_semi")
+    known = named(index, asks)
     resolved = extract.resolve(extract.lookup(asks, known))
     extract.first_error(resolved)
     if sequences is None:

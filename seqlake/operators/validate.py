@@ -308,8 +308,15 @@ def repaired(lines: DataFrame, width: int = 60) -> DataFrame:
 
     Files without records, with content before the first header or with control bytes raise.
     """
-    blockers = ("fasta.no_records", "fasta.content_before_header", "fasta.header_control_byte", "fasta.sequence_control_byte")
-    bad = findings(lines, "any").where(F.col("code").isin(*blockers)).orderBy(F.coalesce("offset", F.lit(0))).first()
+    text, control = F.col("content"), F.col("content").rlike(_CONTROL)
+    code = (
+        F.when((F.col("record") == 0) & text.rlike("[^ \\t\\r]"), "fasta.content_before_header").when(F.col("is_header") & control, "fasta.header_control_byte")
+        .when((F.col("record") > 0) & control, "fasta.sequence_control_byte")
+    )
+    index = F.regexp_instr(text, F.when(F.col("record") == 0, F.lit("[^ \\t\\r]")).otherwise(F.lit(_CONTROL))) - 1 + F.when(F.col("bom"), 3).otherwise(0)
+    found = lines.withColumn("code", code).where("code is not null").select("file", "code", (F.col("line_offset") + index).alias("offset"))
+    none = lines.groupBy("file").agg(F.count_if("is_header").alias("n")).where("n = 0").select("file", F.lit("fasta.no_records").alias("code"), F.lit(None).cast("long").alias("offset"))
+    bad = found.unionByName(none).orderBy(F.coalesce("offset", F.lit(0)), "file", F.col("offset").isNotNull()).first()
     if bad:
         raise ValueError(f"repair.blocked: {bad['code']} at {bad['offset']}")
     size = width * (REPAIR_CHUNK // width or 1)  # whole lines

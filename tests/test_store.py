@@ -250,3 +250,18 @@ def test_committed_text(spark, tmp_path, source):
     assert text() == "v0\nv1\nv2\n" and sorted(p for p in os.listdir(tmp_path) if "out" in p) == ["out"]
     with pytest.raises(ValueError, match="output_is_input"):
         store.write_index(rows, source, source)
+
+
+def test_named_rows_skip_ranges(spark, tmp_path, source):
+    """A stored index is read only in the ranges of ids that are asked for, and many names are joined."""
+    rows = spark.range(40000).select(F.format_string("id%06d", F.col("id") * 7919 % 40000).alias("id"), F.col("id").alias("ordinal"), F.lit(1).alias("seq_len"))
+    store.write_index(rows, source, str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i" / "rows"))
+    asks = spark.createDataFrame([("id000003",), ("id000009",), ("none",), ("id000003",)], "name string")
+    got = store.named(index, asks)
+    assert sorted(r.id for r in got.collect()) == ["id000003", "id000009"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id" in plan or "PushedFilters: [Or" in plan
+    many = rows.where("ordinal < 3000").select(F.col("id").alias("name"))
+    assert store.named(index, many).count() == 3000
+    assert store.named(index, asks.limit(0)).count() == 0
