@@ -87,13 +87,14 @@ def validation(lines: DataFrame, strict: bool = False, alphabet: str = "auto", s
     """The report of a data set's lines: outcome, policy, checks, examined, findings, categories, codes, invalid symbols.
 
     Findings are summed by file and code, and then by code, before anything reaches the driver; a check's state and the
-    outcome follow from its errors and warnings. Each code has its first finding, of the first file by name.
+    outcome follow from its errors and warnings. Each code has its first finding, of the first file by name. The alphabet 'auto' is
+    chosen file by file; the policy names that of the first files' sample.
     With ``name_budget`` the report is incomplete if a file's ids pass it. ``index``: format, entries,
     matched and omitted_duplicates of a comparison (``validate.compared``).
     """
     name, sample = validate.sampled(lines) if alphabet == "auto" else (alphabet, None)
     selection = "automatic" if alphabet == "auto" else "explicit" if alphabet in (*validate.ALPHABETS, "any") else "custom"
-    found = validate.findings(lines, name, schema, long_header, name_budget)
+    found = validate.findings(lines, alphabet, schema, long_header, name_budget)
     by_file, order = validate.places(found, lines), list(validate.RULES)
     first = F.min_by(F.struct("offset", "line", "column", "record", "identifier", "identifier_bytes", "related", "data"), "file")
     sums = {r["code"]: r for r in by_file.groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), first.alias("first")).collect()}
@@ -125,7 +126,7 @@ def validation(lines: DataFrame, strict: bool = False, alphabet: str = "auto", s
         "index": index,
         **touched,
         "codes": [{"code": r["code"], "category": category(r["code"]), "severity": r["severity"], "unit": unit.get(r["code"], "record"), "occurrences": r["occurrences"], "records": r["records"], "first": place(r)} for r in rows],
-        "invalid_symbols": [{"byte": r["byte"], "occurrences": r["n"]} for r in validate.invalid_symbols(lines, name).orderBy("byte").collect()],
+        "invalid_symbols": [{"byte": r["byte"], "occurrences": r["n"]} for r in validate.invalid_symbols(lines, alphabet).orderBy("byte").collect()],
     }
 
 

@@ -50,6 +50,24 @@ def sampled(lines: DataFrame) -> tuple[str, int]:
     return "nucleotide" if got["x"] else "protein", got["n"]
 
 
+def sampled_files(lines: DataFrame) -> DataFrame:
+    """(file, alphabet, symbols): 'nucleotide' or 'protein' by the first ``SAMPLE_SYMBOLS`` symbols of each file, and how many say so.
+
+    Splits that begin after the sample are left out before their lines are read; files without symbols are
+    'nucleotide'.
+    """
+    body = lines.where("not is_header and record > 0 and bases > 0")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = body.groupBy("file", "split").agg(F.sum("bases").alias("n"))
+    start = sizes.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")).where(F.col("ahead") < SAMPLE_SYMBOLS)
+    own = Window.partitionBy("file", "split").orderBy("line_offset").rowsBetween(Window.unboundedPreceding, 0)
+    rows = body.join(start, ["file", "split"]).withColumn("left", SAMPLE_SYMBOLS - (F.col("ahead") + F.sum("bases").over(own) - F.col("bases"))).where("left > 0")
+    head = F.substring(symbols(F.col("content")), F.lit(1), F.least(F.col("left"), F.col("bases")).cast("int"))
+    got = rows.groupBy("file").agg(F.sum(count_of(head, IUPAC)).alias("i"), F.sum(F.length(head)).alias("n"))
+    got = lines.select("file").distinct().join(got, "file", "left").select("file", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("n", F.lit(0)).alias("n"))
+    return got.select("file", F.when(is_nucleotide(F.col("i"), F.col("n")), "nucleotide").otherwise("protein").alias("alphabet"), F.col("n").alias("symbols"))
+
+
 def chosen(lines: DataFrame, alphabet: str) -> tuple[str, str]:
     """An alphabet's name, 'auto' decided by the lines, and its letters."""
     name = sampled(lines)[0] if alphabet == "auto" else alphabet
@@ -57,9 +75,13 @@ def chosen(lines: DataFrame, alphabet: str) -> tuple[str, str]:
 
 
 def invalid_symbols(lines: DataFrame, alphabet: str = "auto") -> DataFrame:
-    """byte, n: how often each symbol outside the alphabet stands in sequence lines; none for 'any'."""
+    """byte, n: how often each symbol outside the alphabet stands in sequence lines; none for 'any'. 'auto' is chosen file by file."""
     from .stats import byte_histogram
 
+    if alphabet == "auto":
+        kinds = sampled_files(lines)
+        parts = [invalid_symbols(lines.join(kinds.where(F.col("alphabet") == k), "file", "left_semi"), k) for k in ("nucleotide", "protein")]
+        return parts[0].unionByName(parts[1]).groupBy("byte").agg(F.sum("n").alias("n"))
     name, allowed = chosen(lines, alphabet)
     body = lines.where("not is_header and record > 0 and bases > 0").select(F.encode("content", "ISO-8859-1").alias("raw"))
     seen = byte_histogram(body).where("byte > 32")
@@ -106,9 +128,10 @@ def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None
     A finding about bytes points to the first of them in its line, and about an identifier to its
     first byte; lines and columns count from 1. ``related`` is a duplicate's first definition,
     ``data`` the numbers that a report gives. Findings about a whole file have record 0. With a
-    ``name_budget`` duplicates are looked for up to the record that ``names_stopped`` gives.
+    ``name_budget`` duplicates are looked for up to the record that ``names_stopped`` gives. The alphabet 'auto' is
+    chosen file by file: both are counted in the one pass, and a file keeps the findings of its own.
     """
-    alphabet, allowed = chosen(lines, alphabet)
+    candidates = ["nucleotide", "protein"] if alphabet == "auto" else [] if alphabet == "any" else [alphabet]
     text, header, body = F.col("content"), F.col("is_header"), ~F.col("is_header") & (F.col("record") > 0)
     lines = lines.withColumn("id", F.when(header, identifier(F.substring(text, 2, 2**31 - 1))))
     control, clean, own = F.regexp_count(text, F.lit(_CONTROL)), symbols(text), F.struct("line_offset", "line_no", "bom")
@@ -127,11 +150,16 @@ def findings(lines: DataFrame, alphabet: str = "auto", schema: str | None = None
     }
     if schema:
         rules["header.convention_mismatch"] = (header & ~convention(schema), F.lit(0), {})
-    if alphabet != "any":
+    rules = [(k, None, rule) for k, rule in rules.items()]
+    for k in candidates:
+        allowed = ALPHABETS.get(k, k)
         outside = "[^\\x00-\\x20" + "".join(f"\\x{ord(x):02x}" for x in allowed) + "]"
-        rules["sequence.invalid_symbol"] = (F.when(body, F.length(clean) - count_of(clean, allowed)), where(outside), {"byte": byte(outside)})
-    each = F.array(*(F.when(n.cast("long") > 0, F.struct(F.lit(k).alias("code"), n.cast("long").alias("n"), _place(own, at, None, data).alias("p"))) for k, (n, at, data) in rules.items()))
-    by_line = lines.select("file", "record", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.code", "file", "record", "f.p.*", "f.n")
+        rules.append(("sequence.invalid_symbol", k, (F.when(body, F.length(clean) - count_of(clean, allowed)), where(outside), {"byte": byte(outside)})))
+    each = F.array(*(F.when(n.cast("long") > 0, F.struct(F.lit(code).alias("code"), F.lit(k).cast("string").alias("of"), n.cast("long").alias("n"), _place(own, at, None, data).alias("p"))) for code, k, (n, at, data) in rules))
+    by_line = lines.select("file", "record", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.code", "f.of", "file", "record", "f.p.*", "f.n")
+    if alphabet == "auto":
+        by_line = by_line.join(sampled_files(lines).select("file", "alphabet"), "file").where("of is null or of = alphabet").drop("alphabet")
+    by_line = by_line.drop("of")
     return by_line.unionByName(repeats(lines, name_budget)).unionByName(record_findings(lines)).unionByName(file_findings(lines))
 
 

@@ -218,6 +218,17 @@ def test_places(lines, split):
     assert placed(lines(b"  \n", split))[0] == {"fasta.no_records": (1, 0, None, None, None, None, None)}
 
 
+def test_alphabet_by_file(spark, tmp_path):
+    """Each file's own sample chooses its alphabet, whatever the files beside it hold."""
+    for name, data in (("a.fa", b">n\nACGTACGTACGTACGTACGTE\nACGT?\n"), ("b.fa", b">p\nMKVLEEFPQ*J1\n"), ("c.fa", b">none\n")):
+        (tmp_path / name).write_bytes(data)
+    rows = records.assign_records(records.line_facts(read_lines(spark, str(tmp_path), split_bytes=11))).cache()
+    assert [(r.file[-4:], r.alphabet, r.symbols) for r in validate.sampled_files(rows).orderBy("file").collect()] == [("a.fa", "nucleotide", 26), ("b.fa", "protein", 12), ("c.fa", "nucleotide", 0)]
+    found = validate.findings(rows).where("code = 'sequence.invalid_symbol'").orderBy("file", "offset").collect()
+    assert [(r.file[-4:], r.offset, r.n, r.data) for r in found] == [("a.fa", 23, 1, {"byte": ord("E")}), ("a.fa", 29, 1, {"byte": ord("?")}), ("b.fa", 14, 1, {"byte": ord("1")})]
+    assert {r.byte: r.n for r in validate.invalid_symbols(rows).collect()} == {ord("E"): 1, ord("?"): 1, ord("1"): 1}
+
+
 def test_places_of_long_identifiers(lines):
     _, rows = placed(lines(b"\xef\xbb\xbf>" + b"x" * 300 + b"\nAC\n>" + b"x" * 300 + b"\nAC\n>" + b"y" * 70000 + b"\nAC\n"), "any")
     twice, long = rows["fasta.duplicate_identifier"], rows["fasta.identifier_too_long"]
