@@ -549,6 +549,32 @@ def index_damage(spark, sf_dir):
     return K.errors(idx.drop("m"), sides).select("file", "error", "entry")
 
 
+@query("with " + DNA + ", s as (select 'doc' || doc_id as file, case when doc_id % 2 = 0 then seq when doc_id % 3 = 0 then seq || regexp_replace(text, '[^A-Za-z]', '', 'g')[1:length(seq) // 15] else regexp_replace(text, '[^A-Za-z]', '', 'g') end as s from documents join dna on ordinal = doc_id), "
+  f"k as (select *, length(s[1:100000]) as n, length(s[1:100000]) - length(translate(s[1:100000], '{IUPAC}', '')) as i from s), a as (select *, case when n = 0 or i * 10 > n * 9 then 'nucleotide' else 'protein' end as alphabet from k) "
+  f"select file, alphabet, cast(n as bigint) as symbols, cast(case when alphabet = 'nucleotide' then length(translate(s, '{IUPAC}', '')) else 0 end as bigint) as invalid from a")
+def alphabet_by_file(spark, sf_dir):
+    """The alphabet that each file's sample chooses, of files of nucleotides, of prose, and of both, and the symbols outside it."""
+    prose = F.regexp_replace("text", "[^A-Za-z]", "")
+    d = T.table(spark, sf_dir, "documents").join(T.dna(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), "seq"), "doc_id").withColumn("prose", prose)
+    seq = F.expr("case when doc_id % 2 = 0 then seq when doc_id % 3 = 0 then concat(seq, substring(prose, 1, cast(length(seq) div 15 as int))) else prose end")
+    rows = d.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("file"), F.posexplode(F.array(F.lit(">x"), seq)).alias("k", "raw"))
+    lines = rows.select("file", F.lit(0).cast("long").alias("split"), (F.col("k") * 3).cast("long").alias("line_offset"), F.col("raw").cast("binary").alias("raw"), F.lit(1).alias("term"))
+    lines = T.kept(R.assign_records(R.line_facts(lines)))
+    found = V.findings(lines).where("code = 'sequence.invalid_symbol'").groupBy("file").agg(F.sum("n").alias("invalid"))
+    return V.sampled_files(lines).join(found, "file", "left").select("file", "alphabet", "symbols", F.coalesce("invalid", F.lit(0)).alias("invalid"))
+
+
+@query("with d as (select doc_id, source || doc_id % 37 as id from documents), f as (select id, min(doc_id) as a0 from d group by id), c as (select a0, sum(length(id)) over (order by a0) as total from f), s as (select min(a0) as stop from c where total > 1500) select d.id, d.doc_id from d join f using (id), s where doc_id > a0 and (stop is null or doc_id < stop)")
+def duplicates_in_budget(spark, sf_dir):
+    """Duplicates up to the record whose id is too much for a budget of 1,500 bytes of names."""
+    d = T.table(spark, sf_dir, "documents")
+    raw = F.concat(F.lit(">"), F.col("source"), (F.col("doc_id") % 37).cast("string")).cast("binary").alias("raw")
+    rows = d.select(F.lit("all").alias("file"), F.floor(F.col("doc_id") / 100).alias("split"), F.col("doc_id").alias("line_offset"), raw, F.lit(1).alias("term"))
+    lines = R.assign_records(R.line_facts(rows))
+    found = V.repeats(lines, 1500).select("record")
+    return found.join(R.headers(lines).select("record", "id", F.col("header_offset").alias("doc_id")), "record").select("id", "doc_id")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

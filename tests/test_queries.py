@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["stats_lengths", "comp_nucleotide", "region_extract", "strand_compose", "record_layout", "nonuniform_reason", "findings_by_code", "index_compare", "index_compare_fields", "findings_every_rule", "records_by_severity", "invalid_symbols", "positional_read"])
+@pytest.mark.parametrize("name", ["stats_lengths", "comp_nucleotide", "region_extract", "strand_compose", "record_layout", "nonuniform_reason", "findings_by_code", "index_compare", "index_compare_fields", "findings_every_rule", "records_by_severity", "invalid_symbols", "positional_read", "findings_places", "fault_places", "index_damage", "index_compare_sides", "index_counts", "alphabet_by_file", "duplicates_in_budget"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "orders", "labels", "part"):
