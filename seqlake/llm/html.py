@@ -5,11 +5,18 @@ with its text, the number of tags on it and the containers that it stands in. A
 characters to tags is smoothed with a Gaussian over its neighbours; lines at or above the threshold
 (``SPREAD`` standard deviations of the smoothed ratios) are content and pick the region: all
 outermost article or main elements if any of them holds content, or else these and the smallest container that
-holds all content. A region without an h1 gets those outside it. In the region, lists and
-divisions of links alone (two at least) go if the ratio of each of their lines is below the threshold. Every other line
+holds all content. A region without an h1, and without a heading at its beginning, gets the nearest h1
+before it unless content stands in between. In the region, lists and
+divisions of links alone (two at least) go if the ratio of each of their lines is below the threshold, but for
+one right below a heading of the article (its references). Every other line
 belongs to the result, short ones too, but for what is marked as boilerplate: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, hidden parts and reader comments. Short text alone is not rejected: articles have
+scripts, styles, hidden parts and reader comments. In an article, words that name its subjects as well
+("related", "social") mark a part only if the ratio agrees: most of its characters are linked, or no line
+of it reaches ``PROSE`` characters a tag. Short text alone is not rejected: articles have
 paragraphs of a word or two, which the ratio can't tell from unmarked adverts.
+
+Repeated rows are scanned again, an empty table gives an empty one, and columns beside page_id, url and html
+are ignored, whatever they are called. An article in an article is part of it.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-SIGMA, RADIUS, SPREAD = 1.0, 2, 0.5
+SIGMA, RADIUS, SPREAD, PROSE = 1.0, 2, 0.5, 8.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -35,10 +42,12 @@ DROPPED = frozenset("aside audio button canvas dialog footer form iframe menu na
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class and id that mark boilerplate.
 MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline consent cookie cookies dialog disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
+    "ad ads adsense advert adverts advertisement advertising banner branding breadcrumb breadcrumbs byline consent cookie cookies dialog disqus footer gdpr login logo masthead menu modal nav navbar navigation newsletter "
     "notice notices notification overlay pager pagination popup promo promoted promotion recommendations recommended related reply replies respond share sharebar sharing sidebar signup sitefooter social "
     "sponsor sponsored subscribe subscription toolbar trending widget widgets".split()
 )
+#: Those that also name what an article is about.
+SUBJECTS = frozenset("branding login logo navigation overlay promotion recommendations recommended related sharing social subscription toolbar trending".split())
 COMMENTS = frozenset("comment comments commentlist".split())
 #: Words that begin with "comment" and don't name reader comments, and words after it that tell whether a page takes any.
 COMMENTARY = frozenset("commentaries commentary commentator commentators commented".split())
@@ -49,11 +58,12 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"])
 _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _marked(tag: str, attrs: list) -> str | None:
-    """'drop' or 'header' if the attributes mark a part as boilerplate.
+def _marked(tag: str, attrs: list, inside: bool = False) -> str | None:
+    """'drop' or 'header' if the attributes mark a part as boilerplate, 'doubt' if the ratio has to agree (``inside`` an article).
 
     Class and id words don't count on what may hold a whole page, but for an article that is a reader comment by name.
     """
+    doubt = None
     whole = tag in ("html", "body", "main", "article")
     for name, value in attrs:
         if name in ("class", "id") and value:
@@ -65,41 +75,49 @@ def _marked(tag: str, attrs: list) -> str | None:
                     if w.startswith("comment") and w not in COMMENTARY and before not in ABOUT and after not in STATES:
                         return "drop"
                     if before not in ABOUT:
-                        if w in MARKS:
+                        if w in MARKS and not (inside and w in SUBJECTS):
                             return "drop"
+                        if w in MARKS:
+                            doubt = "doubt"
                         if w == "header":
                             return "header"
         elif name == "role" and value and value.lower() in ROLES:
             return "drop"
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return "drop"
-    return None
+    return doubt
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, links, in an h1, containers) for each block of a page."""
+    """Collects (text, tags, linked characters, links, heading, containers, part in doubt) for each block of a page.
+
+    heading: 1 in an h1, 2 in any other, or else 0; part in doubt: the number of the outermost one, 0 without.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, tuple]] = []
+        self.lines: list[tuple[str, int, int, int, int, tuple, int]] = []
         self.open: list[tuple[str, str | None]] = []
         self.within: tuple = ()  # numbers of the open containers
         self.kinds: list[str] = []
+        self.doubts: list[int] = []  # open parts in doubt
         self.parts: list[str] = []
-        self.tags = self.links = self.linked = self.anchors = self.dropped = self.headers = self.headings = self.titles = 0
+        self.tags = self.links = self.linked = self.anchors = self.dropped = self.headers = self.headings = self.titles = self.doubted = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.anchors, self.titles > 0, self.within))
+            self.lines.append((text, self.tags, self.linked, self.anchors, 1 if self.titles else 2 if self.headings else 0, self.within, self.doubts[0] if self.doubts else 0))
         if text or self.parts:
             self.tags = 0
         self.parts, self.linked, self.anchors = [], 0, 0
 
     def pop(self) -> None:
         tag, mark = self.open.pop()
-        if tag in BLOCKS:
+        if tag in BLOCKS or mark == "doubt":
             self.flush()
+        if mark == "doubt":
+            self.doubts.pop()
         if tag in CONTAINERS:
             self.within = self.within[:-1]
         self.links -= tag == "a"
@@ -135,11 +153,14 @@ class Lines(HTMLParser):
             self.flush()
         elif tag == "th":
             self.parts.append(" ")
-        mark = "drop" if tag in DROPPED else _marked(tag, attrs) if attrs else None
+        inside = bool(attrs or tag == "header") and any(self.kinds[k] in ("article", "main") for k in self.within)
+        mark = "drop" if tag in DROPPED else _marked(tag, attrs, inside) if attrs else None
         if tag == "header" or mark == "header":
-            mark = mark or "header"
-            if not any(self.kinds[k] in ("article", "main") for k in self.within):
-                mark = "drop"
+            mark = "drop" if mark == "drop" or not inside else "header"
+        if mark == "doubt":
+            self.flush()
+            self.doubted += 1
+            self.doubts.append(self.doubted)
         self.open.append((tag, mark))
         if tag in CONTAINERS:
             self.within = (*self.within, len(self.kinds))
@@ -183,29 +204,51 @@ def select(lines: list, kinds: list[str]) -> list[str]:
     """The lines of the content region."""
     if not lines:
         return []
-    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    texts, tags, linked, anchors, headings, withins, doubts = zip(*lines)
+    ratios = np.array([len(text) / max(1, n) for text, n in zip(texts, tags)])
     smoothed = smooth(ratios)
     threshold = SPREAD * smoothed.std()
-    withins = [within for *_, within in lines]
-    links = [linked * 2 > len(text) for text, _, linked, *_ in lines]
+    links = [n * 2 > len(text) for text, n in zip(texts, linked)]
     content = [within for within, s, link in zip(withins, smoothed, links) if s >= threshold and not link]
     marked = {k for k, kind in enumerate(kinds) if kind in ("article", "main")}
     inside = [not marked.isdisjoint(within) for within in withins]
     if not any(inside) or content and all(marked.isdisjoint(within) for within in content):
         region = max(set(content[0]).intersection(*content[1:]), default=None) if content else None  # containers are numbered as they open
         inside = [i or region is None or region in within for i, within in zip(inside, withins)]
-    listed: dict[int, int] = {}  # links of each container of links alone
-    for (*_, anchors, _, within), link, ratio in zip(lines, links, ratios):
+    boilerplate = doubtful(texts, ratios, linked, links, headings, doubts)
+    listed: dict[int, float] = {}  # links of each container of links alone
+    cited = set()  # those right below a heading
+    for i, within in enumerate(withins):
         for k in within:
             if kinds[k] in LISTS:
-                listed[k] = listed.get(k, 0) + anchors if link and ratio < threshold else -math.inf
-    listed = {k for k, n in listed.items() if n > 1}
-    kept = [i and listed.isdisjoint(within) for i, within in zip(inside, withins)]
+                if k not in listed and i and headings[i - 1] == 2 and inside[i - 1]:
+                    cited.add(k)
+                listed[k] = listed.get(k, 0) + anchors[i] if links[i] and ratios[i] < threshold else -math.inf
+    listed = {k for k, n in listed.items() if n > 1 and k not in cited}
+    kept = [i and listed.isdisjoint(within) and part not in boilerplate for i, within, part in zip(inside, withins, doubts)]
     if not any(kept):
         kept = inside
-    if not any(k and title for k, (*_, title, _) in zip(kept, lines)):
-        kept = [k or title for k, (*_, title, _) in zip(kept, lines)]
-    return [line[0] for line, k in zip(lines, kept) if k]
+    first = kept.index(True) if True in kept else 0
+    if not headings[first] and not any(k and heading == 1 for k, heading in zip(kept, headings)):
+        for i in range(first - 1, -1, -1):
+            if headings[i] == 1:
+                kept[i] = True
+                if not i or headings[i - 1] != 1:
+                    break
+            elif ratios[i] >= threshold and not links[i]:
+                break
+    return [text for text, k in zip(texts, kept) if k]
+
+
+def doubtful(texts, ratios, linked, links, headings, doubts) -> set[int]:
+    """The parts in doubt that are boilerplate by their ratio or their links."""
+    found = set()
+    for part in set(doubts) - {0}:
+        own = [i for i, x in enumerate(doubts) if x == part]
+        reached = any(ratios[i] >= PROSE and not (links[i] or headings[i]) for i in own)
+        if not reached or 2 * sum(linked[i] for i in own) > sum(len(texts[i]) for i in own):
+            found.add(part)
+    return found
 
 
 def main_text(html: str | None) -> str:

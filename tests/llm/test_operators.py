@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import shutil
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import bpe, buckets, common, graph, html, lines, lm, merkle, packing, simhash, topk, toxicity, warc
 
+PAGES = "/root/testdata/sf0.01/pages.parquet"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RND = random.Random(11)
@@ -132,6 +135,78 @@ def test_html_clusters_select_in_articles():
     assert html.main_text(f"<body><article><ul>{links}</ul></article>") == "one\n\ntwo\n\nthree"
 
 
+def test_html_doubt_references_titles():
+    long = [f"{k} " + "word " * 60 + "end" for k in range(4)]
+    body, whole = "".join(f"<p>{x}</p>" for x in long), "\n\n".join(long)
+    works = "<li><a href=1>One work</a><li><a href=2>Two work</a>"
+    assert html.main_text(f"<article>{body}<h2>References</h2><ul>{works}</ul></article>") == f"{whole}\n\nReferences\n\nOne work\n\nTwo work"
+    assert html.main_text(f"<article>{body}<h2>References</h2><p>None.</p><ul>{works}</ul></article>") == f"{whole}\n\nReferences\n\nNone."
+    for part in ("div class='related-work'", "section id='social'", "p class=promotion"):
+        assert html.main_text(f"<article>{body}<{part}>Earlier work on the matter, by others.</{part.split()[0]}>{body}</article>") == f"{whole}\n\nEarlier work on the matter, by others.\n\n{whole}"
+        assert html.main_text(f"<article>{body}<{part}>More</{part.split()[0]}>{body}</article>") == f"{whole}\n\n{whole}"
+        assert html.main_text(f"<article>{body}<{part}><a href=1>Earlier work on the matter</a> here</{part.split()[0]}></article>") == whole
+        assert html.main_text(f"<body><{part}>Earlier work on the matter, by others.</{part.split()[0]}><article>{body}</article>") == whole
+    assert html.main_text(f"<article>{body}<div class='related comments'><p>{long[0]}</p></div><div class=ad>{long[0]}</div></article>") == whole
+    assert html.main_text(f"<body><div class=logo><h1>Name</h1></div><article><h2>Title</h2>{body}</article>") == f"Title\n\n{whole}"
+    assert html.main_text(f"<body><div><h1>Name</h1></div><article><h2>Title</h2>{body}</article>") == f"Title\n\n{whole}"
+    assert html.main_text(f"<body><div><h1>Title</h1></div><p>May</p><article>{body}<h2>On</h2></article><h1>Next</h1>") == f"Title\n\n{whole}\n\nOn"
+
+
+def plain_walk(page):
+    """Blocks of the articles of a page of the given tables, from a tree that is built first and then walked."""
+    root, stack = ("", [], []), []
+    stack.append(root)
+    for found in re.finditer(r"<!--.*?-->|<!\w[^>]*>|<(script|style)\b.*?</\1>|<(/?)(\w+)([^>]*)>|[^<]+", page, re.S):
+        if found[3] is None:
+            if not found[0].startswith("<"):
+                stack[-1][2].append(unescape(found[0]))
+            continue
+        tag = found[3].lower()
+        if found[2]:
+            if any(x[0] == tag for x in stack):
+                while stack.pop()[0] != tag:
+                    pass
+        else:
+            if tag in ("p", "article", "footer") and any(x[0] == "p" for x in stack):
+                while stack.pop()[0] != "p":
+                    pass
+            node = (tag, found[4].split(), [])
+            stack[-1][2].append(node)
+            if tag not in ("br", "meta"):
+                stack.append(node)
+    blocks = [[]]
+
+    def walk(node, inside):
+        tag, attrs, children = node
+        if tag in ("nav", "footer", "title") or 'class="ad"' in attrs:
+            return
+        block = tag not in ("b", "br")
+        if block:
+            blocks.append([])
+        for child in children:
+            if isinstance(child, str):
+                if inside:
+                    blocks[-1].append(child)
+            else:
+                walk(child, inside or child[0] == "article")
+        if block:
+            blocks.append([])
+        elif tag == "br" and inside:
+            blocks[-1].append(" ")
+
+    walk(root, False)
+    return "\n\n".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test data")
+def test_html_against_tree_walk(spark):
+    got = html.extract(spark.read.parquet(PAGES)).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(PAGES).collect()}
+    assert len(got) == len(pages) > 0
+    for r in got:
+        assert (r.text, r.n_chars) == (plain_walk(pages[r.page_id] or ""), len(r.text))
+
+
 # 2
 
 
