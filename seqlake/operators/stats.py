@@ -1,7 +1,8 @@
 """Exact length and composition statistics.
 
 Order statistics come from the histogram of lengths: records are combined map-side, and the
-running sums go over distinct lengths only.
+running sums go over the distinct lengths of a bucket, after the sums of the buckets before it
+(64 to a doubling of the length, so some 4,000 at most).
 """
 
 from __future__ import annotations
@@ -12,23 +13,32 @@ from pyspark.sql import functions as F
 from ..functions import IUPAC, count_of, fixed, is_nucleotide
 
 
+def bucket(length: Column) -> Column:
+    """The bucket of a positive length, in the same order: its highest seven bits and how many follow."""
+    e = F.length(F.bin(length)) - 1
+    return F.call_function("shiftright", F.call_function("shiftleft", length.cast("long"), F.greatest(6 - e, F.lit(0))), F.greatest(e - 6, F.lit(0))) + e * 64 - 64
+
+
 def length_summary(index: DataFrame) -> DataFrame:
     """One row of records, total, mean (floor), extremes with the first record's id, quartiles, Nx, Lx and auN.
 
     ``index`` has ordinal, id, seq_len. Quartiles are medians of the halves without the middle;
     medians of even counts are floored midpoints. An empty index gives a row of zeros and nulls.
     """
-    rows = index.where("seq_len > 0")
-    most = F.struct(F.col("seq_len"), (-F.col("ordinal")).alias("o"))
+    rows = index.where("seq_len > 0").groupBy("seq_len").agg(F.count("*").alias("n"), F.min_by("id", "ordinal").alias("id"))
+    rows = rows.select("seq_len", "n", "id", (F.col("seq_len") * F.col("n")).alias("own"), bucket(F.col("seq_len")).alias("bucket"))
     whole = rows.agg(
-        F.count("*").alias("records"), F.coalesce(F.sum("seq_len"), F.lit(0)).alias("total"),
-        F.min("seq_len").alias("shortest"), F.min_by("id", F.struct("seq_len", "ordinal")).alias("shortest_name"),
-        F.max("seq_len").alias("longest"), F.max_by("id", most).alias("longest_name"),
-        F.sum(F.col("seq_len").cast("decimal(19,0)") * F.col("seq_len").cast("decimal(19,0)")).alias("squares"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum("own"), F.lit(0)).alias("total"),
+        F.min("seq_len").alias("shortest"), F.min_by("id", "seq_len").alias("shortest_name"),
+        F.max("seq_len").alias("longest"), F.max_by("id", "seq_len").alias("longest_name"),
+        F.sum(F.col("own").cast("decimal(19,0)") * F.col("seq_len").cast("decimal(19,0)")).alias("squares"),
     )
-    up = Window.orderBy("seq_len").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("seq_len")).rowsBetween(Window.unboundedPreceding, 0)
-    hist = rows.groupBy("seq_len").agg(F.count("*").alias("n")).select("seq_len", "n", F.sum("n").over(up).alias("upto"), F.sum("n").over(down).alias("ahead"), F.sum(F.col("seq_len") * F.col("n")).over(down).alias("bases"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum("own").alias("_own"))
+    carry = carry.select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_own")))
+    up = Window.partitionBy("bucket").orderBy("seq_len").rowsBetween(Window.unboundedPreceding, 0)
+    hist = rows.select("bucket", "seq_len", "n", "own", F.sum("n").over(up).alias("_upto"), F.sum("own").over(up).alias("_bases")).join(carry, "bucket")
+    hist = hist.select("seq_len", "n", "own", (F.col("_upto") + F.col("_n")).alias("upto"), (F.col("_bases") + F.col("_own")).alias("bases_upto"))
     half = F.expr("records div 2")
     ranks = {
         "m1": F.expr("(records + 1) div 2"), "m2": F.expr("records div 2 + 1"),
@@ -36,13 +46,14 @@ def length_summary(index: DataFrame) -> DataFrame:
         "b1": F.when(F.col("records") == 1, 1).otherwise(F.col("records") - half + F.expr("(records div 2 + 1) div 2")), "b2": F.when(F.col("records") == 1, 1).otherwise(F.col("records") - half + F.expr("(records div 2) div 2 + 1")),
     }
     both = hist.crossJoin(F.broadcast(whole.select("records", "total").withColumns(ranks)))  # one row
+    both = both.withColumns({"ahead": F.expr("records - upto + n"), "bases": F.expr("total - bases_upto + own")})  # of this length or more
     at = {k: F.min(F.when(F.col("upto") >= F.col(k), F.col("seq_len"))).alias(k) for k in ranks}
     nx = []
     for p in (50, 90):
         need = F.expr(f"(total * {p} + 99) div 100")
         reached = F.col("bases") >= need
         nx.append(F.max(F.when(reached, F.col("seq_len"))).alias(f"n{p}"))
-        before, bases = F.col("ahead") - F.col("n"), F.col("bases") - F.col("seq_len") * F.col("n")
+        before, bases = F.col("ahead") - F.col("n"), F.col("bases") - F.col("own")
         nx.append(F.max_by(before + F.ceil((need - bases) / F.col("seq_len")), F.when(reached, F.col("seq_len"))).cast("long").alias(f"l{p}"))
     picked = both.agg(*at.values(), *nx)
     mid = lambda a, b: F.expr(f"({a} + {b}) div 2")

@@ -91,6 +91,18 @@ def test_fai_reader(spark, tmp_path):
     assert rows["b"].error == "index.invalid_line_geometry" and rows["c"].error == "index.fai.invalid_integer"
 
 
+def test_length_buckets_keep_the_order(spark):
+    of = [*range(1, 300), *(2**k + d for k in range(9, 63) for d in (-1, 0, 1)), 2**63 - 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in of], "x long").select(stats.bucket(F.col("x"))).collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] < 64 * 64
+    lengths = [int(2 ** (k * 7 % 31 + k % 64 / 64)) for k in range(400)] + [70, 70, 2**40]
+    row = stats.length_summary(spark.createDataFrame([(k, f"r{k}", v) for k, v in enumerate(lengths)], "ordinal long, id string, seq_len long")).first()
+    down, total = sorted(lengths, reverse=True), sum(lengths)
+    for p, n, rank in ((50, row.n50, row.l50), (90, row.n90, row.l90)):
+        assert down[rank - 1] == n and sum(down[:rank]) * 100 >= total * p > sum(down[: rank - 1]) * 100
+    assert (row.records, row.total, row.median, row.longest_name) == (403, total, down[201], "r402")
+
+
 def test_length_summary(spark, lines):
     row = stats.length_summary(records.index(lines(SIMPLE))).first()
     assert (row.records, row.total, row.mean, row.shortest_name, row.longest_name, row.q1, row.median, row.q3, row.n50, row.l50, row.n90, row.l90, row.aun) == (2, 36, 18, "seq2", "seq1", 12, 18, 24, 24, 1, 12, 2, "20.00")
