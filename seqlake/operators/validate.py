@@ -250,8 +250,8 @@ def places(found: DataFrame, lines: DataFrame, preview: int = PREVIEW) -> DataFr
     """One row a file and code: occurrences, records, and its first finding: offset, line, column, record, identifier, related, data.
 
     ``identifier`` has the first ``preview`` bytes of the record's id and ``identifier_bytes`` its length;
-    record and both are null for findings about a whole file. Findings are combined map-side, and only headers
-    of records that a first finding names are read again for their ids.
+    record and both are null for findings about a whole file. Findings are combined map-side, in one pass; headers meet
+    them with no more of their ids than is shown, since a choice among them would take the findings once more.
     """
     at = F.struct("offset", "record", "line", "column", "related")
     first = F.min(F.struct(F.coalesce("offset", F.lit(0)).alias("_"), at.alias("at")))
@@ -260,8 +260,7 @@ def places(found: DataFrame, lines: DataFrame, preview: int = PREVIEW) -> DataFr
         F.min_by("data", F.coalesce("offset", F.lit(0))).alias("data"),
     ).select("file", "code", "occurrences", "records", "f.at.*", "data")
     heads = lines.where("is_header").select("file", "record", identifier(F.substring("content", 2, 2**31 - 1)).alias("id"))
-    named = heads.join(rows.where("record > 0").select("file", "record").distinct(), ["file", "record"], "left_semi")
-    named = named.select("file", "record", F.substring("id", 1, preview).alias("identifier"), F.length("id").cast("long").alias("identifier_bytes"))
+    named = heads.select("file", "record", F.substring("id", 1, preview).alias("identifier"), F.length("id").cast("long").alias("identifier_bytes"))
     return rows.join(named, ["file", "record"], "left").withColumn("record", F.when(F.col("record") > 0, F.col("record")))
 
 
