@@ -27,26 +27,24 @@ def length_summary(index: DataFrame) -> DataFrame:
     """
     rows = index.where("seq_len > 0").groupBy("seq_len").agg(F.count("*").alias("n"), F.min_by("id", "ordinal").alias("id"))
     rows = rows.select("seq_len", "n", "id", (F.col("seq_len") * F.col("n")).alias("own"), bucket(F.col("seq_len")).alias("bucket"))
-    whole = rows.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum("own"), F.lit(0)).alias("total"),
-        F.min("seq_len").alias("shortest"), F.min_by("id", "seq_len").alias("shortest_name"),
-        F.max("seq_len").alias("longest"), F.max_by("id", "seq_len").alias("longest_name"),
-        F.sum(F.col("own").cast("decimal(19,0)") * F.col("seq_len").cast("decimal(19,0)")).alias("squares"),
+    # Buckets and lengths both read n and id, so they are one exchange and the sequences are scanned once.
+    square = F.col("own").cast("decimal(19,0)") * F.col("seq_len").cast("decimal(19,0)")
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum("own").alias("_own"), F.sum(square).alias("squares"), F.min_by("id", "seq_len").alias("first_id"))
+    every, before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(
+        "bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_own")),
+        F.sum("_n").over(every).alias("records"), F.sum("_own").over(every).alias("total"), F.sum("squares").over(every).alias("squares"), F.first("first_id").over(every).alias("shortest_name"),
     )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = rows.groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum("own").alias("_own"))
-    carry = carry.select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_own")))
     up = Window.partitionBy("bucket").orderBy("seq_len").rowsBetween(Window.unboundedPreceding, 0)
-    hist = rows.select("bucket", "seq_len", "n", "own", F.sum("n").over(up).alias("_upto"), F.sum("own").over(up).alias("_bases")).join(carry, "bucket")
-    hist = hist.select("seq_len", "n", "own", (F.col("_upto") + F.col("_n")).alias("upto"), (F.col("_bases") + F.col("_own")).alias("bases_upto"))
+    hist = rows.select("bucket", "seq_len", "n", "own", "id", F.sum("n").over(up).alias("_upto"), F.sum("own").over(up).alias("_bases")).join(carry, "bucket", "left")
+    hist = hist.withColumns({"upto": F.col("_upto") + F.col("_n"), "bases_upto": F.col("_bases") + F.col("_own")})
     half = F.expr("records div 2")
     ranks = {
         "m1": F.expr("(records + 1) div 2"), "m2": F.expr("records div 2 + 1"),
         "a1": F.greatest(F.lit(1), F.expr("(records div 2 + 1) div 2")), "a2": F.greatest(F.lit(1), F.expr("(records div 2) div 2 + 1")),
         "b1": F.when(F.col("records") == 1, 1).otherwise(F.col("records") - half + F.expr("(records div 2 + 1) div 2")), "b2": F.when(F.col("records") == 1, 1).otherwise(F.col("records") - half + F.expr("(records div 2) div 2 + 1")),
     }
-    both = hist.crossJoin(F.broadcast(whole.select("records", "total").withColumns(ranks)))  # one row
-    both = both.withColumns({"ahead": F.expr("records - upto + n"), "bases": F.expr("total - bases_upto + own")})  # of this length or more
+    both = hist.withColumns(ranks).withColumns({"ahead": F.expr("records - upto + n"), "bases": F.expr("total - bases_upto + own")})  # of this length or more
     at = {k: F.min(F.when(F.col("upto") >= F.col(k), F.col("seq_len"))).alias(k) for k in ranks}
     nx = []
     for p in (50, 90):
@@ -55,9 +53,13 @@ def length_summary(index: DataFrame) -> DataFrame:
         nx.append(F.max(F.when(reached, F.col("seq_len"))).alias(f"n{p}"))
         before, bases = F.col("ahead") - F.col("n"), F.col("bases") - F.col("own")
         nx.append(F.max_by(before + F.ceil((need - bases) / F.col("seq_len")), F.when(reached, F.col("seq_len"))).cast("long").alias(f"l{p}"))
-    picked = both.agg(*at.values(), *nx)
+    picked = both.agg(
+        F.coalesce(F.max("records"), F.lit(0)).alias("records"), F.coalesce(F.max("total"), F.lit(0)).alias("total"), F.max("squares").alias("squares"),
+        F.min("seq_len").alias("shortest"), F.max("shortest_name").alias("shortest_name"), F.max("seq_len").alias("longest"), F.max_by("id", "seq_len").alias("longest_name"),
+        *at.values(), *nx,
+    )
     mid = lambda a, b: F.expr(f"({a} + {b}) div 2")
-    return whole.crossJoin(F.broadcast(picked)).select(
+    return picked.select(
         "records", "total", F.expr("total div nullif(records, 0)").alias("mean"), "shortest", "shortest_name", "longest", "longest_name",
         (F.col("longest") - F.col("shortest")).alias("range"), mid("a1", "a2").alias("q1"), mid("m1", "m2").alias("median"), mid("b1", "b2").alias("q3"),
         "n50", "l50", "n90", "l90", fixed(F.coalesce("squares", F.lit(0)), F.col("total")).alias("aun"),
