@@ -270,18 +270,38 @@ def outcome(summary: DataFrame, strict: bool = False) -> DataFrame:
     return s.withColumn("status", F.when(F.col("errors") > 0, 1).when(F.col("warnings") > 0, 1 if strict else 2).otherwise(0))
 
 
+#: Ordinals are cut into parts of this many, so that a name of many records is numbered by many tasks.
+PART = 8192
+
+
+def occurrences(index: DataFrame, carry: DataFrame) -> DataFrame:
+    """``index`` with part, occurrence (from 1, of its id, by ordinal) and what else ``carry`` (by ``parts_of``) has of its id and part."""
+    nth = Window.partitionBy("id", "part").orderBy("ordinal")
+    rows = index.withColumn("part", F.expr(f"ordinal div {PART}")).withColumn("occurrence", F.row_number().over(nth))
+    return rows.join(carry, ["id", "part"], "left").withColumn("occurrence", F.col("occurrence") + F.coalesce("ahead", F.lit(0)))
+
+
+def parts_of(index: DataFrame) -> DataFrame:
+    """(id, part, ahead): how many records of an id lie before each part of the ordinals; counted map-side."""
+    before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return index.groupBy("id", F.expr(f"ordinal div {PART}").alias("part")).agg(F.count("*").alias("n")).select("id", "part", F.sum("n").over(before).alias("ahead"))
+
+
 def paired(index: DataFrame, other: DataFrame) -> DataFrame:
     """(id, occurrence, a, b, omitted): the k-th record of an id in a file's index beside the k-th entry of another.
 
     Both have id, ordinal, file, record, seq_len, seq_offset, line_bases, line_bytes and uniform. A record without
-    an entry is ``omitted`` if the other index has its id: it leaves out later duplicates.
+    an entry is ``omitted`` if the other index has its id: it leaves out later duplicates. Both are read twice, so
+    give tables where they are costly to derive. An id of any number of records is dealt over tasks by ``PART``.
     """
     fields = ["seq_len", "seq_offset", "line_bases", "line_bytes", "uniform"]
-    nth = Window.partitionBy("id").orderBy("ordinal")
     more = lambda x: [c if c in x.columns else F.lit(None).alias(c) for c in ("file", "record")]
-    a, b = (x.select("id", F.row_number().over(nth).alias("occurrence"), F.struct(*fields, *more(x)).alias(n)) for x, n in ((index, "a"), (other, "b")))
-    known = F.max(F.col("b").isNotNull()).over(Window.partitionBy("id"))
-    return a.join(b, ["id", "occurrence"], "full").withColumn("omitted", F.col("b").isNull() & known)
+    ahead = parts_of(other)
+    known = ahead.groupBy("id").agg(F.lit(True).alias("known"))
+    a = occurrences(index, parts_of(index).join(known, "id", "left")).select("id", "occurrence", F.struct(*fields, *more(index)).alias("a"), "known")
+    b = occurrences(other, ahead).select("id", "occurrence", F.struct(*fields, *more(other)).alias("b"))
+    omitted = F.col("b").isNull() & F.coalesce("known", F.lit(False))
+    return a.join(b, ["id", "occurrence"], "full").select("id", "occurrence", "a", "b", omitted.alias("omitted"))
 
 
 def compare_index(index: DataFrame, other: DataFrame, sides: DataFrame | None = None, other_sides: DataFrame | None = None) -> DataFrame:

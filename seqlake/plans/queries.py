@@ -503,7 +503,7 @@ def index_compare_sides(spark, sf_dir):
     """The documents' index and side tables against damaged ones, with the first side table line that differs."""
     lines = T.kept(T.lines(spark, sf_dir))
     d = F.substring("id", 4, 20).cast("long")
-    own, sides = R.index(lines).withColumn("ordinal", d), T.kept(R.side_table(lines))
+    own, sides = T.kept(R.index(lines).withColumn("ordinal", d)), T.kept(R.side_table(lines))
     other = own.where(d % 9 > 0).withColumns({"seq_len": F.col("seq_len") + (d % 5 == 0).cast("int"), "seq_offset": F.col("seq_offset") + (d % 7 == 0).cast("int"), "uniform": F.col("uniform") & (d % 17 > 0)})
     return V.compare_index(own, other, sides, _moved(sides, lines)).select("id", "code", "line")
 

@@ -296,3 +296,24 @@ def test_every_rule(lines):
     assert got["sequence.invalid_symbol"][:2] == (1, 1) and got["format.inconsistent_wrapping"][:2] == (1, 1) and got["header.convention_mismatch"][:2] == (4, 4)
     assert {r.byte: r.n for r in validate.invalid_symbols(lines(data, 40_000), "dna").collect()} == {35: 1}
     assert summary(validate.findings(lines(b"\n"), "dna"))["fasta.no_records"][0] == 1
+
+
+def test_occurrences_over_parts(spark, monkeypatch):
+    """A name of many records, numbered in parts of three ordinals, as a plain count of each name does it."""
+    monkeypatch.setattr(validate, "PART", 3)
+    rows = [(k, "hot" if k % 3 else f"r{k % 7}") for k in range(0, 80, 2)] + [(81, None)]
+    index = spark.createDataFrame([(k, i, k, 0, 60, 61, True) for k, i in rows], "ordinal long, id string, seq_len long, seq_offset long, line_bases long, line_bytes long, uniform boolean")
+    other = index.where("(ordinal < 40 or id <> 'r1') and ordinal % 8 > 0 and id <> 'r3'")
+
+    def places(rows):
+        seen = {}
+        for k, i in sorted(rows):
+            seen[i] = seen.get(i, 0) + 1
+            yield (i, seen[i]), k
+
+    a, b = dict(places(rows)), dict(places([(r.ordinal, r.id) for r in other.collect()]))
+    names = {i for i, _ in b}
+    want = sorted((str(i), n, a.get((i, n)), b.get((i, n)), (i, n) not in b and i in names) for i, n in a | b)
+    got = validate.paired(index, other).collect()
+    assert sorted((str(r.id), r.occurrence, r.a and r.a.seq_len, r.b and r.b.seq_len, r.omitted) for r in got) == want
+    assert any(w[4] for w in want) and any(w[3] is None and not w[4] for w in want)
