@@ -4,11 +4,17 @@ The candidates are dealt to shards by a hash of their id and the queries to bloc
 one shard and one block (``SHARD_ROWS`` by ``BLOCK_ROWS``), so every query meets every candidate
 in blocks and memory is bounded whatever the table holds.
 
-1. Each shard gathers, for each query, a list of its k highest local scores (numbers only).
+1. Each shard gathers, for each query, a list of the k highest scores among its longest vectors
+   (one in ``LISTED``), numbers only.
 2. The k-th highest of all listed scores is a safe cutoff: at least k entries reach it, so nothing
-   below can be in the result. It goes back to the shards, and each sends the entries that reach
-   the cutoff, at most its own k best (ties to smaller ids, as in the result).
-3. What was sent holds the result; it is ranked exactly.
+   below can be in the result. It goes back to the shards. A shard takes the inner product over all
+   components but the last one in ``TAIL``; with the product of the lengths of the rest it bounds
+   the score, and entries whose bound reaches the cutoff are collected.
+3. What remains of the collected entries is resolved exactly; each shard sends at most its
+   own k best that reach the cutoff (ties to smaller ids, as in the result), which are ranked.
+
+Bounds are used where floating point is exact for the vectors at hand; otherwise all entries are
+resolved. A score beyond 64 bits raises OverflowError.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an
 id. Only vectors of equal length are compared. Rows that repeat a query's vec_id count as its own;
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-K, EVERY, SCALE, SHARD_ROWS, BLOCK_ROWS = 20, 20, 64, 4096, 1024
+K, EVERY, SCALE, SHARD_ROWS, BLOCK_ROWS, LISTED, TAIL = 20, 20, 64, 4096, 1024, 8, 8
+NO_CUTOFF = -(2**63)
 
 
 def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -44,12 +51,37 @@ def _matrix(table, dim: int) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, dim)
 
 
+def _most(q: np.ndarray, c: np.ndarray) -> int:
+    """No inner product is above this."""
+    return max(map(abs, (int(q.max(initial=0)), int(q.min(initial=0))))) * max(map(abs, (int(c.max(initial=0)), int(c.min(initial=0))))) * q.shape[1]
+
+
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products, by floating point where that is exact."""
-    most = lambda x: int(np.abs(x).max(initial=0))
-    if most(q) * most(c) * q.shape[1] < 2**53:
+    most = _most(q, c)
+    if most < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if most < 2**63:
+        return q @ c.T
+    return (q.astype(object) @ c.astype(object).T).astype(np.int64)
+
+
+def reaching(q: np.ndarray, c: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores of the entries that may reach the query's cutoff, and which these are."""
+    if _most(q, c) >= 2**53:
+        return scores(q, c), np.ones((len(q), len(c)), bool)
+    head = q.shape[1] - -(-q.shape[1] // TAIL)
+    rest_q, rest_c = q[:, head:].astype(np.float64), c[:, head:].astype(np.float64)
+    out = scores(q[:, :head], c[:, :head])
+    longest = np.outer(np.sqrt((rest_q**2).sum(1)), np.sqrt((rest_c**2).sum(1)))
+    collected = out + longest * (1 + 1e-9) + 1 >= least[:, None]
+    if np.count_nonzero(collected) * 16 > collected.size:
+        return out + (rest_q @ rest_c.T).astype(np.int64), collected
+    rows, places = np.nonzero(collected)
+    for at in range(0, len(rows), 65536):
+        i, j = rows[at : at + 65536], places[at : at + 65536]
+        out[i, j] += (rest_q[i] * rest_c[j]).sum(1).astype(np.int64)
+    return out, collected
 
 
 def best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -82,8 +114,10 @@ def top_k(table: DataFrame, is_query: Column | None = None, k: int = K, scale: i
         found, dim = [], left.column("dim")[0].as_py() if left.num_rows and right.num_rows else 0
         ids = left.column("vec_id").to_numpy()
         if left.num_rows and right.num_rows:
-            own = right.column("vec_id").to_numpy()
-            for q, s in zip(ids, scores(_matrix(left, dim), _matrix(right, dim)), strict=True):
+            own, c = right.column("vec_id").to_numpy(), _matrix(right, dim)
+            at = np.argsort(-(c.astype(np.float64) ** 2).sum(1), kind="stable")[: max(4 * k, len(c) // LISTED)]
+            own = own[at]
+            for q, s in zip(ids, scores(_matrix(left, dim), c[at]), strict=True):
                 s = s[own != q]
                 found.append(np.partition(s, len(s) - k)[len(s) - k :] if len(s) > k else s)
         at = ids if found else ids[:0]
@@ -97,7 +131,7 @@ def top_k(table: DataFrame, is_query: Column | None = None, k: int = K, scale: i
         .withColumn("place", F.row_number().over(down))
         .where(F.col("place") <= k)
         .groupBy("query_id")
-        .agg(F.min("score").alias("cutoff"))
+        .agg(F.when(F.count("score") == k, F.min("score")).otherwise(F.lit(NO_CUTOFF)).alias("cutoff"))
     )
 
     def entries(left, right):
@@ -106,14 +140,15 @@ def top_k(table: DataFrame, is_query: Column | None = None, k: int = K, scale: i
         out = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
             dim, own, rows = left.column("dim")[0].as_py(), right.column("vec_id").to_numpy(), []
-            for q, least, s in zip(left.column("vec_id").to_numpy(), left.column("cutoff").to_numpy(), scores(_matrix(left, dim), _matrix(right, dim)), strict=True):
-                at = np.flatnonzero((s >= least) & (own != q))
+            least = left.column("cutoff").to_numpy()
+            for q, lowest, s, some in zip(left.column("vec_id").to_numpy(), least, *reaching(_matrix(left, dim), _matrix(right, dim), least), strict=True):
+                at = np.flatnonzero(some & (s >= lowest) & (own != q))
                 at = at[best(s[at], own[at], k)]
                 rows.append((np.full(len(at), q), own[at], s[at]))
             out = [np.concatenate(x) for x in zip(*rows, strict=True)]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    known = queries.join(materialize(cutoffs.withColumnRenamed("query_id", "vec_id")), "vec_id").select("vec_id", "dim", "v", "cutoff")
+    known = queries.join(materialize(cutoffs.withColumnRenamed("query_id", "vec_id")), "vec_id", "left").select("vec_id", "dim", "v", F.coalesce("cutoff", F.lit(NO_CUTOFF)).alias("cutoff"))
     left, right = _cells(known, vectors, blocks, shards)
     sent = left.cogroup(right).applyInArrow(entries, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

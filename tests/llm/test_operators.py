@@ -717,6 +717,28 @@ def test_top_k(spark):
         assert got == want
     assert topk.top_k(table.limit(0)).count() == 0
     assert topk.scores(np.array([[2**40]]), np.array([[2**15]]))[0, 0] == 2**55
+    with pytest.raises(OverflowError):
+        topk.scores(np.array([[2**40]]), np.array([[2**40]]))
+    assert topk.scores(np.array([[2**62, 2**62]]), np.array([[4, -4]]))[0, 0] == 0
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 16])
+def test_top_k_bounds_lose_nothing(dim):
+    """Entries that reach the cutoff are collected with their exact score, whether few or many do."""
+    rng = np.random.default_rng(dim)
+    q, c = (rng.integers(-90, 90, (n, dim)) * rng.integers(1, 9, (n, 1)) for n in (30, 400))
+    exact = q @ c.T
+    shares = []
+    for place in (0, 5, 200, 399):
+        least = -np.sort(-exact, axis=1)[:, place]
+        found, collected = topk.reaching(q, c, least)
+        reach = exact >= least[:, None]
+        assert (collected | ~reach).all() and (found[collected] == exact[collected]).all()
+        shares.append(collected.mean())
+    assert shares[0] <= shares[-1]
+    big = q.astype(np.int64) << 38
+    assert (topk.reaching(big, c, least)[0] == big @ c.T).all() and topk.reaching(big, c, least)[1].all()
+    assert topk.reaching(q, c, np.full(len(q), topk.NO_CUTOFF))[1].all()
 
 
 # 10
