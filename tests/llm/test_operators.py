@@ -484,6 +484,19 @@ def test_toxicity_learns(spark):
     assert all(again[k] == got[k].score for k in got)
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not the texts; it is the one that the collected sample gives."""
+    df = spark.createDataFrame([(k, f"word{k % 7} good{k % 3}" if k % 2 else f"word{k % 5} bad{k % 3} ä\U0001f600") for k in range(60)] + [(3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(50)], "doc_id long, toxic int")
+    trained = common.crc32_of_id() % 5 != 0
+    model, cuts = toxicity.fit(*toxicity.sample(df, labels, trained))
+    want = sorted((r.doc_id, r.score) for r in toxicity.score(df, model, cuts, "doc_id").collect())
+    monkeypatch.setattr(toxicity, "sample", None)
+    got = sorted((r.doc_id, r.score) for r in toxicity.classify(df, labels).collect())
+    assert np.allclose(got, want, atol=1e-5)
+    assert toxicity.clean(df, labels).count() == sum(x < 0.5 for _, x in want)
+
+
 def test_toxicity_against_a_plain_forward_pass():
     rng = np.random.default_rng(4)
     m = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in toxicity.new_model().items()}
@@ -689,6 +702,15 @@ def test_bucket_links(spark):
     assert buckets.bucket_links(members.limit(0), payload, int, int.__eq__).count() == 0
 
 
+def test_hub_join_without_hubs(spark):
+    """A key is a hub above a thousand rows: with none the plan is one join."""
+    rows = spark.range(3000).select((F.col("id") % 30).alias("k"), F.col("id").alias("x"))
+    each = common.materialize(rows.groupBy("k").agg(F.count("*").alias("n")))
+    got = common.hub_join(rows, each, "k", 3000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(each, "k").collect())) and got.columns == ["k", "x", "n"]
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hub_join(spark, monkeypatch):
     monkeypatch.setattr(common, "HUBS", 3)
     rows = spark.range(9000).withColumn("k", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50))
