@@ -358,6 +358,45 @@ def test_lm_scores(docs, rows, empty):
         assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-4)
 
 
+def test_lm_encodes_distinct_words_once(rows, monkeypatch):
+    """Words of a row are encoded once each, in order of frequency; places give every text's ids."""
+    import types
+
+    import pyarrow as pa
+    import pyspark
+
+    path, encoded, encode = packing.vocabulary_path(), [], lm.list_ids
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(lm, "list_ids", lambda some, path: encoded.extend(some) or encode(some, path))
+    monkeypatch.setattr(lm, "ENCODE_CHARS", 50)
+    some = [(d, t or "", k % 3 > 0) for k, (d, t) in enumerate(rows)] * 2
+    frame = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t, "train": x} for d, t, x in some], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("train", pa.bool_())]))
+    table = types.SimpleNamespace(select=lambda *_: types.SimpleNamespace(mapInArrow=lambda scan, _: scan))
+    for most in (lm.BLOCK_IDS, 300):
+        monkeypatch.setattr(lm, "BLOCK_IDS", most)
+        encoded.clear()
+        found = [b.to_pylist()[0] for b in lm.encode_blocks(table, path)(iter([frame]))]
+        assert [r["block"] for r in found] == [(3 << 32) + k for k in range(len(found))] and (len(found) > 1) == (most == 300)
+        assert len(encoded) == sum(len(r["keys"]) // 8 - 1 for r in found)
+        got = []
+        for r in found:
+            places, counts, sizes, ids = (lm.unpack(r[c]).astype(int) for c in ("places", "counts", "sizes", "ids"))
+            keys, often = np.frombuffer(r["keys"], np.uint64), np.bincount(places)
+            assert np.array_equal(lm.word_keys(ids.astype(np.uint32), path), keys) and len(set(keys.tolist())) == len(keys) and np.all(np.diff(often) <= 0)
+            assert np.array_equal(counts, np.bincount(places[np.repeat(r["trains"], r["words"])], minlength=len(keys)))
+            each = np.split(places, np.cumsum(r["words"])[:-1])
+            got += [(d, x, lm._gather(ids, sizes, p).tolist()) for d, x, p in zip(r["doc_ids"], r["trains"], each, strict=True)]
+        assert got == [(d, x, lm.text_ids(t, path).tolist()) for d, t, x in some]
+
+
+def test_lm_totals(docs, rows):
+    path = packing.vocabulary_path()
+    blocks = lm.encode_blocks(common.texts(docs).withColumn("train", F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))), path).transform(common.materialize)
+    want = collections.Counter(i for d, t in rows if d is not None and d % 2 == 1 for i in lm.text_ids(t or "", path).tolist())
+    got = lm.id_totals(blocks, lm.vocabulary_size(path))
+    assert {k: int(n) for k, n in enumerate(got) if n} == want
+
+
 def test_lm_learns(spark):
     """Two kinds of texts: the model tells them apart from context, which counts of words can't."""
     rnd = random.Random(9)
