@@ -329,6 +329,33 @@ def test_lm_against_a_plain_forward_pass():
     assert np.allclose(lm.id_scores(m, ids, lengths), np.concatenate(want), atol=1e-3)
 
 
+def test_lm_attention_of_any_size():
+    """Large products of asks and keys are taken as they are."""
+    m = lm_model(np.random.default_rng(4))
+    m.weights["in"][:, : 2 * lm.KEY] *= 8
+    ids, lengths = np.random.default_rng(5).integers(0, len(m.kinds), 90), np.array([1, 89])
+    h = m.embedding[ids] @ m.weights["in"] + m.weights["place"][3]
+    assert np.abs(h[:, : lm.KEY] @ h[:, lm.KEY : 2 * lm.KEY].T).max() > 60
+    want = [plain_scores(m, x.tolist()) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert np.allclose(lm.id_scores(m, ids, lengths), np.concatenate(want), atol=2e-3)
+
+
+def test_lm_looks_up_distinct_words():
+    asked = []
+
+    class Known(lm.Places):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    some, known = ("", "  a\x1cB\x85c \t\n\x0b\x0c\r\xc4 \xc4 ", " ", "x y X\xa0z x", "b\0 x"), Known()
+    places, each = lm._places(some, known)
+    assert each.tolist() == [len(words(t)) for t in some]
+    assert [list(known)[k].decode() for k in places] == [w for t in some for w in words(t)] and len(asked) == len(set(asked)) == len(known)
+    for t in ("", " "):
+        assert [x.tolist() for x in lm._places((t,), lm.Places())] == [[], [0]]
+
+
 def test_lm_scores(docs, rows, empty):
     got = sorted(lm.scores(docs).collect(), key=lambda r: (repr(r.doc_id), r.n_tokens, r.base_score))
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
