@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import os
@@ -502,6 +503,30 @@ def test_ids_of_both_libraries():
 # 5
 
 
+def test_lm_every_step_teaches_all_weights(spark, tmp_path, monkeypatch):
+    path, whole, said = packing.vocabulary_path(), lm.gradient, str(tmp_path / "steps")
+
+    def gradient(w, *parts, **kinds):
+        loss, grad = whole(w, *parts, **kinds)
+        with open(said, "a") as f:
+            print(int(parts[5].sum()), *sorted(grad), file=f)
+        return loss, grad
+
+    monkeypatch.setattr(lm, "gradient", gradient)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm, "BATCH", 8)
+    rnd = random.Random(8)
+    some = [" ".join(rnd.choice(SYLLABLES) for _ in range(150)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)
+    blocks = common.materialize(lm.encode_blocks(docs.withColumn("train", F.col("doc_id") % 8 < 7), path))
+    weights = lm.new_weights()
+    fitted = lm.fit(blocks, dataclasses.replace(lm_model(np.random.default_rng(6)), weights=weights))
+    steps = [x.split() for x in open(said)]
+    assert len(steps) > 8 and {tuple(x[1:]) for x in steps} == {tuple(sorted(weights))}
+    assert sum(int(x[0]) for x in steps) == sum(len(lm.text_ids(t, path)) for k, t in enumerate(some) if k % 8 < 7)
+    assert all((fitted[k] != weights[k]).any() for k in weights)
+
+
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
 
