@@ -603,6 +603,89 @@ def test_toxicity_against_a_plain_forward_pass():
         assert math.isclose(z, np.maximum(top, 0) @ m["w"] + m["b"][0], rel_tol=1e-3, abs_tol=1e-3)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """However many rows a label has, and whatever their length."""
+    rows = [(k, f"word{k % 11} {'bad' if k % 2 else 'good'}{k % 7}") for k in range(8500)] + [(9001, "long " * 6_100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    trained = common.crc32_of_id() % 5 != 0
+    ids = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 5}
+    assert 9001 in ids and min(sum(k % 2 == y for k in ids) for y in (0, 1)) > 3000
+    got = toxicity.encode_parts(df, toxicity._known(labels, trained), trained, 1).select("learned", "kept").collect()
+    assert [x + y for x, y in zip(got[0].learned, got[0].kept, strict=True)] == [sum(k % 2 == y for k in ids) for y in (0, 1)]
+    texts, label = toxicity.sample(df, labels, trained)[:2]
+    assert sorted(texts) == sorted(t for k, t in rows if k in ids) and label.sum() == sum(k % 2 for k in ids)
+
+
+def test_toxicity_in_parts(spark, tmp_path, monkeypatch):
+    """Several parts pass over every row that teaches in each round; what they make is near what one part makes."""
+    rnd, whole, said = random.Random(12), toxicity.passed, str(tmp_path / "rows")
+
+    def passed(model, words, label, rows, r):
+        with open(said, "a") as f:
+            print(r, len(rows), file=f)
+        return whole(model, words, label, rows, r)
+
+    rows = []
+    for k in range(1200):
+        w = [rnd.choice(SYLLABLES) + rnd.choice(SYLLABLES) for _ in range(30)]
+        if k % 3 == 0:
+            w[rnd.randrange(30)] = rnd.choice(["moron", "trash", "losers"])
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame([*rows, rows[5], (None, "no id"), (5000, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1200)] + [(6000, 1), (7, None)], "doc_id long, toxic int")
+    one = {r.doc_id: r for r in toxicity.classify(df, labels).collect()}
+    monkeypatch.setattr(toxicity, "passed", passed)
+    monkeypatch.setattr(toxicity, "PART_CHARS", 20_000)
+    got = {r.doc_id: r for r in toxicity.classify(df, labels).collect()}
+    steps = [tuple(map(int, x.split())) for x in open(said)]
+    assert (n := sum(r == 0 for r, _ in steps)) > 5
+    trained = common.crc32_of_id() % 5 != 0
+    parts = toxicity.encode_parts(common.texts(df), toxicity._known(labels, trained), trained, n).select("learned", "kept").collect()
+    assert sum(sum(x.learned) + sum(x.kept) for x in parts) == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in [*range(1200), 5])
+    for r in range(toxicity.EPOCHS):
+        assert sum(n for x, n in steps if x == r) == sum(sum(x.learned) for x in parts)
+    held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 5 == 0]
+    for found in (one, got):
+        assert sum(found[k].predicted == int(k % 3 == 0) for k in held) >= 0.95 * len(held)
+    again = {r.doc_id: r.score for r in toxicity.classify(df.repartition(5), labels).collect()}
+    assert all(abs(again[k] - got[k].score) < 1e-4 for k in got)
+
+
+def test_toxicity_words_joined_and_cut(monkeypatch):
+    some = [TEXTS[5], "", TEXTS[6], " ".join(BASE), TEXTS[8]]
+    rng = np.random.default_rng(4)
+    m = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in toxicity.new_model().items()}
+    want = toxicity.logits(m, toxicity.read(some))
+    both = toxicity.joined([toxicity.read(some[:2]), toxicity.read(some[2:])])
+    assert np.allclose(toxicity.logits(m, both), want, atol=1e-4)
+    assert np.allclose(toxicity.logits(m, toxicity.some_of(both, np.array([3, 1]))), want[[3, 1]], atol=1e-4)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    assert np.allclose(toxicity.logits(m, both), want, atol=1e-4)
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(9)
+    m = {k: rng.normal(0, 0.5, x.shape) for k, x in toxicity.new_model().items()}
+    words, label = toxicity.read([t for t in TEXTS[3:12]]), np.arange(9) % 2
+
+    def loss():
+        z = toxicity.logits(m, words)
+        return (np.log1p(np.exp(z)) - label * z).mean()
+
+    grad, rows = toxicity._step(m, words, label)
+    for k in m:
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in grad[k].shape)
+            own = (rows[at[0]], *at[1:]) if k == "E" else at
+            was, both = m[k][own], []
+            for step in (1e-6, -1e-6):
+                m[k][own] = was + step
+                both.append(loss())
+            m[k][own] = was
+            assert abs((both[0] - both[1]) / 2e-6 - grad[k][at]) < 1e-4
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(9, 1), (12, 0), (12, 1), (None, 1), (15, None)], "doc_id long, toxic int")
     got = toxicity.classify(docs, labels).collect()
