@@ -31,6 +31,11 @@ def line_facts(lines: DataFrame) -> DataFrame:
     })
 
 
+def outline(facts: DataFrame) -> DataFrame:
+    """``facts`` with the content of headers alone: what an index and its side tables are made from, without the symbols."""
+    return facts.withColumn("content", F.when(F.col("is_header"), F.col("content")))
+
+
 def assign_records(facts: DataFrame) -> DataFrame:
     """``facts`` with line_no and record (from 1 in a file) and header_offset; before the first header: record 0, null.
 

@@ -70,7 +70,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]
     path = folder(spark)
     head = F.concat(F.lit(">doc"), F.col("doc_id"), F.lit(" "), F.col("lang"), F.lit("\n"))
     table(spark, sf_dir, "documents").select(F.concat(head, F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).write.text(path, lineSep="\n")
-    parts = kept(records.assign_records(records.line_facts(read_lines(spark, path))))
+    parts = kept(records.assign_records(records.outline(records.line_facts(read_lines(spark, path)))))
     store.write_index(records.across_files(records.index(parts)), path, path + ".zidx", records.side_table(parts))
     return path, store.open_index(spark, path), store.open_sides(spark, path + ".zidx")
 

@@ -187,6 +187,17 @@ def test_extract_in_chunks(spark):
     assert guard[0].error == "transform.complement_on_protein" and guard[1].bases == "ACGT"
 
 
+def test_index_without_symbols(spark, tmp_path):
+    """An index and its side tables need no more of the lines than their outline."""
+    rows = [("a", 0, b">x one", 1), ("a", 7, b"ACGT", 1), ("a", 12, b"AC GT", 2), ("a", 19, b"", 1), ("a", 20, b"A", 1), ("a", 22, b">y", 1), ("a", 25, b"ACG", 1), ("a", 29, b"ACG", 1), ("a", 33, b"A", 0)]
+    facts = records.line_facts(spark.createDataFrame([(f, 0, at, bytearray(x), n) for f, at, x, n in rows], "file string, split long, line_offset long, raw binary, term int"))
+    whole, outline = records.assign_records(facts), records.assign_records(records.outline(facts))
+    assert {r.content for r in outline.collect() if not r.is_header} == {None} and outline.columns == whole.columns
+    for made in (records.index, records.side_table):
+        assert sorted(map(repr, made(outline).collect())) == sorted(map(repr, made(whole).collect()))
+    assert records.index(outline).count() == 2 and records.side_table(outline).count() == 3
+
+
 def test_extract_sends_no_symbols_for_a_request(spark, capsys):
     """Many requests for the same symbols, of one chunk or several, and symbols that are missing."""
     seqs = [(0, "s", "ACGTTGCAAC" * 7), (1, "t", "TTTTACGT"), (2, "u", "")]
